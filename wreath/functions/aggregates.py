@@ -60,3 +60,16 @@ def last_nonnull_by(value, *order) -> Column:
     v = _col(value)
     key = F.struct(*[_col(o) for o in order])
     return F.max_by(v, F.when(v.isNotNull(), key))
+
+
+def concat_distinct_by(df, keys, value: str, order, sep: str = " ", out: str | None = None):
+    """Distinct ``value`` strings per group joined by ``sep`` in first-seen
+    order (pandas ``" ".join(x.unique())``). Two aggregates: first position
+    of each (group, value) pair, then one ordered list per group, so only
+    distinct values are collected."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    first = df.groupBy(*keys, value).agg(F.min(F.struct(*[_col(o) for o in order])).alias("__p"))
+    return first.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__p", value))),
+                                 lambda x: x[value]), sep).alias(out or value))

@@ -97,14 +97,24 @@ def cumulative_counts(df: DataFrame, by, time: str, counted: str,
 
 
 def cohort_total(df: DataFrame, by, value, out: str) -> DataFrame:
-    """Partition total on every row (``sum over (partition by ..)``)."""
-    return df.withColumn(out, F.sum(_col(value)).over(Window.partitionBy(*_names(by))))
+    """Partition total on every row (``sum(v) over (partition by ..)``).
+
+    Computed as a partial+final aggregate joined back on the cohort key rather
+    than a window: a window would place a whole hot cohort in one task, while
+    the aggregate combines map-side and the per-cohort table is small enough
+    for AQE to broadcast (its size is measured at runtime, not assumed)."""
+    by = _names(by)
+    tot = df.groupBy(*by).agg(F.sum(_col(value)).alias(out))
+    return df.join(tot, by, "left")
 
 
 def cohort_share(df: DataFrame, by, value, out: str) -> DataFrame:
     """Row value divided by its partition total; null for an all-zero cohort."""
-    tot = F.sum(_col(value)).over(Window.partitionBy(*_names(by)))
-    return df.withColumn(out, F.try_divide(_col(value).cast("double"), tot))
+    by = _names(by)
+    tot = df.groupBy(*by).agg(F.sum(_col(value)).alias("__tot"))
+    return (df.join(tot, by, "left")
+            .withColumn(out, F.try_divide(_col(value).cast("double"), F.col("__tot")))
+            .drop("__tot"))
 
 
 # --------------------------------------------------------------------------- C6

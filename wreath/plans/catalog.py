@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wreath.plans import queries_core, queries_nomination  # noqa: F401
+from wreath.plans import queries_core, queries_nomination, queries_relational  # noqa: F401
 from wreath.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
