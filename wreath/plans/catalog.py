@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from wreath.plans import queries_core, queries_nomination, queries_relational  # noqa: F401
+from wreath.plans import (  # noqa: F401
+    queries_core,
+    queries_io,
+    queries_nomination,
+    queries_relational,
+    queries_text,
+)
 from wreath.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
