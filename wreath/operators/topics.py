@@ -1,17 +1,306 @@
 """Topic time series: frequencies per month, filters over those series
-(minimum frequency, kurtosis, stationarity), topic centroids and the
-alignment score of vectors against hot-topic centroids."""
+(minimum frequency, kurtosis, stationarity), per-cohort k-means topics and
+the topicality score of vectors against hot-topic centroids.
+
+Filters take the frequency table (by..., topic, month, frequency) and return
+the passing (by..., topic) keys; ``all_of`` intersects them. Series are
+12 numbers per topic, so per-topic Python work (the ADF test) runs in
+Arrow batches over an already aggregated table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wreath.functions.aggregates import kurtosis_unbiased, ordered_list
+from wreath.operators.relational import densify
+
+MIN_MONTHLY_FREQUENCY = 10
+Filter = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
 def _names(cols) -> list[str]:
     return [cols] if isinstance(cols, str) else list(cols)
 
 
+# --------------------------------------------------------------------------- J5
 def topics_over_time(df: DataFrame, by, topic: str, month: str) -> DataFrame:
     """Documents per (by, topic, month): the ``frequency`` series."""
     return df.groupBy(*_names(by), topic, month).agg(F.count(F.lit(1)).cast("bigint").alias("frequency"))
+
+
+def monthly_series(freq: DataFrame, keys: Sequence[str], month: str = "month",
+                   value: str = "frequency") -> DataFrame:
+    """Months 1..12 for every key, missing months as 0 (H5)."""
+    return densify(freq, list(keys), month, 1, 12, value)
+
+
+# --------------------------------------------------------------------------- J6
+def min_frequency(n: int = MIN_MONTHLY_FREQUENCY) -> Filter:
+    """Keep topics with at least one month of ``n`` or more documents."""
+    def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return freq.groupBy(*keys).agg(F.max("frequency").alias("__m")).filter(F.col("__m") >= n).drop("__m")
+    return f
+
+
+# --------------------------------------------------------------------------- J7
+def high_kurtosis(threshold: float = 2.0) -> Filter:
+    """Keep topics whose 12-month series has sample excess kurtosis above
+    ``threshold`` (a burst in few months)."""
+    def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+        s = monthly_series(freq, keys)
+        return (s.groupBy(*keys).agg(kurtosis_unbiased("frequency").alias("__k"))
+                .filter(F.col("__k") > threshold).drop("__k"))
+    return f
+
+
+# --------------------------------------------------------------------------- J8
+def _lagmat(x: np.ndarray, lags: int) -> np.ndarray:
+    """Rows t = lags..n-1: [x_t, x_{t-1}, ..., x_{t-lags}]."""
+    n = len(x)
+    return np.column_stack([x[lags - j:n - j] for j in range(lags + 1)])
+
+
+def _ols(y: np.ndarray, X: np.ndarray):
+    beta, _, rank, _ = np.linalg.lstsq(X, y, rcond=None)
+    resid = y - X @ beta
+    ssr = float(resid @ resid)
+    n, k = X.shape
+    return beta, ssr, n, k
+
+
+def _trend(n: int) -> np.ndarray:
+    t = np.arange(1, n + 1, dtype=float)
+    return np.column_stack([np.ones(n), t, t * t])
+
+
+def adf_tau(x: np.ndarray, maxlag: int | None = None, autolag: bool = True) -> tuple[float, int]:
+    """Augmented Dickey-Fuller statistic with constant, trend and squared
+    trend ('ctt'); lag order by AIC over 0..maxlag (default
+    ceil(12 (n/100)^(1/4))), then the t-value of the lagged level."""
+    x = np.asarray(x, dtype=float)
+    nobs = len(x)
+    ntrend = 3
+    if maxlag is None:
+        maxlag = int(np.ceil(12.0 * np.power(nobs / 100.0, 1 / 4.0)))
+        maxlag = max(0, min(nobs // 2 - ntrend - 1, maxlag))
+    dx = np.diff(x)
+
+    def design(lags: int):
+        m = _lagmat(dx, lags)
+        n = m.shape[0]
+        level = x[-n - 1:-1]
+        lagged = m[:, 1:]
+        return dx[-n:], level, lagged, n
+
+    best = 0
+    if autolag:
+        y, level, lagged, n = design(maxlag)
+        full = np.column_stack([_trend(n), level, lagged])
+        best_aic = np.inf
+        for lag in range(0, maxlag + 1):
+            X = full[:, :ntrend + 1 + lag]
+            _, ssr, nn, k = _ols(y, X)
+            llf = -nn / 2.0 * (np.log(2 * np.pi) + np.log(max(ssr, 1e-300) / nn) + 1)
+            aic = -2 * llf + 2 * k
+            if aic < best_aic:
+                best_aic, best = aic, lag
+    else:
+        best = maxlag
+    y, level, lagged, n = design(best)
+    X = np.column_stack([level, lagged[:, :best], _trend(n)])
+    beta, ssr, nn, k = _ols(y, X)
+    sigma2 = ssr / max(nn - k, 1)
+    try:
+        cov = sigma2 * np.linalg.inv(X.T @ X)
+        se = float(np.sqrt(max(cov[0, 0], 0.0)))
+    except np.linalg.LinAlgError:
+        se = 0.0
+    tau = beta[0] / se if se > 0 else (-np.inf if beta[0] < 0 else np.inf)
+    return float(tau), int(best)
+
+
+def adf_null_distribution(spark, n: int, sims: int = 20_000, seed: int = 7) -> np.ndarray:
+    """Sorted simulated ADF statistics ('ctt', no augmentation) of random
+    walks of length ``n``: the null distribution the p-value is read from.
+
+    The simulation is a Spark job (``mapInPandas`` over ``sims`` seeds); only
+    the ``sims`` statistics (a bounded constant) return to the driver.
+    """
+    def run(batches):
+        for b in batches:
+            out = []
+            for s in b["id"].to_numpy():
+                rng = np.random.default_rng([seed, int(s)])
+                walk = np.cumsum(rng.standard_normal(n))
+                out.append(adf_tau(walk, maxlag=0, autolag=False)[0])
+            yield pd.DataFrame({"tau": out})
+
+    taus = spark.range(sims, numPartitions=max(1, min(64, sims // 500))).mapInPandas(run, "tau double")
+    return np.sort(np.array([r["tau"] for r in taus.collect()], dtype=float))
+
+
+def adf_pvalue(tau: float, null: np.ndarray) -> float:
+    """Left-tail Monte-Carlo p-value: share of null statistics <= tau."""
+    if np.isnan(tau):
+        return float("nan")
+    return float((np.searchsorted(null, tau, side="right") + 1) / (len(null) + 1))
+
+
+def stationary(pvalue_threshold: float = 0.05, n_periods: int = 3, sims: int = 20_000,
+               seed: int = 7) -> Filter:
+    """Keep topics whose series, tiled ``n_periods * 12`` times, rejects a
+    unit root in an ADF test with constant, trend and squared trend at
+    ``pvalue_threshold`` (despite the reference's class name, rejecting
+    series are the ones kept)."""
+    def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+        keys = list(keys)
+        spark = freq.sparkSession
+        reps = n_periods * 12
+        null = adf_null_distribution(spark, 12 * reps, sims, seed)
+        s = monthly_series(freq, keys).groupBy(*keys).agg(ordered_list("frequency", "month").alias("__s"))
+
+        def test(pdf: pd.DataFrame) -> pd.DataFrame:
+            ps = []
+            for series in pdf["__s"]:
+                x = np.tile(np.asarray(series, dtype=float), reps)
+                ps.append(adf_pvalue(adf_tau(x)[0], null))
+            out = pdf[keys].copy()
+            out["pvalue"] = ps
+            return out
+
+        schema = T.StructType([freq.schema[k] for k in keys] + [T.StructField("pvalue", T.DoubleType())])
+        tested = s.mapInPandas(lambda it: (test(b) for b in it), schema)
+        return tested.filter(F.col("pvalue") < pvalue_threshold).select(*keys)
+    return f
+
+
+# --------------------------------------------------------------------------- J15
+def all_of(*filters: Filter, base: Filter | None = None) -> Filter:
+    """Topics passing every filter (and the minimum-frequency base rule)."""
+    base = base or min_frequency()
+
+    def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
+        out = base(freq, keys)
+        for flt in filters:
+            out = out.join(flt(freq, keys), list(keys), "inner")
+        return out
+    return f
+
+
+def hot_topics(freq: DataFrame, by, topic: str, flt: Filter) -> DataFrame:
+    return flt(freq, [*_names(by), topic])
+
+
+# --------------------------------------------------------------------------- J4
+def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int = 8,
+               seed: int = 0, steps: int = 10, broadcast_limit: int = 20_000_000):
+    """k-means topics per cohort (every cohort in the same job).
+
+    Seeds: the k rows with the smallest hash of (key, seed) per cohort,
+    found with a two-phase top-k (no cohort sorted in one task). Each step:
+    centroid sets (one row per cohort, a driver-held constant of cohorts x
+    k x dim numbers) join the vectors on the cohort key, every vector picks
+    its nearest centroid with array functions (no vector x centroid rows),
+    and the new centroids are per-(cohort, topic) mean vectors. The sets
+    table is broadcast only when its known size is under ``broadcast_limit``
+    numbers. The input is reliably checkpointed once; the plan does not grow
+    between steps because centroids re-enter as fresh local data.
+
+    Returns (assignments: key, by..., topic; centroids: by..., topic,
+    centroid, size).
+    """
+    from wreath.operators.relational import top_n
+    from wreath.operators.vectors import mean_vector, vector_dim
+    from wreath.session import cut_lineage
+
+    spark = df.sparkSession
+    by = list(by)
+    cby = by or ["__all"]
+    data = df.select(key, *by, F.transform(vec, lambda v: v.cast("double")).alias("__v"))
+    if not by:
+        data = data.withColumn("__all", F.lit(0))
+    data = cut_lineage(data)
+    dim = vector_dim(data, "__v")
+    seeds = top_n(data.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), cby, "__h", key, k)
+    cents = [(tuple(r[c] for c in cby), i, list(r["__v"]))
+             for i, r in enumerate(seeds.select(*cby, "__v").collect())]
+    # renumber topics 0..k-1 inside each cohort
+    cur: dict[tuple, list] = {}
+    for ck, _, v in sorted(cents, key=lambda t: (repr(t[0]), t[1])):
+        cur.setdefault(ck, []).append(v)
+
+    key_fields = [data.schema[c] for c in cby]
+    set_schema = T.StructType(key_fields + [T.StructField("__c", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def assign(cur_sets):
+        rows = [(*ck, vs) for ck, vs in cur_sets.items()]
+        sets = spark.createDataFrame(rows, set_schema)
+        n_numbers = sum(len(vs) for vs in cur_sets.values()) * dim
+        if n_numbers <= broadcast_limit:
+            sets = F.broadcast(sets)
+        j = data.join(sets, cby, "inner")
+        d = F.transform(F.col("__c"), lambda c, i: F.struct(
+            F.aggregate(F.zip_with(F.col("__v"), c, lambda a, b: (a - b) * (a - b)),
+                        F.lit(0.0), lambda s, x: s + x).alias("d"), i.alias("i")))
+        return j.withColumn("topic", F.array_min(d)["i"]).drop("__c")
+
+    for _ in range(steps):
+        assigned = assign(cur)
+        newc = mean_vector(assigned, [*cby, "topic"], "__v", dim=dim, count=None).collect()
+        upd = {ck: list(vs) for ck, vs in cur.items()}
+        for r in newc:
+            ck = tuple(r[c] for c in cby)
+            upd[ck][r["topic"]] = list(r["centroid"])  # empty clusters keep their centroid
+        if all(np.allclose(upd[c], cur[c]) for c in cur):
+            cur = upd
+            break
+        cur = upd
+
+    assigned = assign(cur)
+    out = assigned.select(key, *by, "topic")
+    sizes = assigned.groupBy(*cby, "topic").agg(F.count(F.lit(1)).cast("bigint").alias("size"))
+    crow = [(*ck, t, v) for ck, vs in cur.items() for t, v in enumerate(vs)]
+    cdf = spark.createDataFrame(crow, T.StructType(key_fields + [
+        T.StructField("topic", T.IntegerType()),
+        T.StructField("centroid", T.ArrayType(T.DoubleType()))]))
+    cdf = cdf.join(sizes, [*cby, "topic"], "inner")
+    if not by:
+        cdf = cdf.drop("__all")
+    return out, cdf
+
+
+# --------------------------------------------------------------------------- J29
+def topicality(docs: DataFrame, key: str, vec: str, by: Sequence[str], topics: DataFrame,
+               topic_vec: str, topic: str, month: str, flt: Filter | None = None,
+               metric: str = "cosine", p: float = 1, weighted: bool = False,
+               mod_sim: bool = False, gamma: float | None = None) -> DataFrame:
+    """Score documents against their cohort's hot topics.
+
+    ``topics``: the dated stream (by..., topic, month, topic_vec). Hot topics
+    per cohort pass ``flt`` (default: minimum frequency and kurtosis > 2);
+    their centroids are mean vectors of their members, weighted by size
+    share. A cohort without hot topics scores 0 (an empty sum).
+    """
+    from wreath.operators.vectors import alignment, mean_vector, vector_dim
+
+    by = list(by)
+    dim = vector_dim(docs, vec)
+    flt = flt or all_of(high_kurtosis(2.0))
+    freq = topics_over_time(topics, by, topic, month)
+    hot = hot_topics(freq, by, topic, flt)
+    members = topics.join(hot, [*by, topic], "left_semi")
+    cents = mean_vector(members, [*by, topic], topic_vec, dim=dim)
+    scored = alignment(docs.select(key, *by, vec), cents, vec, by=by, metric=metric, p=p,
+                       weighted=weighted, mod_sim=mod_sim, gamma=gamma, order=topic)
+    has = cents.select(*by).distinct().withColumn("__has", F.lit(True))
+    scored = scored.join(has, by, "left")
+    empty = F.lit(None).cast("double") if p == float("inf") else F.lit(0.0)
+    return scored.select(key, *by, F.when(F.col("__has").isNull(), empty)
+                         .otherwise(F.col("alignment")).alias("topicality"))

@@ -8,6 +8,7 @@ from wreath.plans import (  # noqa: F401
     queries_nomination,
     queries_relational,
     queries_text,
+    queries_topics,
     queries_vectors,
 )
 from wreath.plans.registry import ORACLES, QUERIES
