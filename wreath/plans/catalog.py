@@ -5,6 +5,7 @@ from __future__ import annotations
 from wreath.plans import (  # noqa: F401
     queries_core,
     queries_io,
+    queries_linkage,
     queries_nomination,
     queries_relational,
     queries_text,
