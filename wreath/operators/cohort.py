@@ -79,18 +79,18 @@ def naive_winners(df: DataFrame, key: str, cohort: str = "year", n_nom: str = "n
     """
     slim = df.select(F.col(cohort).alias("__c"), F.col(key).alias("__k"),
                      F.coalesce(F.col(n_nom).cast("double"), F.lit(0.0)).alias("__n"),
-                     F.coalesce(F.col(n_awards).cast("long"), F.lit(0)).alias("__N"))
+                     F.coalesce(F.col(n_awards).cast("long"), F.lit(0)).alias("__tot"))
     sizes = slim.groupBy("__c").agg(F.count(F.lit(1)).alias("__rows"))
     nb = F.greatest(F.lit(1), F.ceil(F.col("__rows") / F.lit(rows_per_group))).cast("long")
     slim = (slim.join(sizes.select("__c", nb.alias("__B")), "__c")
             .withColumn("__b", F.pmod(F.xxhash64(F.col("__k")), F.col("__B"))))
-    blocks = slim.groupBy("__c", "__b").agg(F.sum("__n").alias("__w"), F.max("__N").alias("__N"))
+    blocks = slim.groupBy("__c", "__b").agg(F.sum("__n").alias("__w"), F.max("__tot").alias("__tot"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__b", kind="mergesort")
         rng = np.random.default_rng([seed, _stable(pdf["__c"].iloc[0]), 1 << 20])
         w = pdf["__w"].to_numpy(dtype=float)
-        k = int(pdf["__N"].max())
+        k = int(pdf["__tot"].max())
         kb = rng.multinomial(k, w / w.sum()) if w.sum() > 0 else np.zeros(len(w), dtype=np.int64)
         return pd.DataFrame({"__c": pdf["__c"].to_numpy(), "__b": pdf["__b"].to_numpy(),
                              "__kb": kb.astype("int64")})

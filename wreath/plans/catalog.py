@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wreath.plans import (  # noqa: F401
+    queries_cohort,
     queries_core,
     queries_io,
     queries_linkage,
