@@ -7,6 +7,7 @@ from wreath.plans import (  # noqa: F401
     queries_core,
     queries_io,
     queries_linkage,
+    queries_models,
     queries_nomination,
     queries_relational,
     queries_text,
