@@ -37,21 +37,34 @@ def sort_key(order: Sequence) -> Column:
 
 
 # --------------------------------------------------------------------------- D13
-def dedup_first(df: DataFrame, keys, order_by: Sequence) -> DataFrame:
+def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2",
+                buckets: int = 16) -> DataFrame:
     """Keep the first row per ``keys`` by ``order_by`` (ascending, nulls last).
 
     ``order_by`` should end with a unique column so the pick is deterministic.
     For a descending key pass an ascending expression (``-x`` or a ``when``).
-    Runs as one aggregate with map-side partial aggregation (skew safe).
+
+    ``window2`` (default): two-phase top-1. Rows are first ranked inside
+    (keys, hash bucket of the order values), so a key holding a third of all
+    rows is split over ``buckets`` tasks; the bucket winners (at most
+    ``buckets`` per key) are ranked again per key. Exact, codegen'd sorts.
+    ``agg``: one ``min_by`` aggregate over a row struct (map-side partial
+    aggregation, but a sort-based aggregate without code generation).
     """
     keys = _names(keys)
-    rest = [c for c in df.columns]
-    row = F.struct(*[F.col(c) for c in rest])
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(row, sort_key(order_by)).alias("__r"))
-        .select(*[F.col("__r")[c].alias(c) for c in rest])
-    )
+    if method == "agg":
+        rest = list(df.columns)
+        row = F.struct(*[F.col(c) for c in rest])
+        return (df.groupBy(*keys).agg(F.min_by(row, sort_key(order_by)).alias("__r"))
+                .select(*[F.col("__r")[c].alias(c) for c in rest]))
+    order = [_col(o).asc_nulls_last() for o in order_by]
+    salt = F.pmod(F.xxhash64(*[_col(o) for o in order_by]), F.lit(buckets))
+    w1 = Window.partitionBy(*keys, "__b").orderBy(*order)
+    first = (df.withColumn("__b", salt).withColumn("__r", F.row_number().over(w1))
+             .filter(F.col("__r") == 1))
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return (first.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") == 1)
+            .drop("__b", "__r"))
 
 
 def dedup_first_window(df: DataFrame, keys, order_by: Sequence[Column]) -> DataFrame:

@@ -75,3 +75,14 @@ def cut_lineage(df):
     """Reliable checkpoint: survives executor loss, truncates the plan."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def materialize(df):
+    """Compute an intermediate that several branches read exactly once.
+
+    Spark only reuses an exchange when both branches are identical after
+    column pruning, which is rarely the case; without this the whole
+    upstream plan is recomputed per branch. The result lands in the
+    session's reliable checkpoint folder (shared storage on a cluster), so
+    a lost executor costs a re-read, not a recomputation."""
+    return cut_lineage(df)
