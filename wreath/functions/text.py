@@ -103,7 +103,7 @@ def name_key(c, stop_words: Sequence[str] = STOP_WORDS, min_len: int = 3) -> Col
     (token text, not lemmas: quirk Q7)."""
     stop = F.array(*[F.lit(w) for w in stop_words])
     toks = tokens(to_ascii(casefold(c)))
-    kept = F.filter(toks, lambda t: (F.length(t) >= min_len) & ~F.array_contains(stop, t))
+    kept = F.filter(toks, lambda t: (F.length(t) >= min_len) & ~t.isin(*stop_words))
     return F.array_join(kept, " ")
 
 
