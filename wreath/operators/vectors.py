@@ -168,3 +168,32 @@ def alignment(vectors: DataFrame, centroids: DataFrame, vec: str, by: Sequence[s
                              F.lit(float(r[size]) / tot if size else 1.0).alias("weight"))
                     for r in cents])
     return vectors.withColumn(out, alignment_expr(F.col(vec), lit, metric, p, weighted, mod_sim, gamma))
+
+
+# --------------------------------------------------------------------------- K5
+from pyspark import keyword_only  # noqa: E402
+from pyspark.ml import Transformer  # noqa: E402
+from pyspark.ml.param import Param, Params, TypeConverters  # noqa: E402
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
+
+
+class NullspaceProjector(Transformer, HasInputCol, HasOutputCol,
+                         DefaultParamsReadable, DefaultParamsWritable):
+    """Spark ML transformer removing a fitted normal direction from an array
+    column (the fit/transform surface of :func:`project_out`)."""
+
+    normal = Param(Params._dummy(), "normal", "unit normal vector to project out",
+                   typeConverter=TypeConverters.toListFloat)
+    mode = Param(Params._dummy(), "mode", "orthogonal | as_written",
+                 typeConverter=TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, inputCol=None, outputCol=None, normal=None, mode="orthogonal"):
+        super().__init__()
+        self._setDefault(mode="orthogonal")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df):
+        return project_out(df, self.getInputCol(), self.getOrDefault(self.normal),
+                           mode=self.getOrDefault(self.mode), out=self.getOutputCol())
