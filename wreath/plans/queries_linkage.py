@@ -151,7 +151,15 @@ def j26_bestseller_match_trained(spark, sf):
     return S.bestseller_match(fx.catalog_a, _works_with_true_matches(fx), fx.ranks, seed=1)
 
 
-@query("j26_nominated_works")
+@query("j26_nominated_works", oracle=f"""
+WITH f AS (SELECT work_id, author_label, min([ok, CAST(ln AS BIGINT), author_id]) AS p FROM nom GROUP BY ALL),
+a AS (SELECT work_id, string_agg(author_label, ' ' ORDER BY p) AS author FROM f GROUP BY work_id),
+t AS (SELECT work_id, title, year FROM nom
+      QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY ok, ln, author_id) = 1)
+SELECT t.work_id AS unique_id, t.title, a.author, t.year,
+       {_duck_name_key('t.title')} AS title_key, {_duck_name_key('a.author')} AS author_key
+FROM t JOIN a USING (work_id)
+""")
 def j26_nominated_works(spark, sf):
     """The works side built from award records: distinct co-author names in
     first-seen order, first title and year per work, then the name keys."""
