@@ -32,8 +32,14 @@ def nulls_last(c) -> Column:
 
 
 def sort_key(order: Sequence) -> Column:
-    """One ascending, nulls-last struct over several order columns."""
-    return F.struct(*[nulls_last(o).alias(f"k{i}") for i, o in enumerate(order)])
+    """One ascending, nulls-last struct over several order columns: a flat
+    (is-null, value, is-null, value, ...) struct, which compares faster than
+    nested structs."""
+    fields = []
+    for i, o in enumerate(order):
+        c = _col(o)
+        fields += [c.isNull().alias(f"n{i}"), c.alias(f"v{i}")]
+    return F.struct(*fields)
 
 
 # --------------------------------------------------------------------------- D13
