@@ -39,13 +39,22 @@ def histogram(df: DataFrame, col: str, width: float, by: Sequence[str] = ()) ->
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Balanced class weight on every row: n / (n_classes * n_class).
 
-    The per-class counts are a tiny aggregate; the window-free form joins it
-    back with a broadcast (its size is bounded by the number of classes)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    tot = counts.agg(F.sum("__nc").alias("__n"), F.count(F.lit(1)).alias("__k"))
-    w = counts.crossJoin(tot).select(
-        label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(w), label, "left")
+    The per-class counts are a bounded constant (one number per class,
+    checked against ``max_classes``); they enter as a CASE expression, so the
+    rows are not joined or shuffled."""
+    max_classes = 10_000
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc")).limit(max_classes + 1).collect()
+    if len(counts) > max_classes:
+        raise ValueError(f"{label} has more than {max_classes} classes")
+    n, k = sum(r["__nc"] for r in counts), len(counts)
+    expr = None
+    for r in counts:
+        if r[label] is None:
+            continue
+        cond = F.col(label) == F.lit(r[label])
+        val = F.lit(n / (k * r["__nc"]))
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    return df.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
 
 
 def group_rate(df: DataFrame, by, num: str, den: str, out: str = "rate") -> DataFrame:
@@ -61,13 +70,11 @@ def non_null_counts(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, col: str, out: str = "share") -> DataFrame:
-    """``col / sum(col)`` over the whole (already aggregated, small) table.
-
-    The total is a one-row aggregate cross-joined back (broadcast of one
-    row), not an unpartitioned window."""
-    tot = df.agg(F.sum(col).alias("__tot"))
-    return df.crossJoin(F.broadcast(tot)).withColumn(
-        out, F.col(col) / F.col("__tot")).drop("__tot")
+    """``col / sum(col)`` over the whole table: the total is one number,
+    computed by one aggregate and applied as a literal (no unpartitioned
+    window, no join)."""
+    tot = df.agg(F.sum(col).alias("t")).first()["t"]
+    return df.withColumn(out, F.try_divide(F.col(col).cast("double"), F.lit(tot)))
 
 
 def dummies(df: DataFrame, col: str, values: Sequence[str], prefix: str | None = None) -> DataFrame:
@@ -108,12 +115,13 @@ def binned_mutual_information(df: DataFrame, features: Sequence[str], target: st
     Per feature: one aggregate for the range, one for the joint counts; the
     joint table has at most bins x |target| rows per feature."""
     parts = []
-    for f in features:
-        rng = df.agg(F.min(f).alias("__lo"), F.max(f).alias("__hi"))
+    ranges = df.agg(*[F.min(f).alias(f"lo_{i}") for i, f in enumerate(features)],
+                    *[F.max(f).alias(f"hi_{i}") for i, f in enumerate(features)]).first()
+    for i, f in enumerate(features):
+        lo, hi = ranges[f"lo_{i}"], ranges[f"hi_{i}"]
+        width = F.lit(float(hi - lo)) if lo is not None and hi != lo else F.lit(None).cast("double")
         x = (df.filter(F.col(f).isNotNull() & F.col(target).isNotNull())
-             .crossJoin(F.broadcast(rng))
-             .select(F.least(F.floor((F.col(f) - F.col("__lo")) /
-                                     F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * bins),
+             .select(F.least(F.floor((F.col(f) - F.lit(lo)) / width * bins),
                              F.lit(bins - 1)).alias("bx"),
                      F.col(target).alias("y")))
         x = x.withColumn("bx", F.coalesce(F.col("bx"), F.lit(0)))

@@ -276,14 +276,20 @@ def d6_max_count_median(spark, sf):
 
 
 @query("d7_mean_sum_list", oracle="""
-SELECT year, round(avg(age), 6) AS mean_age, CAST(sum(n_win) AS BIGINT) AS n_win,
-       list(gender ORDER BY work_id) AS gender
-FROM cohort GROUP BY year
+SELECT work_id, round(avg(l_quantity), 6) AS mean_quantity, round(sum(l_extendedprice), 2) AS sum_price,
+       list(CASE WHEN l_linenumber % 5 = 0 THEN NULL ELSE l_returnflag END ORDER BY l_orderkey, l_linenumber, l_suppkey) AS flags
+FROM (SELECT l_partkey AS work_id, * FROM lineitem) GROUP BY work_id
 """)
 def d7_mean_sum_list(spark, sf):
-    return Fixtures(spark, sf).cohort.groupBy("year").agg(
-        F.round(F.avg("age"), 6).alias("mean_age"), F.sum("n_win").cast("bigint").alias("n_win"),
-        ordered_list("gender", "work_id").alias("gender"))
+    """Collapse the rows of each work (co-author style): mean, sum, and the
+    list of a column in an explicit order with nulls kept. Groups are works,
+    whose row count is the work's own record count."""
+    l = Fixtures(spark, sf).lineitem
+    flag = F.when(F.col("l_linenumber") % 5 == 0, F.lit(None)).otherwise(F.col("l_returnflag"))
+    return l.groupBy(F.col("l_partkey").alias("work_id")).agg(
+        F.round(F.avg("l_quantity"), 6).alias("mean_quantity"),
+        F.round(F.sum("l_extendedprice"), 2).alias("sum_price"),
+        ordered_list(flag, "l_orderkey", "l_linenumber", "l_suppkey").alias("flags"))
 
 
 @query("d8_distinct_concat", oracle="""

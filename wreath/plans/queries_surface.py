@@ -48,12 +48,12 @@ def k1_arrow_scalar_udf(spark, sf):
 
 
 @F.pandas_udf(T.LongType())
-def _mode_smallest(v: pd.Series) -> int:
-    counts = v.dropna().value_counts()
-    if counts.empty:
+def _mode_smallest(value: pd.Series, count: pd.Series) -> int:
+    """Most frequent value (smallest on a tie) from (value, count) pairs."""
+    if value.empty:
         return None
-    top = counts.max()
-    return int(min(counts[counts == top].index))
+    top = count.max()
+    return int(value[count == top].min())
 
 
 @query("k2_grouped_agg_udf", oracle="""
@@ -62,10 +62,13 @@ SELECT work_id, CAST(year AS BIGINT) AS modal_year FROM yc
 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY c DESC, year ASC) = 1
 """)
 def k2_grouped_agg_udf(spark, sf):
-    """A grouped-aggregate pandas UDF (the lambda-aggregate surface); the
-    built-in ``mode_of`` (D3) is the fast path for the same result."""
+    """A grouped-aggregate pandas UDF (the lambda-aggregate surface). Rows
+    are first counted per (work, year) with a partial aggregate, so the
+    Python step sees one row per distinct year of a work, never the work's
+    raw rows; the built-in ``mode_of`` (D3) is the fast path."""
     n = Fixtures(spark, sf).nom
-    return n.groupBy("work_id").agg(_mode_smallest(F.col("year").cast("long")).alias("modal_year"))
+    yc = n.filter(F.col("year").isNotNull()).groupBy("work_id", "year").agg(F.count(F.lit(1)).alias("c"))
+    return yc.groupBy("work_id").agg(_mode_smallest(F.col("year").cast("long"), F.col("c")).alias("modal_year"))
 
 
 @query("k3_per_group_function", oracle="""
