@@ -81,8 +81,10 @@ def j12_match_probability(spark, sf):
 SELECT unique_id_l, unique_id_r, year_r FROM pr WHERE match_probability >= 0.9
 """)
 def c8_probabilistic_linkage_join(spark, sf):
-    s = LK.match_probability(_leveled(Fixtures(spark, sf)), FIXED_MODEL)
-    return s.filter(F.col("match_probability") >= 0.9).select("unique_id_l", "unique_id_r", "year_r")
+    """Scored once per distinct key combination, expanded to records only
+    where the probability reaches 0.9."""
+    fx = Fixtures(spark, sf)
+    return S.linked_pairs(fx.catalog_a, fx.catalog_b, FIXED_MODEL, 0.9).select("unique_id_l", "unique_id_r", "year_r")
 
 
 @query("b16_score_threshold", oracle="WITH " + PAIRS + """
@@ -122,7 +124,7 @@ def j10_estimate_u(spark, sf):
 def j11_estimate_m(spark, sf):
     """m per level by EM on the blocked pairs with u fixed (rows-only)."""
     fx = Fixtures(spark, sf)
-    m, lam = LK.estimate_m(S.linkage_pairs(fx.catalog_a, fx.catalog_b), COMPS, U_FIXED)
+    m, lam = LK.estimate_m(S.linkage_combos(fx.catalog_a, fx.catalog_b), COMPS, U_FIXED, weight="pair_weight")
     return spark.createDataFrame([(k, i, float(v)) for k, arr in m.items() for i, v in enumerate(arr)],
                                  "comparison STRING, level INT, m DOUBLE")
 
@@ -171,7 +173,8 @@ def j12_match_probability_trained(spark, sf):
     """Every blocked pair scored by the trained model (rows-only)."""
     fx = Fixtures(spark, sf)
     works = _works_with_true_matches(fx)
+    model = LK.train(S.linkage_keys(fx.catalog_a), S.linkage_keys(works),
+                     S.linkage_combos(fx.catalog_a, works), COMPS, seed=1, weight="pair_weight")
     pairs = S.linkage_pairs(fx.catalog_a, works)
-    model = LK.train(S.linkage_keys(fx.catalog_a), S.linkage_keys(works), pairs, COMPS, seed=1)
     s = LK.match_probability(LK.add_levels(pairs, COMPS), model)
     return s.select("unique_id_l", "unique_id_r", "title_level", "author_level", "match_probability")
