@@ -532,11 +532,12 @@ def e6_top_n_per_cohort(spark, sf):
 
 # ---------------------------------------------------------------- F rows
 @query("f1_sort_nulls_last", oracle="""
-SELECT ok, ln, pub_date FROM nom WHERE work_id % 10 = 7 ORDER BY pub_date ASC NULLS LAST, ok, ln
+SELECT ok, ln, author_id, pub_date FROM nom ORDER BY pub_date ASC NULLS LAST, ok, ln, author_id
 """)
 def f1_sort_nulls_last(spark, sf):
-    n = Fixtures(spark, sf).nom.filter(F.col("work_id") % 10 == 7)
-    return n.select("ok", "ln", "pub_date").orderBy(F.col("pub_date").asc_nulls_last(), "ok", "ln")
+    n = Fixtures(spark, sf).nom
+    return n.select("ok", "ln", "author_id", "pub_date").orderBy(
+        F.col("pub_date").asc_nulls_last(), "ok", "ln", "author_id")
 
 
 @query("f2_multi_key_order", oracle="""
