@@ -71,7 +71,7 @@ SELECT s_suppkey AS author_id, s_name AS author_label, 'female' AS gender,
        'ATLANTIS' AS birth_country
 FROM supplier WHERE s_suppkey % 9 = 4
 """,
-    # nyt_bestsellers: list rows; title ids land on the odd part keys.
+    # bestseller lists: list rows; title ids land on the odd part keys.
     "ranks": """
 SELECT event_id AS list_row, user_id * 2 + 1 AS title_id,
        CAST(day(ts) AS INT) AS year,
