@@ -30,8 +30,9 @@ def _lvl_sql(l: str, r: str) -> str:
 
 
 def _bf_sql(col: str, name: str) -> str:
-    parts = " ".join(f"WHEN {i} THEN {math.log2(M_FIXED[name][i] / U_FIXED[name][i])!r}" for i in range(4))
-    return f"CASE {col} {parts} ELSE 0.0 END"
+    parts = " ".join(f"WHEN {i} THEN CAST({math.log2(M_FIXED[name][i] / U_FIXED[name][i])!r} AS DOUBLE)"
+                     for i in range(4))
+    return f"CASE {col} {parts} ELSE CAST(0.0 AS DOUBLE) END"
 
 
 PAIRS = f"""
@@ -43,7 +44,7 @@ pairs AS (SELECT a.unique_id AS unique_id_l, b.unique_id AS unique_id_r, b.year
           FROM ka a JOIN kb b ON a.year = b.year - 1),
 lv AS (SELECT *, {_lvl_sql('title_key_l', 'title_key_r')} AS title_level,
               {_lvl_sql('author_key_l', 'author_key_r')} AS author_level FROM pairs),
-sc AS (SELECT *, {math.log2(PRIOR / (1 - PRIOR))!r} + {_bf_sql('title_level', 'title_level')}
+sc AS (SELECT *, CAST({math.log2(PRIOR / (1 - PRIOR))!r} AS DOUBLE) + {_bf_sql('title_level', 'title_level')}
                  + {_bf_sql('author_level', 'author_level')} AS match_weight FROM lv),
 pr AS (SELECT *, 1.0 / (1.0 + pow(2.0, -match_weight)) AS match_probability FROM sc)"""
 

@@ -435,7 +435,7 @@ def d19_histogram(spark, sf):
 @query("d20_mixed_wide_agg", oracle="""
 WITH j AS (SELECT c.*, v.embedding FROM (SELECT * FROM cohort) c LEFT JOIN vec v ON v.vec_id = c.work_id)
 SELECT year, round(avg(age), 6) AS mean_age, CAST(sum(n_nom_all) AS BIGINT) AS n_nom_all,
-       [round(x, 6) for x in arg_min(embedding, work_id) FILTER (WHERE embedding IS NOT NULL)] AS first_embedding,
+       [round(CAST(x AS DOUBLE), 6) for x in arg_min(embedding, work_id) FILTER (WHERE embedding IS NOT NULL)] AS first_embedding,
        CAST(count(*) FILTER (WHERE gender = 'female') AS BIGINT) AS gender_female,
        CAST(count(*) FILTER (WHERE gender = 'male') AS BIGINT) AS gender_male
 FROM j GROUP BY year
