@@ -10,6 +10,7 @@ from wreath.plans import (  # noqa: F401
     queries_models,
     queries_nomination,
     queries_relational,
+    queries_skew,
     queries_surface,
     queries_text,
     queries_topics,

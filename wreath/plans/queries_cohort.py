@@ -301,3 +301,20 @@ def j24_mutual_information(spark, sf):
     c = Fixtures(spark, sf).cohort.select("score", "age", (F.col("n_win") > 0).cast("int").alias("won"))
     mi = ST.binned_mutual_information(c, ["score", "age"], "won", bins=10)
     return mi.withColumn("mi", F.round("mi", 6))
+
+
+@query("j20_weighted_total_loss", oracle="WITH " + SOFTMAX + """,
+l AS (SELECT year, sum(CASE WHEN n_win > 0 THEN -n_win * ln(p_win) ELSE 0 END) / sum(n_win) AS loss,
+             max(n_nom_all_tot) AS w
+      FROM (SELECT *, sum(n_nom_all) OVER (PARTITION BY year) AS n_nom_all_tot FROM p) GROUP BY year)
+SELECT round(sum(loss * w / (SELECT sum(w) FROM l)), 6) AS total_loss FROM l
+""")
+def j20_weighted_total_loss(spark, sf):
+    """Per-cohort normalised losses combined with cohort weights (each
+    cohort's share of all nominations)."""
+    c = R.cohort_total(Fixtures(spark, sf).cohort, "year", "n_nom_all", "__tot")
+    p = C.cohort_softmax(c, "year", "score")
+    per = C.multinomial_ce_loss(p, "year", "n_win", "p_win", weight="__tot")
+    wsum = per.agg(F.sum("__tot").alias("s")).first()["s"]
+    per = per.withColumn("__w", F.col("__tot") / F.lit(float(wsum)))
+    return C.total_loss(per, weight="__w").withColumn("total_loss", F.round("total_loss", 6))
