@@ -64,3 +64,11 @@ def test_synopsis_sections(spark):
     assert one(spark, lambda c: TX.synopsis(c, SYN), no_plot) == "Intro text."
     empty_plot = '<p>Intro.</p><h2>Plot</h2><div>no paragraphs</div>'
     assert one(spark, lambda c: TX.synopsis(c, SYN), empty_plot) is None
+
+
+def test_fold_ascii_equals_casefold_then_ascii(spark):
+    texts = ["Straße ÆØÅ œuvre ſ Đakovo Łódź ÞÓR ﬁne ẞ", "Çà et là, ÉTÉ", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    rows = df.select(TX.fold_ascii(F.col("x")).alias("a"),
+                     TX.to_ascii(TX.casefold(F.col("x"))).alias("b")).collect()
+    assert all(r.a == r.b for r in rows)

@@ -78,6 +78,35 @@ def to_ascii(c) -> Column:
     return out
 
 
+def _fold_tables() -> tuple[str, str, tuple]:
+    """Tables for :func:`fold_ascii`, derived from the ones above: every
+    one-to-one mapping (lower-case side) goes into one translate table,
+    only true multi-letter spellings stay replacements."""
+    src, dst = list(_ACCENT_FROM), list(_ACCENT_TO)
+    multi = []
+    for a, b in (*CASEFOLD_EXTRA, *ASCII_MULTI):
+        if a.lower() != a:
+            continue  # upper-case forms are gone after lower()
+        if len(b) == 1:
+            src.append(a)
+            dst.append(b)
+        else:
+            multi.append((a, b))
+    return "".join(src), "".join(dst), tuple(dict.fromkeys(multi))
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_MULTI = _fold_tables()
+
+
+def fold_ascii(c) -> Column:
+    """``to_ascii(casefold(c))`` in fewer passes over the text: lower, one
+    translate, then the few multi-letter spellings."""
+    out = F.translate(F.lower(_col(c)), _FOLD_FROM, _FOLD_TO)
+    for a, b in _FOLD_MULTI:
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
 # ------------------------------------------------------------------ I5
 # Default stop words (common English function words). A parameter: callers
 # may pass any list, e.g. a tokenizer library's full list.
@@ -101,8 +130,7 @@ def name_key(c, stop_words: Sequence[str] = STOP_WORDS, min_len: int = 3) -> Col
     """Comparison key of a name: case-folded, transliterated, tokens that are
     not stop words and have at least ``min_len`` letters, joined by one space
     (token text, not lemmas: quirk Q7)."""
-    stop = F.array(*[F.lit(w) for w in stop_words])
-    toks = tokens(to_ascii(casefold(c)))
+    toks = tokens(fold_ascii(c))
     kept = F.filter(toks, lambda t: (F.length(t) >= min_len) & ~t.isin(*stop_words))
     return F.array_join(kept, " ")
 
