@@ -126,13 +126,21 @@ def adf_tau(x: np.ndarray, maxlag: int | None = None, autolag: bool = True) -> t
     return float(tau), int(best)
 
 
+_NULL_CACHE: dict[tuple, np.ndarray] = {}
+
+
 def adf_null_distribution(spark, n: int, sims: int = 20_000, seed: int = 7) -> np.ndarray:
     """Sorted simulated ADF statistics ('ctt', no augmentation) of random
     walks of length ``n``: the null distribution the p-value is read from.
 
     The simulation is a Spark job (``mapInPandas`` over ``sims`` seeds); only
-    the ``sims`` statistics (a bounded constant) return to the driver.
+    the ``sims`` statistics (a bounded constant) return to the driver, and
+    are kept per (n, sims, seed) for later calls in the same process.
     """
+    key = (n, sims, seed)
+    if key in _NULL_CACHE:
+        return _NULL_CACHE[key]
+
     def run(batches):
         for b in batches:
             out = []
@@ -143,7 +151,8 @@ def adf_null_distribution(spark, n: int, sims: int = 20_000, seed: int = 7) -> n
             yield pd.DataFrame({"tau": out})
 
     taus = spark.range(sims, numPartitions=max(1, min(64, sims // 500))).mapInPandas(run, "tau double")
-    return np.sort(np.array([r["tau"] for r in taus.collect()], dtype=float))
+    _NULL_CACHE[key] = np.sort(np.array([r["tau"] for r in taus.collect()], dtype=float))
+    return _NULL_CACHE[key]
 
 
 def adf_pvalue(tau: float, null: np.ndarray) -> float:
