@@ -318,3 +318,41 @@ def j20_weighted_total_loss(spark, sf):
     wsum = per.agg(F.sum("__tot").alias("s")).first()["s"]
     per = per.withColumn("__w", F.col("__tot") / F.lit(float(wsum)))
     return C.total_loss(per, weight="__w").withColumn("total_loss", F.round("total_loss", 6))
+
+
+# ---------------------------------------------------------------- G4 (merge and split)
+from wreath.plans.queries_linkage import FIXED_MODEL, J26_SQL  # noqa: E402
+from wreath.plans.queries_nomination import CLEAN  # noqa: E402
+from wreath.plans.queries_topics import J29_SQL, _stream  # noqa: E402
+
+
+def _wrap(sql: str) -> str:
+    return "(" + sql.strip() + ")"
+
+
+@query("g4_merge_and_split", oracle="WITH " + CLEAN + f""",
+topi AS {_wrap(J29_SQL)},
+st AS {_wrap(J26_SQL)},
+merged AS (
+  SELECT c.*, t.topicality, s."max", s."count", s."median"
+  FROM clean c
+  LEFT JOIN (SELECT vec_id AS work_id, topicality FROM topi) t USING (work_id)
+  LEFT JOIN st s USING (work_id))
+SELECT 'train' AS split, * FROM merged WHERE year >= 1995 AND year < 1999
+UNION ALL
+SELECT 'test' AS split, * FROM merged WHERE year >= 1999 AND year < 2001
+""")
+def g4_merge_and_split(spark, sf):
+    """The final stage: nomination table left-joined with topicality (works
+    that have a description vector) and bestseller statistics (fan-out kept,
+    Q6), then the temporal train/test split."""
+    from wreath.operators import topics as TP
+    fx = Fixtures(spark, sf)
+    docs = fx.vec.select("vec_id", "embedding", (1996 + F.col("vec_id") % 2).cast("int").alias("year"))
+    topi = TP.topicality(docs, "vec_id", "embedding", ["year"], _stream(fx), "embedding", "topic", "month")
+    topi = topi.select(F.col("vec_id").alias("work_id"), F.round("topicality", 6).alias("topicality"))
+    stats = S.bestseller_match(fx.catalog_a, fx.catalog_b, fx.ranks, model=FIXED_MODEL)
+    merged = S.merge_features(_clean(fx), topi, stats)
+    train, test = R.temporal_split(merged, "year", (1995, 1999), (1999, 2001))
+    return (train.select(F.lit("train").alias("split"), "*")
+            .unionByName(test.select(F.lit("test").alias("split"), "*")))

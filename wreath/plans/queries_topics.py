@@ -73,7 +73,7 @@ def _stream(fx):
                   "FROM vec")
 
 
-@query("j29_topicality", oracle=f"""
+J29_SQL = """
 WITH stream AS (SELECT vec_id, embedding, label AS topic, CAST(1996 + vec_id % 2 AS INT) AS year,
        CAST(CASE WHEN label IN (0, 1) THEN 1 + label * 5 ELSE 1 + floor(vec_id / 2) % 12 END AS INT) AS month FROM vec),
 freq AS (SELECT year, topic, month, count(*) AS frequency FROM stream GROUP BY ALL),
@@ -91,7 +91,10 @@ docs AS (SELECT vec_id, embedding, CAST(1996 + vec_id % 2 AS INT) AS year FROM v
 SELECT d.vec_id, d.year,
        round(coalesce(sum(list_cosine_similarity(CAST(d.embedding AS DOUBLE[]), c.centroid)), 0), 6) AS topicality
 FROM docs d LEFT JOIN cent c ON c.year = d.year GROUP BY d.vec_id, d.year
-""")
+"""
+
+
+@query("j29_topicality", oracle=J29_SQL)
 def j29_topicality(spark, sf):
     fx = Fixtures(spark, sf)
     docs = fx.vec.select("vec_id", "embedding", (1996 + F.col("vec_id") % 2).cast("int").alias("year"))
