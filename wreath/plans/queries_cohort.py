@@ -17,14 +17,6 @@ from wreath.plans.registry import query
 
 
 # ---------------------------------------------------------------- J27
-def tiered_descriptions(tiers, manual, key="work_id", value="description", pos="pos"):
-    """First answer per work across source tiers in priority order (the
-    first tier accepts any non-null text, later tiers need a non-empty one),
-    then hand-written descriptions fill works still missing."""
-    first = R.first_tier(tiers, key, value, pos=pos, nonempty=[False] + [True] * (len(tiers) - 1))
-    return R.fill_join(first.select(key, value), manual.dropna(subset=[value]), key)
-
-
 @query("j27_tiered_descriptions", oracle="""
 WITH u AS (
   SELECT work_id, 0 AS tier, pos, description FROM tier1 WHERE description IS NOT NULL
@@ -37,7 +29,7 @@ FROM first_ f FULL JOIN man m ON f.work_id = m.work_id
 """)
 def j27_tiered_descriptions(spark, sf):
     fx = Fixtures(spark, sf)
-    return tiered_descriptions([fx.tier1, fx.tier2, fx.tier3], fx.manual)
+    return S.tiered_descriptions([fx.tier1, fx.tier2, fx.tier3], fx.manual)
 
 
 # ---------------------------------------------------------------- C12..C15, G2, D24, I23
