@@ -44,7 +44,7 @@ def sort_key(order: Sequence) -> Column:
 
 # --------------------------------------------------------------------------- D13
 def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2",
-                buckets: int = 16) -> DataFrame:
+                buckets: int = 16, cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row per ``keys`` by ``order_by`` (ascending, nulls last).
 
     ``order_by`` should end with a unique column so the pick is deterministic.
@@ -56,6 +56,10 @@ def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2"
     ``buckets`` per key) are ranked again per key. Exact, codegen'd sorts.
     ``agg``: one ``min_by`` aggregate over a row struct (map-side partial
     aggregation, but a sort-based aggregate without code generation).
+
+    ``cluster_by`` (a subset of ``keys``): hash-partition the survivors of
+    phase 1 on these columns only. The phase-2 window is still satisfied, and
+    a following aggregate whose keys include them needs no further shuffle.
     """
     keys = _names(keys)
     if method == "agg":
@@ -68,6 +72,10 @@ def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2"
     w1 = Window.partitionBy(*keys, "__b").orderBy(*order)
     first = (df.withColumn("__b", salt).withColumn("__r", F.row_number().over(w1))
              .filter(F.col("__r") == 1))
+    if cluster_by:
+        if not set(cluster_by) <= set(keys):
+            raise ValueError("cluster_by must be a subset of keys")
+        first = first.repartition(*cluster_by)
     w2 = Window.partitionBy(*keys).orderBy(*order)
     return (first.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") == 1)
             .drop("__b", "__r"))
