@@ -153,6 +153,19 @@ UNION ALL
 SELECT concat('C', CAST(c_custkey AS STRING)), 'nation', concat('N', CAST(c_nationkey AS STRING)) FROM customer
 UNION ALL
 SELECT concat('C', CAST(c_custkey AS STRING)), 'segment', c_mktsegment FROM customer WHERE c_custkey % 4 <> 0
+UNION ALL
+SELECT concat('S', CAST(l_suppkey AS STRING)),
+       CASE WHEN l_linestatus = 'F' THEN 'award_received' ELSE 'nominated_for' END,
+       concat('T', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING))
+FROM lineitem
+UNION ALL
+SELECT concat('T', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING)),
+       'award', concat('A', l_returnflag)
+FROM lineitem
+UNION ALL
+SELECT concat('T', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_suppkey AS STRING)),
+       'point_in_time', CAST(year(l_shipdate) AS STRING)
+FROM lineitem
 """,
     # model features per work, year as cohort.
     "cohort": """

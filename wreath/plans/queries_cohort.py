@@ -47,6 +47,27 @@ def c13_basic_graph_pattern(spark, sf):
     return out.select("s", "name", "region_name")
 
 
+@query("c13_statement_qualifiers", oracle="""
+WITH v(p, status) AS (VALUES ('award_received', 'winner'), ('nominated_for', 'nominated'))
+SELECT DISTINCT a.subject AS s, aw.object AS award, TRY_CAST(y.object AS INT) AS year, v.status
+FROM triples a
+JOIN v ON a.property = v.p
+JOIN triples aw ON aw.subject = a.object AND aw.property = 'award'
+JOIN triples y ON y.subject = a.object AND y.property = 'point_in_time'
+WHERE TRY_CAST(y.object AS INT) >= 1998
+""")
+def c13_statement_qualifiers(spark, sf):
+    """Statement nodes with qualifiers: ?s ?p ?st . ?st award ?a .
+    ?st point_in_time ?y, with (p, status) from an inline VALUES table and a
+    filter on the qualifier; DISTINCT rows as in the reference queries."""
+    t = Fixtures(spark, sf).triples
+    vals = TR.values_table(spark, ["p", "status"], [("award_received", "winner"), ("nominated_for", "nominated")])
+    m = TR.match_pattern(t, [("?s", "?p", "?st"), ("?st", "award", "?award"), ("?st", "point_in_time", "?y")],
+                         values=vals)
+    return (m.select("s", "award", F.col("y").try_cast("int").alias("year"), "status")
+            .filter(F.col("year") >= 1998).distinct())
+
+
 @query("c14_path_sequence", oracle="""
 SELECT a.subject AS s, b.object AS r FROM triples a JOIN triples b ON b.subject = a.object
 WHERE a.property = 'nation' AND b.property = 'region'
