@@ -15,6 +15,7 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -34,7 +35,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WREATH_DRIVER_MEMORY", "16g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m")
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
     )
     for k, v in RUNTIME_CONF.items():
