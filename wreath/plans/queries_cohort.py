@@ -28,6 +28,7 @@ SELECT coalesce(f.work_id, m.work_id) AS work_id, coalesce(f.description, m.desc
 FROM first_ f FULL JOIN man m ON f.work_id = m.work_id
 """)
 def j27_tiered_descriptions(spark, sf):
+    """Descriptions from three tiers in priority order, manual ones fill the rest."""
     fx = Fixtures(spark, sf)
     return S.tiered_descriptions([fx.tier1, fx.tier2, fx.tier3], fx.manual)
 
@@ -41,6 +42,7 @@ JOIN triples n ON n.subject = a.subject AND n.property = 'name'
 WHERE a.property = 'nation'
 """)
 def c13_basic_graph_pattern(spark, sf):
+    """Conjunctive pattern: entity -> nation -> region -> region name, plus entity name."""
     t = Fixtures(spark, sf).triples
     out = TR.match_pattern(t, [("?s", "nation", "?n"), ("?n", "region", "?r"), ("?r", "name", "?region_name"),
                                ("?s", "name", "?name")])
@@ -73,6 +75,7 @@ SELECT a.subject AS s, b.object AS r FROM triples a JOIN triples b ON b.subject
 WHERE a.property = 'nation' AND b.property = 'region'
 """)
 def c14_path_sequence(spark, sf):
+    """Two-hop property path nation/region."""
     return TR.path(Fixtures(spark, sf).triples, "?s", ["nation", "region"], "?r")
 
 
@@ -82,6 +85,7 @@ FROM triples n LEFT JOIN triples g ON g.subject = n.subject AND g.property = 'se
 WHERE n.property = 'name'
 """)
 def c12_optional_match(spark, sf):
+    """Every named entity with its segment when it has one (OPTIONAL -> left join)."""
     t = Fixtures(spark, sf).triples
     return TR.match_pattern(t, [("?s", "name", "?name")], optional=[[("?s", "segment", "?segment")]])
 
@@ -91,6 +95,7 @@ SELECT t.subject AS s, t.object AS award, v.status
 FROM triples t JOIN (VALUES ('won', 'winner'), ('nominated', 'nominated')) v(p, status) ON t.property = v.p
 """)
 def c15_values_join(spark, sf):
+    """Facts joined to an inline VALUES table of (property, status)."""
     t = Fixtures(spark, sf).triples
     vals = TR.values_table(spark, ["p", "status"], [("won", "winner"), ("nominated", "nominated")])
     return TR.match_pattern(t, [("?s", "?p", "?award")], values=vals).select("s", "award", "status")
@@ -101,6 +106,7 @@ SELECT subject AS s, object AS a FROM triples WHERE property = 'won'
 UNION SELECT subject, object FROM triples WHERE property = 'nominated'
 """)
 def g2_union_distinct(spark, sf):
+    """Union of two pattern branches with duplicates removed."""
     t = Fixtures(spark, sf).triples
     return TR.union_distinct(TR.triple_pattern(t, ("?s", "won", "?a")), TR.triple_pattern(t, ("?s", "nominated", "?a")))
 
@@ -111,6 +117,7 @@ JOIN triples n ON n.subject = t.subject AND n.property = 'nation'
 WHERE t.property IN ('won', 'nominated')
 """)
 def c13_alternative_path_bgp(spark, sf):
+    """Subjects with either of two properties and their nation, DISTINCT."""
     t = Fixtures(spark, sf).triples
     return TR.match_pattern(t, [("?s", "won|nominated", "?a"), ("?s", "nation", "?nation")],
                             select=["s", "nation"], distinct=True)
@@ -121,6 +128,7 @@ SELECT object AS nation, CAST(count(DISTINCT subject) AS BIGINT) AS n_members
 FROM triples WHERE property = 'nation' GROUP BY object
 """)
 def d24_group_as_distinct(spark, sf):
+    """Distinct members per nation."""
     p = TR.triple_pattern(Fixtures(spark, sf).triples, ("?s", "nation", "?nation"))
     return p.groupBy("nation").agg(F.count_distinct("s").cast("bigint").alias("n_members"))
 
@@ -133,6 +141,7 @@ SELECT s.subject, coalesce(en.o, mul.o, s.subject) AS label
 FROM s LEFT JOIN en USING (subject) LEFT JOIN mul USING (subject)
 """)
 def i23_label_fallback(spark, sf):
+    """Label in the preferred language, else the other, else the id."""
     t = Fixtures(spark, sf).triples
     subs = t.select("subject").distinct()
     return TR.label_fallback(t, subs, "subject", ["label_en", "label_mul"])
@@ -153,6 +162,7 @@ SELECT work_id,
 FROM ex GROUP BY work_id
 """)
 def j13_count_encode(spark, sf):
+    """Per-work counts of each author gender via the count encoder."""
     d = _reduced(Fixtures(spark, sf)).select("work_id", "gender")
     model = CountEncoder(["gender"], "work_id", 0.01).fit(d)
     return model.transform(d)
@@ -206,6 +216,7 @@ SELECT year, CAST(count(*) FILTER (WHERE gender = 'female') AS BIGINT) AS gender
 FROM cohort GROUP BY year
 """)
 def d23_one_hot_sums(spark, sf):
+    """Per-year counts of each gender value via the count encoder."""
     c = Fixtures(spark, sf).cohort.select("year", F.array("gender").alias("gender"))
     return CountEncoder(["gender"], "year", 0.01).fit(c).transform(c, counts_only=True)
 
@@ -222,6 +233,7 @@ SELECT work_id, year, round(sum(n_win) OVER (PARTITION BY year) * n_nom_all / su
 FROM cohort
 """)
 def j16_naive_expected(spark, sf):
+    """Expected wins of the naive baseline: N_win * n / sum(n) per cohort."""
     e = C.naive_expected(_cohort_totals(Fixtures(spark, sf)))
     return e.select("work_id", "year", F.round("expected_wins", 6).alias("expected_wins"))
 
@@ -238,6 +250,7 @@ def j16_naive_winners(spark, sf):
 
 @query("j16_naive_winners_rows")
 def j16_naive_winners_rows(spark, sf):
+    """Seeded multinomial draw of each cohort's wins (rows-only)."""
     return C.naive_winners(_cohort_totals(Fixtures(spark, sf)), "work_id", seed=11) \
         .select("work_id", "year", "naive_wins")
 
@@ -253,6 +266,7 @@ SELECT year, round(sum(CASE WHEN n_win > 0 THEN -n_win * ln(p_win) ELSE 0 END) /
 FROM p GROUP BY year
 """)
 def j20_multinomial_ce_loss(spark, sf):
+    """Per-cohort loss -sum(N_i/N_win ln p_i) with softmax probabilities."""
     p = C.cohort_softmax(Fixtures(spark, sf).cohort, "year", "score")
     return C.multinomial_ce_loss(p, "year", "n_win", "p_win").withColumn("loss", F.round("loss", 6))
 
@@ -262,6 +276,7 @@ SELECT round(sum(l), 6) AS total_loss FROM (
   SELECT year, sum(CASE WHEN n_win > 0 THEN -n_win * ln(p_win) ELSE 0 END) AS l FROM p GROUP BY year)
 """)
 def j20_total_loss_unnormalised(spark, sf):
+    """Sum over cohorts of the loss without the 1/N_win factor."""
     p = C.cohort_softmax(Fixtures(spark, sf).cohort, "year", "score")
     per = C.multinomial_ce_loss(p, "year", "n_win", "p_win", normalize=False)
     return C.total_loss(per).withColumn("total_loss", F.round("total_loss", 6))
@@ -276,6 +291,7 @@ SELECT tp, fp, fn, tn, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanc
        round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c
 """)
 def j21_classification_kpis(spark, sf):
+    """Confusion counts, balanced accuracy and F1 of top-N predictions."""
     c = R.cohort_total(Fixtures(spark, sf).cohort, "year", "n_win", "tot")
     pred = C.pick_winners(c, "year", "score", "tot", "work_id", out="pred")
     k = C.classification_kpis(pred, "n_win", "pred")
@@ -311,6 +327,7 @@ UNION ALL
 SELECT 'age', round(sum(nxy / n * ln(nxy * n / (nx * ny))), 6) FROM ma
 """)
 def j24_mutual_information(spark, sf):
+    """Binned mutual information of score and age with the won flag."""
     c = Fixtures(spark, sf).cohort.select("score", "age", (F.col("n_win") > 0).cast("int").alias("won"))
     mi = ST.binned_mutual_information(c, ["score", "age"], "won", bins=10)
     return mi.withColumn("mi", F.round("mi", 6))

@@ -14,6 +14,7 @@ SELECT author_id, author_label, year, CAST(count(award) AS BIGINT) AS award_coun
 FROM awards GROUP BY author_id, author_label, year
 """)
 def d1_group_count(spark, sf):
+    """Non-null award count per (author, label, year)."""
     a = Fixtures(spark, sf).awards
     return a.groupBy("author_id", "author_label", "year").agg(
         F.count("award").cast("bigint").alias("award_count"))
@@ -28,6 +29,7 @@ SELECT author_id, author_label, year,
 FROM per_year
 """)
 def e1_running_sum(spark, sf):
+    """Awards per (author, year) and their running total per author (RANGE frame)."""
     a = Fixtures(spark, sf).awards
     return cumulative_counts(a, ["author_id", "author_label"], "year", "award",
                              out="awards_as_of_year")

@@ -38,6 +38,7 @@ DESC_SCHEMA = "work_id LONG, pos LONG, description STRING"
 SELECT work_id, pos, description FROM tier1
 """)
 def a2_scan_csv_multiline(spark, sf):
+    """CSV with quoted multi-line text written and read back with a declared schema."""
     t = Fixtures(spark, sf).tier1
     path = scratch_path(spark, "a2")
     IO.write_table(t, path, "csv")
@@ -48,6 +49,7 @@ def a2_scan_csv_multiline(spark, sf):
 SELECT work_id, description FROM manual WHERE description IS NOT NULL
 """)
 def a6_write_csv(spark, sf):
+    """A table written as CSV with header (one job), read back."""
     m = Fixtures(spark, sf).manual.dropna(subset=["description"])
     path = scratch_path(spark, "a6")
     IO.write_table(m, path, "csv")
@@ -59,6 +61,7 @@ def a6_write_csv(spark, sf):
 SELECT list_row, title_id, year, rank FROM ranks
 """)
 def a3_scan_tsv(spark, sf):
+    """Tab-separated list rows written and read back."""
     r = Fixtures(spark, sf).ranks
     path = scratch_path(spark, "a3")
     IO.write_table(r, path, "tsv")
@@ -70,6 +73,7 @@ def a3_scan_tsv(spark, sf):
 SELECT vec_id, label, len(embedding) AS dim, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings
 """)
 def a4_scan_parquet_lists(spark, sf):
+    """Parquet with a list column read directly; per-row length and sum."""
     e = IO.read_table(spark, f"{sf.rstrip('/')}/embeddings.parquet", "parquet")
     tot = F.aggregate(F.transform("embedding", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x)
     return e.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"),
@@ -143,6 +147,7 @@ def a8_single_write_not_append(spark, sf):
 SELECT vec_id, label, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total FROM embeddings
 """)
 def a9_write_parquet_zstd(spark, sf):
+    """Parquet written with zstd level 15, read back."""
     e = Fixtures(spark, sf).vec
     path = scratch_path(spark, "a9")
     IO.write_table(e, path, "parquet", codec="zstd", level=15)
@@ -179,6 +184,7 @@ SELECT CAST(event_id AS STRING) AS id, {HEADLINE_SQL} AS headline, props AS abst
 FROM events WHERE event_type = 'view'
 """)
 def a11_flatten_docs(spark, sf):
+    """Archive responses (JSON) exploded to one row per front-page article, year and month stamped and cast."""
     return IO.flatten_docs(nested_responses(Fixtures(spark, sf)), "json")
 
 
@@ -203,6 +209,7 @@ SELECT event_id, '{ENTITY}Q' || CAST(event_id AS STRING) AS item,
 FROM events
 """)
 def a12_flatten_bindings(spark, sf):
+    """Query bindings {k: {value: v}} flattened to one column per key, null where absent."""
     return IO.flatten_bindings(bindings(Fixtures(spark, sf)), "json", ["item", "label", "k"], keep=["event_id"])
 
 
@@ -211,6 +218,7 @@ def a12_flatten_bindings(spark, sf):
 SELECT year, CAST(count(*) AS BIGINT) AS n FROM cohort GROUP BY year
 """)
 def a13_register_view(spark, sf):
+    """A DataFrame named as a temp view and queried with SQL."""
     Fixtures(spark, sf).cohort.createOrReplaceTempView("cohort_features")
     return spark.sql("SELECT year, CAST(count(*) AS BIGINT) AS n FROM cohort_features GROUP BY year")
 
@@ -219,6 +227,7 @@ def a13_register_view(spark, sf):
 SELECT topic, CAST(count(*) AS BIGINT) AS n FROM topic_month WHERE year >= 1996 AND year < 1999 GROUP BY topic
 """)
 def a14_parameterised_sql(spark, sf):
+    """SQL with named parameter markers and IDENTIFIER(:t) for the table name."""
     fx = Fixtures(spark, sf)
     fx.view("topic_month")
     return spark.sql("SELECT topic, CAST(count(*) AS BIGINT) AS n FROM IDENTIFIER(:t) "
@@ -250,6 +259,7 @@ cache AS (SELECT DISTINCT sha256(CAST(year AS STRING) || '/' || CAST(month AS ST
 SELECT year, month, path FROM grid WHERE sha256(path) NOT IN (SELECT key FROM cache)
 """)
 def a15_pending_requests(spark, sf):
+    """Request keys (SHA-256 of the path) not yet in the cache table: left anti join."""
     from wreath.operators.relational import calendar_grid
     t = Fixtures(spark, sf).topic_month
     path = lambda y, m: F.concat(F.col(y).cast("string"), F.lit("/"), F.col(m).cast("string"), F.lit(".json"))

@@ -57,6 +57,7 @@ def _leveled(fx):
 SELECT DISTINCT title_key_l, title_key_r, round(jaro_winkler_similarity(title_key_l, title_key_r), 6) AS jw FROM pairs
 """)
 def j9_jaro_winkler(spark, sf):
+    """Jaro-Winkler of every distinct pair of title keys."""
     p = S.linkage_pairs(Fixtures(spark, sf).catalog_a, Fixtures(spark, sf).catalog_b)
     d = p.select("title_key_l", "title_key_r").distinct()
     return d.withColumn("jw", F.round(LK.jaro_winkler_udf("title_key_l", "title_key_r"), 6))
@@ -66,6 +67,7 @@ def j9_jaro_winkler(spark, sf):
 SELECT unique_id_l, unique_id_r, title_level, author_level FROM lv
 """)
 def j9_comparison_levels(spark, sf):
+    """Jaro-Winkler comparison levels of every candidate pair."""
     return _leveled(Fixtures(spark, sf)).select("unique_id_l", "unique_id_r", "title_level", "author_level")
 
 
@@ -73,6 +75,7 @@ def j9_comparison_levels(spark, sf):
 SELECT unique_id_l, unique_id_r, round(match_weight, 6) AS match_weight, round(match_probability, 6) AS match_probability FROM pr
 """)
 def j12_match_probability(spark, sf):
+    """Match weight and probability of every candidate pair with fixed m and u."""
     s = LK.match_probability(_leveled(Fixtures(spark, sf)), FIXED_MODEL)
     return s.select("unique_id_l", "unique_id_r", F.round("match_weight", 6).alias("match_weight"),
                     F.round("match_probability", 6).alias("match_probability"))
@@ -92,6 +95,7 @@ def c8_probabilistic_linkage_join(spark, sf):
 SELECT CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(*) FILTER (WHERE match_probability >= 0.9) AS BIGINT) AS n_matches FROM pr
 """)
 def b16_score_threshold(spark, sf):
+    """Count of candidate pairs and of those with probability >= 0.9."""
     s = LK.match_probability(_leveled(Fixtures(spark, sf)), FIXED_MODEL)
     return s.agg(F.count(F.lit(1)).cast("bigint").alias("n_pairs"),
                  F.count_if(F.col("match_probability") >= 0.9).cast("bigint").alias("n_matches"))
@@ -108,6 +112,7 @@ GROUP BY jt.title_id, jt.work_id, r.year
 
 @query("j26_bestseller_match", oracle=J26_SQL)
 def j26_bestseller_match(spark, sf):
+    """Linkage with fixed weights, then max/count/median list rank before the award year."""
     fx = Fixtures(spark, sf)
     return S.bestseller_match(fx.catalog_a, fx.catalog_b, fx.ranks, model=FIXED_MODEL)
 

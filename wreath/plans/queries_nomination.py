@@ -110,6 +110,7 @@ WHERE work_id IS NOT NULL AND openlibrary_id IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY openlibrary_id ORDER BY work_id) = 1
 """)
 def a16_identifier_table(spark, sf):
+    """(work, OpenLibrary id) side table: nulls dropped, first work per id."""
     return S.identifier_table(Fixtures(spark, sf).nom, "openlibrary_id")
 
 
@@ -119,12 +120,14 @@ WHERE work_id IS NOT NULL AND article IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY article ORDER BY work_id) = 1
 """)
 def a16_identifier_table_url(spark, sf):
+    """(work, article URL) side table: nulls dropped, first work per URL."""
     return S.identifier_table(Fixtures(spark, sf).nom, "article")
 
 
 # ---------------------------------------------------------------- D13 / Q4
 @query("d13_dedup_first", oracle="WITH " + DEDUP + " SELECT * FROM dedup")
 def d13_dedup_first(spark, sf):
+    """One record per (work, author, award): earliest date, winner first, year, key."""
     return S.dedup_award_records(Fixtures(spark, sf).nom)
 
 
@@ -135,6 +138,7 @@ SELECT work_id, year AS modal_year FROM yc
 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY c DESC, year ASC) = 1
 """)
 def d3_mode_smallest_tie(spark, sf):
+    """Most frequent year per work, smallest on a tie."""
     return Fixtures(spark, sf).nom.groupBy("work_id").agg(mode_of("year").alias("modal_year"))
 
 
@@ -146,6 +150,7 @@ SELECT work_id,
 FROM nom GROUP BY work_id
 """)
 def d2_conditional_counts(spark, sf):
+    """Nominated and winner counts per work."""
     return Fixtures(spark, sf).nom.groupBy("work_id").agg(
         count_where(F.col("status") == "nominated").alias("n_nom"),
         count_where(F.col("status") == "winner").alias("n_win"))
@@ -157,12 +162,14 @@ SELECT work_id, goodreads_id, pub_date, CAST(count(*) AS BIGINT) AS n
 FROM (SELECT work_id, goodreads_id, pub_date FROM nom) GROUP BY ALL
 """)
 def d4_null_keeping_group(spark, sf):
+    """Grouping that keeps null keys as their own group."""
     t = Fixtures(spark, sf).nom.select("work_id", "goodreads_id", "pub_date", "status")
     return group_all_but(t, ["status"], [F.count(F.lit(1)).cast("bigint").alias("n")])
 
 
 @query("b3_all_but_keys", oracle="WITH " + WORKS + " SELECT * FROM works")
 def b3_all_but_keys(spark, sf):
+    """Group by every column except award, status and year (modal year, counts)."""
     return S.nomination_counts(S.dedup_award_records(Fixtures(spark, sf).nom))
 
 
@@ -172,6 +179,7 @@ SELECT w.work_id, w.author_id, w.year, CAST(coalesce(p.awards_as_of_year, 0) AS
 FROM works w LEFT JOIN prior p ON p.work_id = w.work_id AND p.author_id = w.author_id
 """)
 def c6_asof_join(spark, sf):
+    """Prior cumulative award total strictly before the award year (join + max_by), default 0."""
     fx = Fixtures(spark, sf)
     works = S.nomination_counts(S.dedup_award_records(fx.nom)).select("work_id", "author_id", "year")
     totals = S.cumulative_awards(fx.awards).select("author_id", "year", "awards_as_of_year")
@@ -184,6 +192,7 @@ SELECT w.work_id, w.author_id, w.year, CAST(coalesce(p.awards_as_of_year, 0) AS
 FROM works w LEFT JOIN prior p ON p.work_id = w.work_id AND p.author_id = w.author_id
 """)
 def c6_asof_join_window(spark, sf):
+    """The same as-of lookup through the union-and-window method."""
     fx = Fixtures(spark, sf)
     works = S.nomination_counts(S.dedup_award_records(fx.nom)).select("work_id", "author_id", "year")
     totals = S.cumulative_awards(fx.awards).select("author_id", "year", "awards_as_of_year")
@@ -195,6 +204,7 @@ def c6_asof_join_window(spark, sf):
 # ---------------------------------------------------------------- C1 / I11
 @query("c1_inner_join_bio", oracle="WITH " + CLEAN + " SELECT * FROM info")
 def c1_inner_join_bio(spark, sf):
+    """Works joined to biographies on author (several rows per author kept)."""
     fx = Fixtures(spark, sf)
     works = S.nomination_counts(S.dedup_award_records(fx.nom)).select("work_id", "author_id", "year")
     return S.author_biography(works, fx.bio)
@@ -207,6 +217,7 @@ SELECT CAST(count(*) FILTER (WHERE dob IS NOT NULL AND try_strptime(dob, '%Y-%m-
 FROM bio
 """)
 def i11_parse_timestamp_rejects(spark, sf):
+    """ISO dates parsed with a format; unparseable values counted instead of failing."""
     ts = F.try_to_timestamp(F.col("dob"), F.lit(S.ISO_Z))
     return Fixtures(spark, sf).bio.agg(
         count_where(F.col("dob").isNotNull() & ts.isNull()).alias("rejected"),
@@ -217,6 +228,7 @@ def i11_parse_timestamp_rejects(spark, sf):
 # ---------------------------------------------------------------- J28 (flagship)
 @query("j28_clean_nominations", oracle="WITH " + CLEAN + " SELECT * FROM clean")
 def j28_clean_nominations(spark, sf):
+    """The nomination table: dedup, counts, prior awards (as-of), biography."""
     return _clean(Fixtures(spark, sf))
 
 
@@ -225,6 +237,7 @@ def j28_clean_nominations(spark, sf):
 SELECT c.*, s."max", s."count", s."median" FROM clean c LEFT JOIN stats s USING (work_id)
 """)
 def c3_left_join_features(spark, sf):
+    """Nomination table left-joined with per-work list statistics."""
     fx = Fixtures(spark, sf)
     return _clean(fx).join(_stats(fx), "work_id", "left")
 
@@ -235,6 +248,7 @@ UNION ALL
 SELECT 'test' AS split, * FROM clean WHERE year >= 1999 AND year < 2001
 """)
 def g4_temporal_split(spark, sf):
+    """Nomination table split into train [1995, 1999) and test [1999, 2001)."""
     train, test = temporal_split(_clean(Fixtures(spark, sf)), "year", (1995, 1999), (1999, 2001))
     return (train.select(F.lit("train").alias("split"), "*")
             .unionByName(test.select(F.lit("test").alias("split"), "*")))
@@ -246,6 +260,7 @@ SELECT f.*, a.mean_age, a.gender, a.birth_country, a.awards_as_of_year
 FROM first_rows f LEFT JOIN author_data a USING (work_id)
 """)
 def j18_reduce_authors(spark, sf):
+    """One row per work: mean age, gender and country lists, summed prior awards."""
     fx = Fixtures(spark, sf)
     return S.reduce_authors(_clean(fx).join(_stats(fx), "work_id", "left"))
 
@@ -254,6 +269,7 @@ def j18_reduce_authors(spark, sf):
 SELECT * EXCLUDE (n_nom), n_nom + n_win AS n_nom_all FROM clean
 """)
 def j19_fix_nom_counts(spark, sf):
+    """n_nom_all = n_nom + n_win, n_nom dropped."""
     return S.fix_nom_counts(_clean(Fixtures(spark, sf)))
 
 
@@ -263,6 +279,7 @@ SELECT *, sum(n_nom_all) OVER (PARTITION BY year) AS tot_cohort_nom,
 FROM features
 """)
 def j17_cohort_features(spark, sf):
+    """Model features: authors reduced, totals, list columns, month, cohort totals."""
     fx = Fixtures(spark, sf)
     return S.cohort_features(_clean(fx).join(_stats(fx), "work_id", "left"))
 
@@ -273,6 +290,7 @@ SELECT *, sum(n_nom_all) OVER (PARTITION BY year) AS tot_cohort_nom,
        sum(n_win) OVER (PARTITION BY year) AS tot_cohort_awards FROM cohort
 """)
 def e2_partition_total(spark, sf):
+    """Cohort totals of nominations and wins on every row."""
     c = Fixtures(spark, sf).cohort
     return cohort_total(cohort_total(c, "year", "n_nom_all", "tot_cohort_nom"),
                         "year", "n_win", "tot_cohort_awards")
@@ -284,6 +302,7 @@ FROM cohort c FULL JOIN (SELECT year, sum(n_nom_all) AS tot_cohort_nom, sum(n_wi
                          FROM cohort GROUP BY year) t USING (year)
 """)
 def c4_full_outer_totals(spark, sf):
+    """Cohort totals attached with a full outer join on year."""
     c = Fixtures(spark, sf).cohort
     t = c.groupBy("year").agg(F.sum("n_nom_all").alias("tot_cohort_nom"),
                               F.sum("n_win").alias("tot_cohort_awards"))
@@ -294,6 +313,7 @@ def c4_full_outer_totals(spark, sf):
 SELECT work_id, year, round(n_nom_all / sum(n_nom_all) OVER (PARTITION BY year), 6) AS nom_share FROM cohort
 """)
 def e4_cohort_share(spark, sf):
+    """Each work's share of its cohort's nominations."""
     c = Fixtures(spark, sf).cohort.select("work_id", "year", "n_nom_all")
     return cohort_share(c, "year", "n_nom_all", "nom_share") \
         .select("work_id", "year", F.round("nom_share", 6).alias("nom_share"))

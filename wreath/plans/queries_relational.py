@@ -36,6 +36,7 @@ SELECT title AS itemLabel, work_id AS work_qid, author_label AS authorLabel,
        author_id AS author_qid, article AS wikipedia_url, year FROM nom
 """)
 def b1_rename(spark, sf):
+    """Columns renamed by a map."""
     return (Fixtures(spark, sf).nom.select("title", "work_id", "author_label", "author_id", "article", "year")
             .withColumnsRenamed({"title": "itemLabel", "work_id": "work_qid", "author_label": "authorLabel",
                                  "author_id": "author_qid", "article": "wikipedia_url"}))
@@ -45,6 +46,7 @@ def b1_rename(spark, sf):
 SELECT * EXCLUDE (openlibrary_id, isbn, article, ok, ln) FROM nom
 """)
 def b2_project_drop(spark, sf):
+    """Identifier and key columns dropped."""
     return Fixtures(spark, sf).nom.drop("openlibrary_id", "isbn", "article", "ok", "ln")
 
 
@@ -53,6 +55,7 @@ SELECT author_id, gender, CAST(year(try_strptime(dob, {ISO})) AS INT) AS birth_y
        CAST(2000 - year(try_strptime(dob, {ISO})) AS INT) AS age_2000 FROM bio
 """)
 def b4_assign(spark, sf):
+    """Computed columns: birth year and age in 2000 from an ISO date string."""
     by = F.year(F.try_to_timestamp("dob", F.lit(S.ISO_Z))).cast("int")
     return Fixtures(spark, sf).bio.withColumns({"birth_year": by, "age_2000": (2000 - by).cast("int")}) \
         .select("author_id", "gender", "birth_year", "age_2000")
@@ -62,6 +65,7 @@ def b4_assign(spark, sf):
 SELECT work_id, description FROM manual WHERE description IS NOT NULL
 """)
 def b5_drop_nulls(spark, sf):
+    """Rows with a null description dropped."""
     return Fixtures(spark, sf).manual.dropna(subset=["description"])
 
 
@@ -69,6 +73,7 @@ def b5_drop_nulls(spark, sf):
 SELECT doc_id, year, topic FROM topic_month WHERE year >= 1996 AND year < 1999
 """)
 def b6_half_open_range(spark, sf):
+    """Half-open year range filter lo <= year < hi."""
     t = Fixtures(spark, sf).topic_month
     return t.filter((F.col("year") >= 1996) & (F.col("year") < 1999)).select("doc_id", "year", "topic")
 
@@ -89,6 +94,7 @@ def b6_date_range_pushdown(spark, sf):
 SELECT doc_id, month, topic FROM topic_month WHERE year = 1997
 """)
 def b7_equality_filter(spark, sf):
+    """Single-year filter."""
     return Fixtures(spark, sf).topic_month.filter(F.col("year") == 1997).select("doc_id", "month", "topic")
 
 
@@ -96,6 +102,7 @@ def b7_equality_filter(spark, sf):
 SELECT work_id, pos FROM tier1 WHERE description IS NOT NULL AND work_id <> 5
 """)
 def b8_not_null_not_equal(spark, sf):
+    """Description present and one id excluded."""
     t = Fixtures(spark, sf).tier1
     return t.filter(F.col("description").isNotNull() & (F.col("work_id") != 5)).select("work_id", "pos")
 
@@ -105,6 +112,7 @@ SELECT ok, ln, work_id, year FROM nom
 WHERE year < CAST(substr(pub_date, 1, 4) AS INT) + 35
 """)
 def b9_column_compare(spark, sf):
+    """Filter comparing two columns of the same row."""
     n = Fixtures(spark, sf).nom
     return n.filter(F.col("year") < F.substring("pub_date", 1, 4).cast("int") + 35) \
         .select("ok", "ln", "work_id", "year")
@@ -114,6 +122,7 @@ def b9_column_compare(spark, sf):
 SELECT ok, ln, award FROM nom WHERE award IN ('A', 'R') AND author_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey IN (1, 2, 3))
 """)
 def b10_membership(spark, sf):
+    """IN-list filter plus a semi join against a filtered key table."""
     fx = Fixtures(spark, sf)
     chosen = fx.supplier.filter(F.col("s_nationkey").isin(1, 2, 3)).select(F.col("s_suppkey").alias("author_id"))
     return (fx.nom.filter(F.col("award").isin("A", "R"))
@@ -124,6 +133,7 @@ def b10_membership(spark, sf):
 SELECT work_id, coalesce(age, 0) AS age, gender FROM cohort
 """)
 def b11_fill_null_constants(spark, sf):
+    """Missing numbers filled with a constant."""
     return Fixtures(spark, sf).cohort.select("work_id", "age", "gender").fillna({"age": 0.0})
 
 
@@ -131,6 +141,7 @@ def b11_fill_null_constants(spark, sf):
 SELECT list_row, CAST(rank AS INT) AS rank_int, CAST(year AS DOUBLE) AS year_f FROM ranks
 """)
 def b12_cast(spark, sf):
+    """Integer and double casts."""
     r = Fixtures(spark, sf).ranks
     return r.select("list_row", F.col("rank").cast("int").alias("rank_int"),
                     F.col("year").cast("double").alias("year_f"))
@@ -140,6 +151,7 @@ def b12_cast(spark, sf):
 SELECT work_id, n_win > 0 AS won FROM cohort
 """)
 def b13_derived_boolean(spark, sf):
+    """won = n_win > 0."""
     return Fixtures(spark, sf).cohort.select("work_id", (F.col("n_win") > 0).alias("won"))
 
 
@@ -148,6 +160,7 @@ SELECT doc_id, heading FROM (SELECT doc_id, {_HEADING_SQL} AS heading FROM docum
 WHERE regexp_matches(lower(heading), '^(plot|synopsis|premise|summary|overview|setting|back story|backstory)')
 """)
 def b14_any_prefix(spark, sf):
+    """Case-folded heading starts with one of the synopsis words."""
     from wreath.functions.text import any_prefix
     d = Fixtures(spark, sf).sql(f"SELECT doc_id, {_HEADING_SQL} AS heading FROM documents")
     return d.filter(any_prefix(F.col("heading"), SYNOPSIS_PREFIXES))
@@ -158,6 +171,7 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN coalesce(CASE WHEN doc_id % 3 = 0 THEN
                     ELSE lang END AS picked FROM documents
 """)
 def b15_if_coalesce(spark, sf):
+    """IF(language = en, COALESCE(a, b), b)."""
     d = Fixtures(spark, sf).documents
     work = F.when(F.col("doc_id") % 3 != 0, F.col("source"))
     return d.select("doc_id", F.when(F.col("lang") == "en", F.coalesce(work, F.col("lang")))
@@ -168,6 +182,7 @@ def b15_if_coalesce(spark, sf):
 SELECT subject, object FROM triples WHERE property IN ('won', 'nominated')
 """)
 def b17_property_alternatives(spark, sf):
+    """Facts whose property is one of two alternatives."""
     t = Fixtures(spark, sf).triples
     return t.filter(F.col("property").isin("won", "nominated")).select("subject", "object")
 
@@ -183,6 +198,7 @@ JOIN ({OL_WORKS}) w ON '/works/' || i.openlibrary_id = w.key
 WHERE w.description IS NOT NULL AND i.openlibrary_id <> 'OL10W'
 """)
 def c2_join_computed_key(spark, sf):
+    """Join on a computed key ('/works/' || id), non-null, one id excluded, DISTINCT."""
     fx = Fixtures(spark, sf)
     ids = fx.nom.select("work_id", "openlibrary_id").filter(F.col("openlibrary_id").isNotNull())
     works = fx.sql(OL_WORKS)
@@ -197,6 +213,7 @@ WHERE work_id NOT IN (SELECT work_id FROM tier1 WHERE description IS NOT NULL)
   AND work_id NOT IN (SELECT work_id FROM tier2 WHERE description IS NOT NULL)
 """)
 def c5_left_anti_chain(spark, sf):
+    """Works of the third tier not solved by the first two (anti join chain)."""
     fx = Fixtures(spark, sf)
     solved1 = fx.tier1.filter(F.col("description").isNotNull()).select("work_id")
     solved2 = fx.tier2.filter(F.col("description").isNotNull()).select("work_id")
@@ -209,6 +226,7 @@ SELECT a.unique_id AS unique_id_l, b.unique_id AS unique_id_r, b.year AS year_r
 FROM catalog_a a JOIN catalog_b b ON a.year = b.year - 1
 """)
 def c7_shifted_equality_join(spark, sf):
+    """Pairs across two catalogues blocked on list year = award year - 1."""
     fx = Fixtures(spark, sf)
     p = R.blocked_pairs(fx.catalog_a, fx.catalog_b, F.col("year"), F.col("year") - 1)
     return p.select("unique_id_l", "unique_id_r", "year_r")
@@ -219,6 +237,7 @@ SELECT b.year AS year_r, CAST(count(*) AS BIGINT) AS n_pairs
 FROM catalog_a a JOIN catalog_b b ON a.year = b.year - 1 GROUP BY b.year
 """)
 def g3_two_set_link_input(spark, sf):
+    """Candidate pairs per block across the two sets only."""
     fx = Fixtures(spark, sf)
     p = R.blocked_pairs(fx.catalog_a, fx.catalog_b, F.col("year"), F.col("year") - 1)
     return p.groupBy("year_r").agg(F.count(F.lit(1)).cast("bigint").alias("n_pairs"))
@@ -233,6 +252,7 @@ SELECT coalesce(p.work_id, f.work_id) AS work_id, coalesce(p.description, f.desc
 FROM primary_ p FULL JOIN fallback f ON p.work_id = f.work_id
 """)
 def c9_fill_join(spark, sf):
+    """Combine-first: primary descriptions win, manual ones fill and add works."""
     fx = Fixtures(spark, sf)
     primary = R.dedup_first(fx.tier1.filter(F.col("description").isNotNull()), "work_id", ["pos"]) \
         .select("work_id", "description")
@@ -247,6 +267,7 @@ SELECT l.work_id, l.metric, l.value, c.n_win > 0 AS won, c.year
 FROM long l LEFT JOIN cohort c USING (work_id)
 """)
 def c11_index_join_melt(spark, sf):
+    """Melted (long) rows joined back to their wide row by key."""
     c = Fixtures(spark, sf).cohort
     long = c.unpivot("work_id", ["score", "age"], "metric", "value")
     return long.join(c.select("work_id", (F.col("n_win") > 0).alias("won"), "year"), "work_id", "left")
@@ -260,6 +281,7 @@ SELECT work_id,
 FROM nom GROUP BY work_id
 """)
 def d5_first_last_nonnull(spark, sf):
+    """First non-null ISBN and last non-null OpenLibrary id per work in record order."""
     return Fixtures(spark, sf).nom.groupBy("work_id").agg(
         first_nonnull_by("isbn", "ok", "ln").alias("first_isbn"),
         last_nonnull_by("openlibrary_id", "ok", "ln").alias("last_ol"))
@@ -270,6 +292,7 @@ SELECT title_id, year, max(rank) AS "max", CAST(count(rank) AS BIGINT) AS "count
 FROM ranks GROUP BY title_id, year
 """)
 def d6_max_count_median(spark, sf):
+    """Max, count and median rank per (title, year)."""
     return Fixtures(spark, sf).ranks.groupBy("title_id", "year").agg(
         F.max("rank").alias("max"), F.count("rank").cast("bigint").alias("count"),
         F.median("rank").alias("median"))
@@ -297,6 +320,7 @@ WITH f AS (SELECT work_id, author_label, min([ok, CAST(ln AS BIGINT), author_id]
 SELECT work_id, string_agg(author_label, ' ' ORDER BY p) AS authors FROM f GROUP BY work_id
 """)
 def d8_distinct_concat(spark, sf):
+    """Distinct author names per work joined by a space in first-seen order."""
     return concat_distinct_by(Fixtures(spark, sf).nom, "work_id", "author_label", ["ok", "ln", "author_id"],
                               out="authors")
 
@@ -305,6 +329,7 @@ def d8_distinct_concat(spark, sf):
 SELECT work_id, title, arg_min(author_label, author_id) AS first_author FROM nom GROUP BY work_id, title
 """)
 def d9_first_in_group(spark, sf):
+    """First author label per (work, title) by author id."""
     return Fixtures(spark, sf).nom.groupBy("work_id", "title").agg(
         F.min_by("author_label", "author_id").alias("first_author"))
 
@@ -314,6 +339,7 @@ SELECT year, CAST(sum(n_nom_all) AS BIGINT) AS tot_cohort_nom, CAST(sum(n_win) A
 FROM cohort GROUP BY year
 """)
 def d10_cohort_totals(spark, sf):
+    """Sums of nominations and wins per cohort year."""
     return Fixtures(spark, sf).cohort.groupBy("year").agg(
         F.sum("n_nom_all").cast("bigint").alias("tot_cohort_nom"),
         F.sum("n_win").cast("bigint").alias("tot_cohort_awards"))
@@ -326,6 +352,7 @@ SELECT CAST(count(DISTINCT work_id) AS BIGINT) AS n_identified FROM (
   UNION ALL SELECT work_id FROM nom WHERE article IS NOT NULL)
 """)
 def d11_count_distinct_union(spark, sf):
+    """Distinct works present in any of three identifier tables."""
     n = Fixtures(spark, sf).nom
     u = (n.filter(F.col("openlibrary_id").isNotNull()).select("work_id")
          .unionByName(n.filter(F.col("isbn").isNotNull()).select("work_id"))
@@ -344,6 +371,7 @@ SELECT CAST(count(*) AS BIGINT) AS n_works, CAST(count(c.work_id) AS BIGINT) AS
 FROM allw a LEFT JOIN covered c USING (work_id)
 """)
 def j25_coverage_report(spark, sf):
+    """Works, works with any identifier, and works without."""
     n = Fixtures(spark, sf).nom
     srcs = [S.identifier_table(n, c).select("work_id") for c in ("openlibrary_id", "isbn", "article")]
     return ST.coverage_report(n, "work_id", srcs)
@@ -353,6 +381,7 @@ def j25_coverage_report(spark, sf):
 SELECT DISTINCT work_id, description FROM tier1
 """)
 def d12_row_distinct(spark, sf):
+    """Full-row DISTINCT."""
     return Fixtures(spark, sf).tier1.select("work_id", "description").distinct()
 
 
@@ -362,6 +391,7 @@ SELECT year, topic, month, CAST(count(*) AS BIGINT) AS frequency FROM topic_mont
 
 @query("d25_monthly_frequency", oracle=TOPIC_FREQ)
 def d25_monthly_frequency(spark, sf):
+    """Documents per (year, topic, month)."""
     from wreath.operators.topics import topics_over_time
     return topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
 
@@ -372,6 +402,7 @@ SELECT year, topic, max(frequency) >= 10 AS any_frequent, bool_and(frequency < 1
 FROM f GROUP BY year, topic
 """)
 def d14_every_any(spark, sf):
+    """Per topic: any month with >= 10 documents, and all months below 10."""
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
     return f.groupBy("year", "topic").agg((F.max("frequency") >= 10).alias("any_frequent"),
@@ -384,6 +415,7 @@ SELECT n_win > 0 AS won, round(avg(score), 6) AS mean_score,
 FROM cohort GROUP BY ALL
 """)
 def d15_conditional_mean(spark, sf):
+    """Mean score by won flag, and a conditional mean inside the group."""
     c = Fixtures(spark, sf).cohort
     return c.groupBy((F.col("n_win") > 0).alias("won")).agg(
         F.round(F.avg("score"), 6).alias("mean_score"),
@@ -396,6 +428,7 @@ SELECT gender, year, CAST(sum(n_win) AS BIGINT) AS n_win, CAST(sum(n_nom_all) AS
 FROM cohort GROUP BY GROUPING SETS ((gender), (gender, year))
 """)
 def d16_group_rate(spark, sf):
+    """Win rate sum(win)/sum(nominations) per gender and per gender x year."""
     c = Fixtures(spark, sf).cohort
     a = ST.group_rate(c, ["gender"], "n_win", "n_nom_all").withColumn("year", F.lit(None).cast("int"))
     b = ST.group_rate(c, ["gender", "year"], "n_win", "n_nom_all")
@@ -411,6 +444,7 @@ SELECT year, round(avg(age), 6) AS mean, CAST(count(age) AS BIGINT) AS n,
 FROM cohort GROUP BY year
 """)
 def d17_mean_interval(spark, sf):
+    """Mean age per year with a normal 95% interval."""
     m = ST.mean_interval(Fixtures(spark, sf).cohort, "year", "age")
     return m.select("year", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n")
 
@@ -420,6 +454,7 @@ SELECT n_win, q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3, q[5] AS q4 FROM (
   SELECT n_win, quantile_cont(age, [0, 0.25, 0.5, 0.75, 1]) AS q FROM cohort GROUP BY n_win)
 """)
 def d18_five_number(spark, sf):
+    """Min, quartiles and max of age per number of wins."""
     return ST.five_number(Fixtures(spark, sf).cohort, "n_win", "age")
 
 
@@ -428,6 +463,7 @@ SELECT gender, floor(age / 10) * 10 AS bin_lo, CAST(count(*) AS BIGINT) AS n
 FROM cohort WHERE age IS NOT NULL GROUP BY ALL
 """)
 def d19_histogram(spark, sf):
+    """Age histogram in 10-year bins per gender."""
     return ST.histogram(Fixtures(spark, sf).cohort, "age", 10, by=["gender"]) \
         .withColumn("bin_lo", F.col("bin_lo").cast("double"))
 
@@ -441,6 +477,7 @@ SELECT year, round(avg(age), 6) AS mean_age, CAST(sum(n_nom_all) AS BIGINT) AS n
 FROM j GROUP BY year
 """)
 def d20_mixed_wide_agg(spark, sf):
+    """Per year: mean, sum, first vector by key, indicator counts."""
     fx = Fixtures(spark, sf)
     j = fx.cohort.join(fx.vec.select(F.col("vec_id").alias("work_id"), "embedding"), "work_id", "left")
     return j.groupBy("year").agg(
@@ -460,6 +497,7 @@ d AS (SELECT g.year, g.topic, m.month, coalesce(f.frequency, 0) AS frequency
 SELECT year, topic, round(kurtosis(frequency), 6) AS kurtosis FROM d GROUP BY year, topic
 """)
 def d21_kurtosis_unbiased(spark, sf):
+    """Bias-corrected sample excess kurtosis of each topic's 12-month series."""
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
     d = R.densify(f, ["year", "topic"], "month", 1, 12, "frequency")
@@ -471,6 +509,7 @@ WITH s AS (SELECT label, CAST(count(*) AS BIGINT) AS size FROM vec GROUP BY labe
 SELECT label, size, round(size / sum(size) OVER (), 6) AS share FROM s
 """)
 def d22_share_of_total(spark, sf):
+    """Each label's share of all vectors."""
     s = Fixtures(spark, sf).vec.groupBy("label").agg(F.count(F.lit(1)).cast("bigint").alias("size"))
     return ST.share_of_total(s, "size").withColumn("share", F.round("share", 6))
 
@@ -483,6 +522,7 @@ SELECT CAST(count(work_id) AS BIGINT) AS work_id, CAST(count(year) AS BIGINT) AS
 FROM cohort
 """)
 def d27_non_null_counts(spark, sf):
+    """Non-null count of every column."""
     return ST.non_null_counts(Fixtures(spark, sf).cohort)
 
 
@@ -492,6 +532,7 @@ SELECT t.vec_id, t.says_award, round((SELECT sum(nc) FROM c) / ((SELECT count(*)
 FROM train_vec t JOIN c USING (says_award)
 """)
 def d28_class_weights(spark, sf):
+    """Balanced class weight n / (classes * n_class) on every row."""
     t = Fixtures(spark, sf).train_vec.select("vec_id", "says_award")
     return ST.balanced_weights(t, "says_award").withColumn("weight", F.round("weight", 6))
 
@@ -506,6 +547,7 @@ SELECT work_id, tier, description FROM u
 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY tier, pos) = 1
 """)
 def e3_first_by_priority(spark, sf):
+    """First non-empty answer per work across three tiers in priority order."""
     fx = Fixtures(spark, sf)
     return R.first_tier([fx.tier1, fx.tier2, fx.tier3], "work_id", "description", pos="pos",
                         nonempty=[False, True, True])
@@ -516,6 +558,7 @@ WITH e AS (SELECT work_id, year, exp(score - max(score) OVER (PARTITION BY year)
 SELECT work_id, year, round(e / sum(e) OVER (PARTITION BY year), 6) AS p_win FROM e
 """)
 def e5_cohort_softmax(spark, sf):
+    """Softmax of scores within each cohort."""
     c = Fixtures(spark, sf).cohort.select("work_id", "year", "score")
     return C.cohort_softmax(c, "year", "score").select("work_id", "year", F.round("p_win", 6).alias("p_win"))
 
@@ -526,6 +569,7 @@ SELECT work_id, year, CAST(row_number() OVER (PARTITION BY year ORDER BY score D
 FROM t
 """)
 def e6_top_n_per_cohort(spark, sf):
+    """Top N_win works per cohort by score flagged as predicted winners."""
     c = R.cohort_total(Fixtures(spark, sf).cohort, "year", "n_win", "tot_cohort_awards")
     return C.pick_winners(c, "year", "score", "tot_cohort_awards", "work_id").select("work_id", "year", "pred_win")
 
@@ -535,6 +579,7 @@ def e6_top_n_per_cohort(spark, sf):
 SELECT ok, ln, author_id, pub_date FROM nom ORDER BY pub_date ASC NULLS LAST, ok, ln, author_id
 """)
 def f1_sort_nulls_last(spark, sf):
+    """Records sorted by date ascending with nulls last, then key."""
     n = Fixtures(spark, sf).nom
     return n.select("ok", "ln", "author_id", "pub_date").orderBy(
         F.col("pub_date").asc_nulls_last(), "ok", "ln", "author_id")
@@ -546,6 +591,7 @@ SELECT author_label, year, CAST(sum(n) OVER (PARTITION BY author_id ORDER BY yea
 FROM per_year ORDER BY author_label, year
 """)
 def f2_multi_key_order(spark, sf):
+    """Running totals ordered by label, then year."""
     c = S.cumulative_awards(Fixtures(spark, sf).awards)
     return c.select("author_label", "year", "awards_as_of_year").orderBy("author_label", "year")
 
@@ -554,6 +600,7 @@ def f2_multi_key_order(spark, sf):
 SELECT doc_id, list_filter(string_split(text, chr(10)), lambda l: length(l) > 80)[1] AS first_long_line FROM documents
 """)
 def f3_first_match_in_list(spark, sf):
+    """First line longer than 80 characters of each document."""
     d = Fixtures(spark, sf).documents
     lines = F.split(F.col("text"), "\n")
     return d.select("doc_id", F.get(F.filter(lines, lambda l: F.length(l) > 80), 0).alias("first_long_line"))
@@ -572,6 +619,7 @@ def f4_head_after_order(spark, sf):
 SELECT CAST(count(DISTINCT work_id) AS BIGINT) AS n_works FROM nom
 """)
 def f4_scalar(spark, sf):
+    """A one-value result: number of distinct works."""
     return Fixtures(spark, sf).nom.agg(F.count_distinct("work_id").cast("bigint").alias("n_works"))
 
 
@@ -580,6 +628,7 @@ WITH f AS ({TOPIC_FREQ})
 SELECT year, topic, list(frequency ORDER BY month) AS series FROM f GROUP BY year, topic
 """)
 def f5_sorted_series(spark, sf):
+    """Each topic's monthly counts as a list ordered by month."""
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
     return f.groupBy("year", "topic").agg(ordered_list("frequency", "month").alias("series"))
@@ -592,6 +641,7 @@ UNION ALL SELECT work_id, 'isbn' FROM nom WHERE isbn IS NOT NULL
 UNION ALL SELECT work_id, 'wikipedia' FROM nom WHERE article IS NOT NULL
 """)
 def g1_union_by_name(spark, sf):
+    """Work ids of three identifier sources stacked by name with a source label."""
     n = Fixtures(spark, sf).nom
     parts = [n.filter(F.col(c).isNotNull()).select(F.lit(s).alias("source"), "work_id")
              for c, s in (("openlibrary_id", "openlibrary"), ("isbn", "isbn"), ("article", "wikipedia"))]
@@ -616,6 +666,7 @@ WITH l AS ({LINES_SQL})
 SELECT doc_id, unnest(CASE WHEN lines IS NULL OR len(lines) = 0 THEN [NULL] ELSE lines END) AS line FROM l
 """)
 def h1_explode_outer(spark, sf):
+    """Lines of each document exploded; empty and null lists give one null row."""
     return _lines(Fixtures(spark, sf)).select("doc_id", F.explode_outer("lines").alias("line"))
 
 
@@ -626,6 +677,7 @@ SELECT doc_id, unnest(CASE WHEN lines IS NULL OR len(lines) = 0 THEN [NULL] ELSE
        unnest(CASE WHEN sizes IS NULL OR len(sizes) = 0 THEN [NULL] ELSE sizes END) AS sizes FROM z
 """)
 def h2_zipped_explode(spark, sf):
+    """Two equal-length lists exploded together."""
     l = _lines(Fixtures(spark, sf)).withColumn("sizes", F.transform("lines", lambda x: F.length(x)))
     return R.explode_zip(l, ["lines", "sizes"])
 
@@ -635,6 +687,7 @@ SELECT work_id, 'score' AS metric, score AS value FROM cohort
 UNION ALL SELECT work_id, 'age', age FROM cohort
 """)
 def h3_melt(spark, sf):
+    """Wide score/age columns melted to (metric, value)."""
     return Fixtures(spark, sf).cohort.unpivot("work_id", ["score", "age"], "metric", "value")
 
 
@@ -643,6 +696,7 @@ SELECT work_id, CAST(gender = 'female' AS INT) AS gender_female, CAST(gender = '
        CAST(gender = 'non-binary' AS INT) AS "gender_non-binary" FROM cohort
 """)
 def h4_dummy_columns(spark, sf):
+    """One 0/1 column per fitted gender value."""
     c = Fixtures(spark, sf).cohort.select("work_id", "gender")
     return ST.dummies(c, "gender", ST.fitted_values(c, "gender", max_values=100))
 
@@ -655,6 +709,7 @@ FROM g CROSS JOIN range(1, 13) m(month)
 LEFT JOIN f ON f.year = g.year AND f.topic = g.topic AND f.month = m.month
 """)
 def h5_densify_months(spark, sf):
+    """Every topic gets months 1..12, missing ones as 0."""
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
     return R.densify(f, ["year", "topic"], "month", 1, 12, "frequency").withColumn("month", F.col("month").cast("bigint"))
@@ -667,6 +722,7 @@ SELECT year, topic, len(flatten([series for i in range(3)])) AS n, flatten([seri
 FROM s
 """)
 def h6_tile_series(spark, sf):
+    """Each monthly series tiled three times end to end."""
     from wreath.functions.arrays import tile
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
@@ -679,4 +735,5 @@ def h6_tile_series(spark, sf):
 SELECT y.year, m.month FROM (SELECT DISTINCT year FROM topic_month) y CROSS JOIN range(1, 13) m(month)
 """)
 def h7_calendar_grid(spark, sf):
+    """Every (year, month) of the years present."""
     return R.calendar_grid(Fixtures(spark, sf).topic_month, "year").withColumn("month", F.col("month").cast("bigint"))

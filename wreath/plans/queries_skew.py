@@ -54,6 +54,7 @@ SELECT work_id, year AS modal_year FROM yc
 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY c DESC, year ASC) = 1
 """)
 def d3_mode_hot_key(spark, sf):
+    """Modal year per work when one work holds a third of the records."""
     from wreath.functions.aggregates import mode_of
     return _hot_nom(Fixtures(spark, sf)).groupBy("work_id").agg(mode_of("year").alias("modal_year"))
 
@@ -74,6 +75,7 @@ WITH e AS (SELECT work_id, year, exp(score - max(score) OVER (PARTITION BY year)
 SELECT work_id, year, round(e / sum(e) OVER (PARTITION BY year), 6) AS p_win FROM e
 """)
 def e5_softmax_hot_cohort(spark, sf):
+    """Cohort softmax when one cohort holds a third of the works."""
     c = _hot_cohort(Fixtures(spark, sf)).select("work_id", "year", "score")
     return C.cohort_softmax(c, "year", "score").select("work_id", "year", F.round("p_win", 6).alias("p_win"))
 

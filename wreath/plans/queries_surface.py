@@ -24,6 +24,7 @@ SELECT work_id, n_nom_all + n_win AS total, n_nom_all - n_win AS losses,
 FROM cohort
 """)
 def i22_column_arithmetic(spark, sf):
+    """Add, subtract, guarded divide and share of the cohort."""
     c = R.cohort_total(Fixtures(spark, sf).cohort, "year", "n_win", "__t")
     return c.select("work_id", (F.col("n_nom_all") + F.col("n_win")).alias("total"),
                     (F.col("n_nom_all") - F.col("n_win")).alias("losses"),

@@ -52,6 +52,7 @@ SELECT event_id, ({HEADLINE_SQL}) || ' ' || CASE WHEN event_id % 4 = 0 THEN NULL
 FROM events
 """)
 def i1_concat_null_propagates(spark, sf):
+    """Headline || ' ' || abstract; a null part gives null."""
     h = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("LEAD:")).otherwise(F.lit("")),
                  F.initcap("event_type"), F.lit(" Report "), F.col("user_id").cast("string"))
     a = F.when(F.col("event_id") % 4 != 0, F.col("props"))
@@ -64,6 +65,7 @@ SELECT CAST(event_id AS STRING) AS id,
 FROM events WHERE event_type = 'view'
 """)
 def i2_clean_headline(spark, sf):
+    """Headline without a leading LEAD:, lower-cased, plus the abstract."""
     d = IO.flatten_docs(nested_responses(Fixtures(spark, sf)), "json")
     return d.select("id", TX.clean_headline("headline", "abstract").alias("headline_abstract"))
 
@@ -73,6 +75,7 @@ def i2_clean_headline(spark, sf):
 SELECT doc_id, replace(lower(text), 'ß', 'ss') AS folded FROM documents
 """)
 def i3_casefold(spark, sf):
+    """Case folding (lower plus the letters whose fold differs)."""
     return Fixtures(spark, sf).documents.select("doc_id", TX.casefold("text").alias("folded"))
 
 
@@ -80,6 +83,7 @@ def i3_casefold(spark, sf):
 SELECT doc_id, {_duck_ascii('text')} AS ascii FROM documents
 """)
 def i4_to_ascii(spark, sf):
+    """Case-folded text transliterated to ASCII."""
     return Fixtures(spark, sf).documents.select("doc_id", TX.to_ascii(TX.casefold("text")).alias("ascii"))
 
 
@@ -102,6 +106,7 @@ SELECT unique_id, {_duck_name_key('title')} AS title_key, {_duck_name_key('autho
 FROM catalog_b
 """)
 def i5_name_key_catalog(spark, sf):
+    """Title and author comparison keys of a catalogue."""
     c = Fixtures(spark, sf).catalog_b
     return c.select("unique_id", TX.name_key("title").alias("title_key"), TX.name_key("author").alias("author_key"))
 
@@ -112,6 +117,7 @@ SELECT ok, ln, author_id, split_part(title || ';' || author_label, ';', 1) AS ti
        split_part(title || ';' || author_label, ';', 2) AS author FROM nom
 """)
 def i6_split_part(spark, sf):
+    """A packed 'title;author' string split back into its parts."""
     n = Fixtures(spark, sf).nom
     packed = F.concat_ws(";", "title", "author_label")
     return n.select("ok", "ln", "author_id", TX.split_part(packed, ";", 1).alias("title"),
@@ -123,6 +129,7 @@ SELECT conv_id, turn, regexp_replace(chr(10) || '  ' || text || ' ' || chr(9), '
 FROM conversations
 """)
 def i7_strip_whitespace(spark, sf):
+    """Whitespace trimmed at both ends (newlines and tabs too)."""
     c = Fixtures(spark, sf).conversations
     padded = F.concat(F.lit("\n  "), F.col("text"), F.lit(" \t"))
     return c.select("conv_id", "turn", TX.strip_ws(padded).alias("stripped"))
@@ -134,6 +141,7 @@ SELECT DISTINCT article, url_decode(replace(regexp_replace(article, '^https://en
 FROM nom WHERE article IS NOT NULL
 """)
 def i8_article_name(spark, sf):
+    """Article name from a wiki URL: prefix removed, percent-decoded, '+' kept."""
     n = Fixtures(spark, sf).nom.filter(F.col("article").isNotNull()).select("article").distinct()
     return n.select("article", TX.article_name("article").alias("name"))
 
@@ -145,6 +153,7 @@ FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'urn:' || CAST(event_id A
                             ELSE '{ENTITY}Q' || CAST(event_id AS STRING) END AS x FROM events)
 """)
 def i9_text_after_marker(spark, sf):
+    """Text after the entity URL prefix, '' when absent."""
     b = IO.flatten_bindings(bindings(Fixtures(spark, sf)), "json", ["item"], keep=["event_id"])
     x = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("urn:"), F.col("event_id").cast("string"))) \
         .otherwise(F.col("item"))
@@ -156,6 +165,7 @@ def i9_text_after_marker(spark, sf):
 SELECT l_orderkey, l_linenumber, l_suppkey, CAST(year(l_shipdate) AS INT) AS year FROM lineitem
 """)
 def i10_year_of_timestamp(spark, sf):
+    """Integer year of a timestamp."""
     l = Fixtures(spark, sf).lineitem
     return l.select("l_orderkey", "l_linenumber", "l_suppkey", F.year("l_shipdate").cast("int").alias("year"))
 
@@ -164,6 +174,7 @@ def i10_year_of_timestamp(spark, sf):
 SELECT DISTINCT work_id, CAST(month(try_strptime(pub_date, {ISO})) AS INT) AS month FROM nom
 """)
 def i12_month_of_date_string(spark, sf):
+    """Month of an ISO date string (null when missing)."""
     n = Fixtures(spark, sf).nom.select("work_id", "pub_date").distinct()
     return S.parse_dates(n).distinct()
 
@@ -173,6 +184,7 @@ def i12_month_of_date_string(spark, sf):
 SELECT page_id, {_duck_paragraphs('html')} AS text FROM pages
 """)
 def i13_html_paragraphs(spark, sf):
+    """Plain text of every page's paragraphs (scripts, styles, error spans removed)."""
     p = Fixtures(spark, sf).pages
     return p.select("page_id", TX.paragraph_text("html").alias("text"))
 
@@ -194,6 +206,7 @@ def _duck_synopsis(x: str) -> str:
 SELECT page_id, {_duck_synopsis('html')} AS synopsis FROM pages
 """)
 def i14_synopsis_pick(spark, sf):
+    """Synopsis section text, else the intro, for every page."""
     p = Fixtures(spark, sf).pages
     return p.select("page_id", TX.synopsis("html", SYNOPSIS_PREFIXES).alias("synopsis"))
 
@@ -222,6 +235,7 @@ def i14_synopsis_sections(spark, sf):
 SELECT doc_id, sha256(text) AS key FROM documents
 """)
 def i15_sha256_key(spark, sf):
+    """SHA-256 hex of every document's text."""
     return Fixtures(spark, sf).documents.select("doc_id", IO.request_key("text").alias("key"))
 
 
@@ -231,6 +245,7 @@ SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k,
 FROM events
 """)
 def i16_nested_with_default(spark, sf):
+    """A nested JSON field, and a default for a missing path."""
     e = Fixtures(spark, sf).events
     return e.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"),
                     F.coalesce(F.get_json_object("props", "$.missing.deeper"), F.lit("none")).alias("missing"))
@@ -245,6 +260,7 @@ SELECT event_id, json_extract_string(json_extract({FIRST_VALUE_JSON}, '$.*')[1],
 FROM events
 """)
 def i17_first_map_value(spark, sf):
+    """First value of a JSON object in document order."""
     e = Fixtures(spark, sf).events
     m = F.from_json(F.expr(FIRST_VALUE_JSON), "map<string, struct<extract: string>>")
     return e.select("event_id", F.get(F.map_values(m), 0)["extract"].alias("extract"))

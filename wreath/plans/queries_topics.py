@@ -22,17 +22,20 @@ def _freq(fx):
 
 @query("j5_topics_over_time", oracle="WITH " + FREQ + " SELECT year, topic, CAST(month AS INT) AS month, frequency FROM series")
 def j5_topics_over_time(spark, sf):
+    """Monthly frequencies densified to 12 months per topic."""
     s = TP.monthly_series(_freq(Fixtures(spark, sf)), ["year", "topic"])
     return s.withColumn("month", F.col("month").cast("int"))
 
 
 @query("j6_min_frequency", oracle="WITH " + FREQ + " SELECT year, topic FROM freq GROUP BY year, topic HAVING max(frequency) >= 10")
 def j6_min_frequency(spark, sf):
+    """Topics with at least one month of 10 or more documents."""
     return TP.min_frequency(10)(_freq(Fixtures(spark, sf)), ["year", "topic"])
 
 
 @query("j7_high_kurtosis", oracle="WITH " + FREQ + " SELECT year, topic FROM series GROUP BY year, topic HAVING kurtosis(frequency) > 2")
 def j7_high_kurtosis(spark, sf):
+    """Topics whose monthly series has kurtosis above 2."""
     return TP.high_kurtosis(2.0)(_freq(Fixtures(spark, sf)), ["year", "topic"])
 
 
@@ -42,6 +45,7 @@ INTERSECT
 SELECT year, topic FROM series GROUP BY year, topic HAVING kurtosis(frequency) > 2
 """)
 def j15_hot_topics(spark, sf):
+    """Topics passing the minimum-frequency and kurtosis filters."""
     f = TP.all_of(TP.high_kurtosis(2.0))
     return TP.hot_topics(_freq(Fixtures(spark, sf)), "year", "topic", f)
 
@@ -55,6 +59,7 @@ def j8_stationary_filter(spark, sf):
 
 @query("j15_hot_topics_with_stationarity")
 def j15_hot_topics_with_stationarity(spark, sf):
+    """Hot topics with the ADF stationarity filter added (rows-only)."""
     f = TP.all_of(TP.high_kurtosis(2.0), TP.stationary(0.1, 3, sims=4000))
     return TP.hot_topics(_freq(Fixtures(spark, sf)), "year", "topic", f)
 
@@ -96,6 +101,7 @@ FROM docs d LEFT JOIN cent c ON c.year = d.year GROUP BY d.vec_id, d.year
 
 @query("j29_topicality", oracle=J29_SQL)
 def j29_topicality(spark, sf):
+    """Hot topics per year from a dated stream, scored against each document."""
     fx = Fixtures(spark, sf)
     docs = fx.vec.select("vec_id", "embedding", (1996 + F.col("vec_id") % 2).cast("int").alias("year"))
     t = TP.topicality(docs, "vec_id", "embedding", ["year"], _stream(fx), "embedding", "topic", "month")

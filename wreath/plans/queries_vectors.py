@@ -43,6 +43,7 @@ SELECT label, [round(x, 6) for x in centroid] AS centroid, CAST(size AS BIGINT)
 FROM cent JOIN sizes USING (label)
 """)
 def d26_mean_vector(spark, sf):
+    """Element-wise mean vector (centroid) per label."""
     c = VO.mean_vector(Fixtures(spark, sf).vec, "label", "embedding")
     return c.withColumn("centroid", V.round_vec("centroid"))
 
@@ -52,6 +53,7 @@ WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_sum([x * x
 SELECT vec_id, round(norm, 6) AS norm, [round(x / norm, 6) for x in e] AS unit FROM n
 """)
 def i19_norm_and_unit(spark, sf):
+    """L2 norm and unit vector of every vector."""
     v = Fixtures(spark, sf).vec
     return v.select("vec_id", F.round(V.l2_norm("embedding"), 6).alias("norm"),
                     V.round_vec(V.unit("embedding")).alias("unit"))
@@ -62,6 +64,7 @@ SELECT v.vec_id, round(list_dot_product(CAST(v.embedding AS DOUBLE[]), c.centroi
 FROM vec v JOIN cent c USING (label)
 """)
 def i20_dot_with_centroid(spark, sf):
+    """Dot product of each vector with its label centroid."""
     fx = Fixtures(spark, sf)
     j = fx.vec.join(VO.mean_vector(fx.vec, "label", "embedding", count=None), "label")
     return j.select("vec_id", F.round(V.dot("embedding", "centroid"), 6).alias("dot"))
@@ -74,6 +77,7 @@ SELECT vec_id, round(list_cosine_similarity(a, b), 6) AS cosine, round(list_dot_
 FROM p
 """)
 def i21_kernels(spark, sf):
+    """Cosine, linear and RBF kernels against the label centroid."""
     fx = Fixtures(spark, sf)
     j = fx.vec.join(VO.mean_vector(fx.vec, "label", "embedding", count=None), "label")
     return j.select("vec_id", F.round(V.cosine("embedding", "centroid"), 6).alias("cosine"),
@@ -87,6 +91,7 @@ SELECT vec_id, round(list_max([abs(x) for x in CAST(embedding AS DOUBLE[])]), 6)
 FROM vec
 """)
 def i18_abs_pow_max(spark, sf):
+    """abs, power, root and array max over vectors."""
     e = V.as_double("embedding")
     cube = F.aggregate(F.transform(e, lambda x: F.pow(F.abs(x), 3)), F.lit(0.0), lambda a, x: a + x)
     return Fixtures(spark, sf).vec.select(
@@ -111,6 +116,7 @@ def c16_all_pairs_similarity(spark, sf):
 SELECT vec_id, [round(e[i] - dp * w[i], 6) for i in range(1, len(e) + 1)] AS embedding FROM pv
 """)
 def j3_project_out(spark, sf):
+    """Every vector with a data-derived unit direction projected out."""
     fx = Fixtures(spark, sf)
     out = VO.project_out(fx.vec.select("vec_id", "embedding"), "embedding", _direction(fx))
     return out.withColumn("embedding", V.round_vec("embedding"))
@@ -120,6 +126,7 @@ def j3_project_out(spark, sf):
 SELECT vec_id, [round(list_sum(e) - dp * w[i], 6) for i in range(1, len(e) + 1)] AS embedding FROM pv
 """)
 def j3_project_out_as_written(spark, sf):
+    """The same projection in the reference's as-written arithmetic (quirk Q2)."""
     fx = Fixtures(spark, sf)
     out = VO.project_out(fx.vec.select("vec_id", "embedding"), "embedding", _direction(fx), mode="as_written")
     return out.withColumn("embedding", V.round_vec("embedding"))
@@ -145,16 +152,19 @@ def _align(spark, sf, **kw):
 
 @query("j14_alignment_cosine", oracle=_align_sql(COS, "sum(sim)"))
 def j14_alignment_cosine(spark, sf):
+    """Sum of cosine similarities to all topic centroids (p = 1)."""
     return _align(spark, sf)
 
 
 @query("j14_alignment_p2_weighted_abs", oracle=_align_sql(f"abs({COS})", "sqrt(sum(sim * sim * weight))"))
 def j14_alignment_p2_weighted_abs(spark, sf):
+    """Size-weighted p = 2 norm of absolute similarities."""
     return _align(spark, sf, p=2, weighted=True, mod_sim=True)
 
 
 @query("j14_alignment_max", oracle=_align_sql(COS, "max(sim)"))
 def j14_alignment_max(spark, sf):
+    """Maximum cosine similarity to the centroids (p = inf)."""
     return _align(spark, sf, p=float("inf"))
 
 
@@ -170,6 +180,7 @@ def j14_alignment_linear_p3(spark, sf):
     "exp(-5.0 * list_sum([(CAST(v.embedding AS DOUBLE[])[i] - c.centroid[i]) * (CAST(v.embedding AS DOUBLE[])[i] - c.centroid[i]) for i in range(1, len(c.centroid) + 1)]))",
     "sum(sim)"))
 def j14_alignment_rbf(spark, sf):
+    """Sum of RBF kernels (gamma = 5) to the centroids."""
     return _align(spark, sf, metric="rbf", gamma=5.0)
 
 
