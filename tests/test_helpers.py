@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from wreath.functions.aggregates import (
     concat_distinct_by,

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wreath.functions import vectors as V
 from wreath.operators import vectors as VO
