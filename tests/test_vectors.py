@@ -74,3 +74,11 @@ def test_fit_bias_direction_separates(spark):
     df = spark.createDataFrame(rows, "v array<double>, y int")
     w = np.array(VO.fit_bias_direction(df, "v", "y"))
     assert abs(np.linalg.norm(w) - 1) < 1e-9 and w[0] > 0.8
+
+
+def test_alignment_chunked_equals_literal(spark, vecs):
+    cents = VO.mean_vector(vecs, "id", "v").withColumnRenamed("id", "topic")  # 60 centroids
+    for kw in (dict(), dict(p=2, weighted=True, mod_sim=True), dict(p=float("inf"))):
+        a = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", **kw).collect()}
+        b = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", max_literal=7, key="id", **kw).collect()}
+        assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a), kw

@@ -144,14 +144,19 @@ def alignment(vectors: DataFrame, centroids: DataFrame, vec: str, by: Sequence[s
               metric: str = "cosine", p: float = 1, weighted: bool = False,
               mod_sim: bool = False, gamma: float | None = None, out: str = "alignment",
               centroid: str = "centroid", size: str | None = "size", order: str = "topic",
-              max_centroids: int = 1_000) -> DataFrame:
+              max_literal: int = 1_000, key: str | None = None) -> DataFrame:
     """Score every vector against the centroids of its ``by`` key (or all
     centroids when ``by`` is empty).
 
     With ``by``: centroid sets are collapsed to one row per key and joined on
     the key (an equi join; AQE broadcasts the set table when its measured
-    size allows). Without ``by``: the set is a bounded constant (checked
-    against ``max_centroids``), pulled once and inlined as a literal.
+    size allows). Without ``by``: a set of at most ``max_literal`` centroids
+    is pulled once and inlined as a literal; a larger set is cut into chunks
+    of about ``max_literal`` (hash of the topic id; one row per chunk), every
+    vector meets every chunk
+    through an exploded chunk id, and the per-chunk partial sums (or maxima)
+    are combined per vector (``key`` names a unique vector id). Exact either
+    way: the p-norm sum and the max decompose over chunks.
     """
     by = list(by)
     if by:
@@ -159,15 +164,47 @@ def alignment(vectors: DataFrame, centroids: DataFrame, vec: str, by: Sequence[s
         j = vectors.join(sets, by, "left")
         return j.withColumn(out, alignment_expr(F.col(vec), F.col("__cents"), metric, p, weighted,
                                                 mod_sim, gamma)).drop("__cents")
-    cents = centroids.select(centroid, *( [size] if size else []), order).limit(max_centroids + 1).collect()
-    if len(cents) > max_centroids:
-        raise ValueError(f"more than {max_centroids} centroids")
-    cents = sorted(cents, key=lambda r: r[order])
-    tot = sum(r[size] for r in cents) if size else len(cents)
-    lit = F.array(*[F.struct(lit_vector(r[centroid]).alias("centroid"),
-                             F.lit(float(r[size]) / tot if size else 1.0).alias("weight"))
-                    for r in cents])
-    return vectors.withColumn(out, alignment_expr(F.col(vec), lit, metric, p, weighted, mod_sim, gamma))
+    n = centroids.count()
+    if n <= max_literal:
+        cents = sorted(centroids.select(centroid, *([size] if size else []), order).collect(),
+                       key=lambda r: r[order])
+        tot = sum(r[size] for r in cents) if size else len(cents)
+        lit = F.array(*[F.struct(lit_vector(r[centroid]).alias("centroid"),
+                                 F.lit(float(r[size]) / tot if size else 1.0).alias("weight"))
+                        for r in cents])
+        return vectors.withColumn(out, alignment_expr(F.col(vec), lit, metric, p, weighted, mod_sim, gamma))
+    if key is None:
+        raise ValueError("more centroids than max_literal: pass key= (a unique vector id)")
+    n_chunks = -(-n // max_literal)
+    tot = centroids.agg(F.sum(size).alias("t")).first()["t"] if size else n
+    # any split of the centroids into chunks is exact; a hash spreads them
+    # evenly (about max_literal per chunk) without ordering the whole table
+    chunked = (centroids.select(centroid, *([size] if size else []), order)
+               .withColumn("__chunk", F.pmod(F.xxhash64(F.col(order)), F.lit(n_chunks)).cast("int"))
+               .withColumn("__wt", (F.col(size) / F.lit(float(tot))) if size else F.lit(1.0)))
+    sets = chunked.groupBy("__chunk").agg(F.collect_list(
+        F.struct(F.col(centroid).alias("centroid"), F.col("__wt").alias("weight"))).alias("__cents"))
+    parts = (vectors.select(key, vec)
+             .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+             .join(sets, "__chunk"))
+    if p == float("inf"):
+        partial = alignment_expr(F.col(vec), F.col("__cents"), metric, p, weighted, mod_sim, gamma)
+        total = parts.withColumn("__s", partial).groupBy(key).agg(F.max("__s").alias(out))
+    else:
+        def sim(c):
+            s_ = kernel_of(metric, F.col(vec), c["centroid"], gamma)
+            return F.abs(s_) if mod_sim else s_
+        terms = F.transform(F.col("__cents"), lambda c: F.pow(sim(c), F.lit(float(p))) *
+                            (c["weight"] if weighted else F.lit(1.0)))
+        partial = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+        summed = parts.withColumn("__s", partial).groupBy(key).agg(F.sum("__s").alias("__sum"))
+        res = F.col("__sum") if p == 1 else F.pow(F.col("__sum"), F.lit(1.0 / float(p)))
+        total = summed.select(key, F.when(~F.isnan(res), res).alias(out))
+    return vectors.join(total, key, "left")
+
+
+def kernel_of(metric: str, a, b, gamma):
+    return V.kernel(metric, a, b, gamma)
 
 
 # --------------------------------------------------------------------------- K5
