@@ -93,3 +93,14 @@ def test_running_total_includes_peers(spark):
     df = spark.createDataFrame([(1, 2000, 1), (1, 2000, 2), (1, 2001, 3)], "a int, y int, v int")
     out = R.running_total(df, "a", "y", "v")
     assert rows(out, "y", "running_total") == [(2000, 3), (2000, 3), (2001, 6)]
+
+
+def test_clean_nominations_year_fallback_matches_grid(spark):
+    from wreath.plans import stages as S
+    from wreath.plans.fixtures import Fixtures
+    fx = Fixtures(spark, "/root/testdata/sf0.001")
+    a = S.clean_nominations(fx.nom, fx.awards, fx.bio)
+    b = S.clean_nominations(fx.nom, fx.awards, fx.bio, max_years=1)
+    cols = sorted(a.columns)
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(a.select(cols).collect(), key=key) == sorted(b.select(cols).collect(), key=key)

@@ -36,16 +36,19 @@ def histogram(df: DataFrame, col: str, width: float, by: Sequence[str] = ()) ->
             .groupBy(*by, b).agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+def balanced_weights(df: DataFrame, label: str, out: str = "weight",
+                     max_literal: int = 10_000) -> DataFrame:
     """Balanced class weight on every row: n / (n_classes * n_class).
 
-    The per-class counts are a bounded constant (one number per class,
-    checked against ``max_classes``); they enter as a CASE expression, so the
-    rows are not joined or shuffled."""
-    max_classes = 10_000
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc")).limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"{label} has more than {max_classes} classes")
+    Up to ``max_literal`` classes the per-class counts enter as a CASE
+    expression (no join, no shuffle of the rows); with more classes the
+    count table is joined back on the label instead (exact either way)."""
+    counts_df = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    counts = counts_df.limit(max_literal + 1).collect()
+    if len(counts) > max_literal:
+        tot = counts_df.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
+        w = counts_df.select(label, (F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).alias(out))
+        return df.join(w, label, "left")
     n, k = sum(r["__nc"] for r in counts), len(counts)
     expr = None
     for r in counts:
