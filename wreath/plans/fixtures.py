@@ -218,6 +218,8 @@ class Fixtures:
     """Lazily built fixture DataFrames for one session and one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        from wreath.session import ship_package
+        ship_package(spark)
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._tables: dict[str, DataFrame] = {}

@@ -49,9 +49,38 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in RUNTIME_CONF.items():
         spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``wreath`` importable in the Python workers (Arrow UDFs,
+    ``applyInPandas`` and ``mapInPandas`` pickle library functions by
+    reference). The package is zipped once per SparkContext and handed to
+    ``addPyFile``, which distributes it to every executor."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import wreath
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(wreath.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="wreath-pkg-"), "wreath.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "wreath")):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
