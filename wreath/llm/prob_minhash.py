@@ -277,11 +277,11 @@ def cross_links(members: DataFrame, comp: DataFrame, texts: DataFrame, bands: in
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS,
                           rows: int = ROWS, k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, text, uid, n_words, component, group_size,
-    keep_id and kept. ``uid`` numbers the rows of this run."""
-    base = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-                  .select("id", "text", signature_udf(bands, rows, k)("text").alias("s"))
-                  .select(F.monotonically_increasing_id().alias("uid"), "id", "text", "s.*"), "signatures")
+    """One row per document: uid, row (its columns), n_words, component,
+    group_size, keep_id and kept. ``uid`` numbers the rows of this run."""
+    base = stored(docs.select(F.struct("*").alias("row")).select(
+        "row", signature_udf(bands, rows, k)(F.col(f"row.{text_col}")).alias("s")).select(
+        F.monotonically_increasing_id().alias("uid"), "row", "s.*"), "signatures")
     worded = base.where("n_words > 0")
     classes = stored(worded.groupBy("k1", "k2", "n_words").agg(F.min("uid").alias("cls")), "classes")
     reps = classes.select(F.col("cls").alias("uid"))
@@ -289,30 +289,37 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     busy = band.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(band.join(busy, "h"), "buckets")
     hub = members.groupBy("uid").agg(F.sum("n").alias("hub"))
-    ranked = members.select("h", "uid", "n").join(hub, "uid").select("h", "uid", F.struct("hub", (-F.col("uid")).alias("neg")).alias("rank"))
+    ranked = members.select("h", "uid", "n").join(hub, "uid").select(
+        "h", "uid", F.struct("hub", (-F.col("uid")).alias("neg")).alias("rank"))
     centre = ranked.groupBy("h").agg(F.max("rank").alias("top"))
     first = (ranked.join(centre, "h").where("rank <> top").groupBy("uid").agg(F.max("top").alias("top"))
-             .select(F.col("uid").alias("b"), (-F.col("top.neg")).alias("a")))
-    texts = base.select("uid", "text")
-    links = stored(verified(stored(first.select("a", "b"), "pairs"), texts, k, threshold), "links")
+             .select((-F.col("top.neg")).alias("a"), F.col("uid").alias("b")))
+    texts = base.select("uid", F.col(f"row.{text_col}").alias("text"))
+    links = stored(verified(stored(first, "pairs"), texts, k, threshold), "links")
     comp = connected_components(links)
     links = stored(links.union(cross_links(members, comp, texts, bands, rows, k, threshold)), "links")
     comp = connected_components(links)
     of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
         "k1", "k2", "n_words", F.coalesce("component", "cls").alias("component"))
-    grouped = worded.select("uid", "id", "n_words", "k1", "k2").join(of_class, ["k1", "k2", "n_words"]).select(
+    known = base.select("uid", F.col(f"row.{id_col}").alias("id"), "n_words", "k1", "k2")
+    grouped = stored(known.where("n_words > 0").join(of_class, ["k1", "k2", "n_words"]).select(
         "uid", "id", "n_words", "component").union(
-        base.where("n_words = 0").select("uid", "id", "n_words", F.col("uid").alias("component")))
-    grouped = stored(grouped, "groups")
+        known.where("n_words = 0").select("uid", "id", "n_words", F.col("uid").alias("component"))), "groups")
     keep = grouped.groupBy("component").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size"))
-    return grouped.join(keep, "component").select(
-        "uid", "id", "n_words", "component", "group_size", F.col("first.id").alias("keep_id"),
+    result = grouped.join(keep, "component").select(
+        "uid", "n_words", "component", "group_size", F.col("first.id").alias("keep_id"),
         (F.col("uid") == F.col("first.uid")).alias("kept"))
+    return base.select("uid", "row").join(result, "uid")
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The documents that stay, one of each group, with their own columns."""
+    return near_duplicate_groups(docs, **options).where("kept").select("row.*")
 
 
 def op1_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """One row per document with its group: the smallest doc_id stands for it."""
     prepare(spark)
-    g = near_duplicate_groups(read(spark, sf_dir, "documents"))
-    return g.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "n_words")
+    g = near_duplicate_groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return g.select("row.doc_id", "keep_id", "group_size", "kept", "n_words")

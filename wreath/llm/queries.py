@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from wreath.llm.feistel_shards import op4_feistel_shards
 from wreath.llm.kneser_ney import op9_toxicity
+from wreath.llm.poly_fingerprint import OP3_SQL, op3_exact_dedup
 from wreath.llm.prob_minhash import op1_near_duplicates
+from wreath.llm.raking import op8_mix_sources
+from wreath.llm.winnowing import op5_decontamination
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op4_feistel_shards": op4_feistel_shards,
+    "op5_decontamination": op5_decontamination,
+    "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_exact_dedup": OP3_SQL,
+}
