@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from wreath.llm.chat_snapshots import OP2_SQL, op2_chat_snapshots
+from wreath.llm.cross_parse import op7_language
+from wreath.llm.deleted_interpolation import op10_lm_score
 from wreath.llm.feistel_shards import op4_feistel_shards
 from wreath.llm.kneser_ney import op9_toxicity
+from wreath.llm.pairwise_quality import op6_quality
 from wreath.llm.poly_fingerprint import OP3_SQL, op3_exact_dedup
 from wreath.llm.prob_minhash import op1_near_duplicates
 from wreath.llm.raking import op8_mix_sources
@@ -11,13 +15,18 @@ from wreath.llm.winnowing import op5_decontamination
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_chat_snapshots": op2_chat_snapshots,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_feistel_shards": op4_feistel_shards,
     "op5_decontamination": op5_decontamination,
+    "op6_quality": op6_quality,
+    "op7_language": op7_language,
     "op8_mix_sources": op8_mix_sources,
     "op9_toxicity": op9_toxicity,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {
+    "op2_chat_snapshots": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
 }
