@@ -40,6 +40,7 @@ from wreath.llm.components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 28, 7
 THRESHOLD = 0.8
+FILTER_BITS_MAX = 1 << 27    # 16 MB
 BLOCK = 256          # members of a bucket compared in one task at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,20 +146,6 @@ def signature_udf(bands: int, rows: int, k: int):
     return signature
 
 
-def shingle_udf(k: int):
-    """Text -> its distinct shingles and counts, packed."""
-    @F.arrow_udf("binary")
-    def packed(texts: pa.Array) -> pa.Array:
-        out = []
-        for i, j, h, r in TB.words(texts, TB.ALNUM):
-            row, gram, n = shingles(h, r, j - i, k)
-            at = np.searchsorted(row, np.arange(j - i + 1))
-            out += [gram[a:b].tobytes() + n[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
-        return pa.array(out, pa.binary())
-
-    return packed
-
-
 def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(blob) // 12
     return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n).astype(float)
@@ -191,15 +178,35 @@ def similarity_udf():
     return similarity
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose texts (uid, text) reach the threshold."""
-    used = pairs.select(F.col("a").alias("uid")).union(pairs.select("b")).distinct()
-    sets = texts.join(used, "uid", "left_semi").select("uid", shingle_udf(k)("text").alias("s"))
-    joined = (pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
-              .join(sets.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b"))
+def verified(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose shingle sets reach the threshold."""
+    joined = (pairs.join(profiles.select(F.col("uid").alias("a"), F.col("s").alias("sa")), "a")
+              .join(profiles.select(F.col("uid").alias("b"), F.col("s").alias("sb")), "b"))
     return joined.select("a", "b", similarity_udf()("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` (a long) is in ``wanted`` (distinct keys).
+
+    A bit field of at most FILTER_BITS_MAX bits drops most other rows before the
+    exact semi-join shuffles; beyond that size it only saves less."""
+    n = wanted.count()
+    bits = 1 << min(max(16, (16 * n).bit_length()), FILTER_BITS_MAX.bit_length() - 1)
+    at = F.xxhash64(key).bitwiseAND(bits - 1)
+    words = wanted.select(at.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toArrow()
+    field = np.zeros(bits // 32, np.uint32)
+    field[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(field.view(np.uint8))
+
+    @F.arrow_udf("boolean")
+    def may_be(bit: pa.Array) -> pa.Array:
+        b = bit.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0)
+
+    return rows.where(may_be(at)).join(wanted, key, "left_semi")
+
+
 def profile_udf(m: int, k: int):
     """Text -> 16 bits of each register, and its packed shingles."""
     @F.arrow_udf("struct<r:binary,s:binary>")
@@ -252,7 +259,7 @@ def block_links(m: int, bands: int, rows: int, threshold: float):
     return compare
 
 
-def cross_links(members: DataFrame, comp: DataFrame, texts: DataFrame, bands: int, rows: int, k: int, threshold: float) -> DataFrame:
+def cross_links(members: DataFrame, comp: DataFrame, profiles: DataFrame, bands: int, rows: int, threshold: float) -> DataFrame:
     """Links between members of a bucket (h, band, uid) in different groups."""
     placed = members.select("h", "band", "uid").join(comp.withColumnRenamed("node", "uid"), "uid", "left").select(
         "h", "band", "uid", F.coalesce("component", "uid").alias("c"))
@@ -261,8 +268,6 @@ def cross_links(members: DataFrame, comp: DataFrame, texts: DataFrame, bands: in
     left = stored(placed.join(sizes, "h").select(
         "h", "band", "uid", "c", (F.col("c") == F.col("top.c")).alias("big"),
         F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("no"), F.ceil(F.col("top.n") / BLOCK).alias("nb")), "mixed")
-    profiles = texts.join(left.select("uid").distinct(), "uid", "left_semi").select(
-        "uid", profile_udf(bands * rows, k)("text").alias("x")).select("uid", "x.*")
     # the largest group of a bucket only meets the others; they meet everyone
     rest = F.pmod(F.xxhash64("uid"), F.col("no"))
     big = -1 - F.pmod(F.xxhash64("uid"), F.col("nb"))
@@ -285,7 +290,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     worded = base.where("n_words > 0")
     classes = stored(worded.groupBy("k1", "k2", "n_words").agg(F.min("uid").alias("cls")), "classes")
     reps = classes.select(F.col("cls").alias("uid"))
-    band = base.select("uid", F.posexplode("bands").alias("band", "h")).join(reps, "uid", "left_semi")
+    band = base.select("uid", "bands").join(reps, "uid", "left_semi").select("uid", F.posexplode("bands").alias("band", "h"))
     busy = band.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
     members = stored(band.join(busy, "h"), "buckets")
     hub = members.groupBy("uid").agg(F.sum("n").alias("hub"))
@@ -294,10 +299,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     centre = ranked.groupBy("h").agg(F.max("rank").alias("top"))
     first = (ranked.join(centre, "h").where("rank <> top").groupBy("uid").agg(F.max("top").alias("top"))
              .select((-F.col("top.neg")).alias("a"), F.col("uid").alias("b")))
-    texts = base.select("uid", F.col(f"row.{text_col}").alias("text"))
-    links = stored(verified(stored(first, "pairs"), texts, k, threshold), "links")
+    profiles = stored(among(base.select("uid", F.col(f"row.{text_col}").alias("text")), stored(
+        members.select("uid").distinct(), "wanted"), "uid").select("uid", profile_udf(bands * rows, k)("text").alias("x")).select(
+        "uid", "x.*"), "profiles")
+    links = stored(verified(stored(first, "pairs"), profiles, threshold), "links")
     comp = connected_components(links)
-    links = stored(links.union(cross_links(members, comp, texts, bands, rows, k, threshold)), "links")
+    links = stored(links.union(cross_links(members, comp, profiles, bands, rows, threshold)), "links")
     comp = connected_components(links)
     of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
         "k1", "k2", "n_words", F.coalesce("component", "cls").alias("component"))
