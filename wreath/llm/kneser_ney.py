@@ -14,7 +14,7 @@ differences into a score from 0 to 1.
 Defined results: null or empty text, or text without a word, gives the score of
 a document with no evidence (all differences 0); repeated rows and ids are
 scored row by row; other columns pass through; with no usable labels (none, or
-one class only) every score is the share of toxic labels (0 with none).
+one class only) every score is near 1 or 0, as the only label says (0 with none).
 
 Bounds: ``max_rows`` labelled documents and ``max_bytes`` of their text per class
 (drawn by a hash of the id, on average); everything is scored whole.
@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wreath.llm import textbytes as TB
-from wreath.llm.common import bounded_share, fold, prepare, read, unit_hash
+from wreath.llm.common import bounded_share, fold, labelled_sample, prepare, read, stored, unit_hash
 
-ORDER = 5            # longest n-gram, in bytes
-FEATURES = 4
+ORDER = 7            # longest n-gram, in bytes (7 at most: a key is 64 bits)
+FEATURES = 5
 EDGE = 32            # byte before and after a word
 
 
@@ -131,11 +131,11 @@ class KneserNeyPair:
 
     def differences(self, column) -> np.ndarray:
         """Per text: length-normalised difference of the whole text, the largest
-        difference of a word, of a word per byte, and the mean of the three
-        largest."""
+        difference of a word, of a word per byte, the mean of the three largest,
+        and the logarithm of the number of words (chance finds grow with it)."""
         out = np.zeros((len(column), FEATURES))
         data, offsets = TB.utf8(column)
-        for i, j in TB.row_slices(offsets):
+        for i, j in TB.row_slices(offsets, 4 << 20):      # long slices: fewer distinct words to judge
             off = offsets[i: j + 1] - offsets[i]
             mapped, s, e, rows = TB.word_spans(data[offsets[i]: offsets[j]], off, TB.ALNUM)
             if not len(s):
@@ -155,6 +155,7 @@ class KneserNeyPair:
             out[docs, 1] = best[head]
             np.maximum.at(out[:, 2], rows + i, gain / length)
             out[docs, 3] = sum(best[np.minimum(head + k, ends - 1)] for k in range(3)) / 3
+            out[docs, 4] = np.log1p(ends - head)
         return out
 
     def score(self, column) -> np.ndarray:
@@ -162,12 +163,15 @@ class KneserNeyPair:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50, tolerance: float = 1e-8) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps on standardised columns; each
-    class weighs the same."""
+def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50, tolerance: float = 1e-8,
+             power: float = 0.5) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression by Newton steps on standardised columns; a class
+    of n rows weighs n to the ``power``."""
     mean, std = x.mean(0), x.std(0) + 1e-9
     a = np.c_[(x - mean) / std, np.ones(len(x))]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    n1, n0 = max(1, (y > 0).sum()), max(1, (y <= 0).sum())
+    weight = np.where(y > 0, n1 ** (power - 1.0), n0 ** (power - 1.0))
+    weight /= weight.sum()
     w = np.zeros(a.shape[1])
     penalty = np.diag([ridge] * (a.shape[1] - 1) + [0.0])
     for _ in range(steps):
@@ -204,30 +208,27 @@ def _word_counter():
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        max_rows: int = 8_000, max_bytes: int = 12_000_000, seed: int = 9, order: int = ORDER) -> KneserNeyPair:
+        max_rows: int = 8_000, max_bytes: int = 8_000_000, seed: int = 9, order: int = ORDER) -> KneserNeyPair:
     """Learn the pair of models and the link from labelled documents.
 
-    ``labels`` must already be restricted to the rows to learn from. Two thirds
-    of the drawn documents give the counts, one third the link. What comes to
+    ``labels`` must already be restricted to the rows to learn from. Three
+    quarters of the drawn documents give the counts, one the link. What comes to
     the driver is bounded by the sample: its distinct words with counts and four
     numbers a document."""
-    known = labels.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).dropDuplicates(["__id"])
-    joined = (docs.where(F.col(text_col).isNotNull())
-              .select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(known, "__id"))
-    sizes = {r["__y"]: r for r in joined.groupBy("__y").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("__text")).alias("b")).collect()}
+    sample, count, _ = labelled_sample(docs.where(F.col(text_col).isNotNull()), labels, id_col, text_col, label_col, max_rows, seed)
     model = KneserNeyPair(order)
-    if len(sizes) < 2:
-        model.bias = 30.0 if 1 in sizes else -30.0
+    if len(count) < 2:
+        model.bias = 30.0 if 1 in count else -30.0
         return model
-    draw, part = unit_hash("__id", F.lit(seed)), unit_hash("__id", F.lit(seed + 1))
-    share = {y: bounded_share(r["n"], r["b"], max_rows, max_bytes) for y, r in sizes.items()}
-    sample = joined.where(draw < F.when(F.col("__y") == 1, share[1]).otherwise(share[0]))
-    counted = (sample.where(part < 2 / 3).select("__y", F.explode(_word_counter()("__text")).alias("c"))
+    sample = stored(sample, "sample")
+    size = {r["__y"]: r["b"] for r in sample.groupBy("__y").agg(F.sum(F.octet_length("__text")).alias("b")).collect()}
+    less = {y: bounded_share(0, b, 1, max_bytes) for y, b in size.items()}
+    part = unit_hash("__id", F.lit(seed + 1))
+    sample = sample.where(unit_hash("__id", F.lit(seed + 2)) < F.when(F.col("__y") == 1, less.get(1, 0.0)).otherwise(less.get(0, 0.0)))
+    counted = (sample.where(part < 3 / 4).select("__y", F.explode(_word_counter()("__text")).alias("c"))
                .groupBy(F.col("c.w").alias("w")).pivot("__y", [0, 1]).agg(F.sum("c.n")).toArrow())
     model.fit(counted["w"].to_pylist(), *(np.nan_to_num(counted[k].to_numpy().astype(float)) for k in ("1", "0")))
-    rest = sample.where(part >= 2 / 3).select("__y", difference_udf(docs.sparkSession, model)("__text").alias("d")).toArrow()
+    rest = sample.where(part >= 3 / 4).select("__y", difference_udf(docs.sparkSession, model)("__text").alias("d")).toArrow()
     if rest.num_rows:
         x = np.array(rest["d"].to_pylist(), float).reshape(rest.num_rows, FEATURES)
         model.link, model.bias = fit_link(x, rest["__y"].to_numpy())
