@@ -159,7 +159,7 @@ class KneserNeyPair:
         return out
 
     def score(self, column) -> np.ndarray:
-        z = self.differences(column) @ self.link + self.bias
+        z = self.differences(column) @ self.link + self.bias if self.levels else np.full(len(column), self.bias)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
