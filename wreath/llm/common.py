@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def bounded_share(n_rows: int, n_bytes: int, max_rows: int, max_bytes: int) -> f
     return min(1.0, max_rows / max(1, n_rows), max_bytes / max(1, n_bytes))
 
 
+FILTER_BITS_MAX = 1 << 27    # 16 MB
+
+
+def maybe_in(wanted: DataFrame, *cols: str) -> Column:
+    """Condition that holds for every row whose ``cols`` are in ``wanted`` and
+    for few others: a bit field over hashes, sixteen bits a key up to
+    FILTER_BITS_MAX, is broadcast. Beyond that size it only lets more through."""
+    n = wanted.count()
+    bits = 1 << min(max(16, (16 * n).bit_length()), FILTER_BITS_MAX.bit_length() - 1)
+    at = F.xxhash64(*cols).bitwiseAND(bits - 1)
+    words = wanted.select(at.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toArrow()
+    field = np.zeros(bits // 32, np.uint32)
+    field[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
+    shared = wanted.sparkSession.sparkContext.broadcast(field.view(np.uint8))
+
+    @F.arrow_udf("boolean")
+    def may_be(bit: pa.Array) -> pa.Array:
+        b = bit.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0)
+
+    return may_be(at)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int,
                     seed: int) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
     """(id, y, text) of about ``max_rows`` labelled documents per label 0 and 1,

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wreath.llm import textbytes as TB
-from wreath.llm.common import prepare, read, stored
+from wreath.llm.common import maybe_in, prepare, read, stored
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_291 % 2_147_483_629)
@@ -130,9 +130,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha256"), fingerprint_udf(chunk)("t").alias("f"))
         .select(F.monotonically_increasing_id().alias("uid"), "id", "text_sha256", F.col("f.fp").alias("fingerprint"), "f.bytes"),
         "fingerprints")
-    shared = base.groupBy("fingerprint", "bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # texts that share a fingerprint; a few others pass the filter and compare with themselves
+    shared = stored(base.groupBy("fingerprint", "bytes").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
     same = docs.select(text.alias("t")).select("t", fingerprint_udf(chunk)("t").alias("f")).select(
-        "t", F.col("f.fp").alias("fingerprint"), "f.bytes").join(shared, ["fingerprint", "bytes"], "left_semi")
+        "t", F.col("f.fp").alias("fingerprint"), "f.bytes").where(maybe_in(shared, "fingerprint", "bytes"))
     # streaming comparison: every copy of a chunk must equal the smallest and the largest one
     differing = stored(same.select("fingerprint", "bytes", F.posexplode(chunks_udf(chunk)("t")).alias("nth", "part")).groupBy(
         "fingerprint", "bytes", "nth").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(

@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wreath.llm import textbytes as TB
-from wreath.llm.common import prepare, read, stored
+from wreath.llm.common import maybe_in, prepare, read, stored
 from wreath.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 28, 7
 THRESHOLD = 0.8
-FILTER_BITS_MAX = 1 << 27    # 16 MB
 BLOCK = 256          # members of a bucket compared in one task at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,28 +184,6 @@ def verified(pairs: DataFrame, profiles: DataFrame, threshold: float) -> DataFra
     return joined.select("a", "b", similarity_udf()("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` (a long) is in ``wanted`` (distinct keys).
-
-    A bit field of at most FILTER_BITS_MAX bits drops most other rows before the
-    exact semi-join shuffles; beyond that size it only saves less."""
-    n = wanted.count()
-    bits = 1 << min(max(16, (16 * n).bit_length()), FILTER_BITS_MAX.bit_length() - 1)
-    at = F.xxhash64(key).bitwiseAND(bits - 1)
-    words = wanted.select(at.alias("bit")).groupBy(F.shiftright("bit", 5).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toArrow()
-    field = np.zeros(bits // 32, np.uint32)
-    field[words["at"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
-    shared = rows.sparkSession.sparkContext.broadcast(field.view(np.uint8))
-
-    @F.arrow_udf("boolean")
-    def may_be(bit: pa.Array) -> pa.Array:
-        b = bit.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[b >> 3] >> (b & 7).astype(np.uint8)) & 1 > 0)
-
-    return rows.where(may_be(at)).join(wanted, key, "left_semi")
-
-
 def profile_udf(m: int, k: int):
     """Text -> 16 bits of each register, and its packed shingles."""
     @F.arrow_udf("struct<r:binary,s:binary>")
@@ -299,9 +276,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     centre = ranked.groupBy("h").agg(F.max("rank").alias("top"))
     first = (ranked.join(centre, "h").where("rank <> top").groupBy("uid").agg(F.max("top").alias("top"))
              .select((-F.col("top.neg")).alias("a"), F.col("uid").alias("b")))
-    profiles = stored(among(base.select("uid", F.col(f"row.{text_col}").alias("text")), stored(
-        members.select("uid").distinct(), "wanted"), "uid").select("uid", profile_udf(bands * rows, k)("text").alias("x")).select(
-        "uid", "x.*"), "profiles")
+    wanted = stored(members.select("uid").distinct(), "wanted")
+    texts = base.select("uid", F.col(f"row.{text_col}").alias("text")).where(maybe_in(wanted, "uid")).join(wanted, "uid", "left_semi")
+    profiles = stored(texts.select("uid", profile_udf(bands * rows, k)("text").alias("x")).select("uid", "x.*"), "profiles")
     links = stored(verified(stored(first, "pairs"), profiles, threshold), "links")
     comp = connected_components(links)
     links = stored(links.union(cross_links(members, comp, profiles, bands, rows, threshold)), "links")
