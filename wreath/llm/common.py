@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 from wreath.session import ensure_checkpoint_dir, ship_package
 
 
+BATCH_BYTES = 8 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder and package for the workers; SQL settings stay as they are."""
+    """Checkpoint folder and package for the workers, and Arrow batches of at
+    most ``BATCH_BYTES``, so that a worker's memory follows the longest text
+    rather than ten thousand of them. Other settings stay as they are."""
     ensure_checkpoint_dir(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship_package(spark)
     return spark
 

@@ -40,6 +40,7 @@ from wreath.llm.components import connected_components
 SHINGLE = 5
 BANDS, ROWS = 28, 7
 THRESHOLD = 0.8
+SLICE = 1 << 18      # bytes of text whose arrivals are drawn at a time
 BLOCK = 256          # members of a bucket compared in one task at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,7 +134,7 @@ def signature_udf(bands: int, rows: int, k: int):
         n = len(texts)
         words, keys = np.zeros(n, np.int64), np.zeros((n, 2), np.uint64)
         out = np.zeros((n, bands), np.uint64)
-        for i, j, h, r in TB.words(texts, TB.ALNUM):
+        for i, j, h, r in TB.words(texts, TB.ALNUM, SLICE):
             words[i:j] = np.bincount(r, minlength=j - i)
             keys[i:j] = _sequence_keys(h, r, j - i)
             out[i:j] = band_hashes(prob_min_hash(*shingles(h, r, j - i, k), j - i, bands * rows), bands, rows)
@@ -189,7 +190,7 @@ def profile_udf(m: int, k: int):
     @F.arrow_udf("struct<r:binary,s:binary>")
     def profile(texts: pa.Array) -> pa.Array:
         regs, sets = [], []
-        for i, j, h, r in TB.words(texts, TB.ALNUM):
+        for i, j, h, r in TB.words(texts, TB.ALNUM, SLICE):
             row, gram, n = shingles(h, r, j - i, k)
             regs += [x.tobytes() for x in (TB.mix(prob_min_hash(row, gram, n, j - i, m)) >> np.uint64(48)).astype(np.uint16)]
             at = np.searchsorted(row, np.arange(j - i + 1))
