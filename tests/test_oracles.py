@@ -32,9 +32,9 @@ def test_query_matches_oracle(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(E.queries()) - set(ORACLES)))
-def test_rows_only_query_runs(spark, name):
+def test_query_without_oracle_returns_rows(spark, name):
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
+    assert not df.isEmpty()
 
 
 def test_every_oracle_has_a_query():

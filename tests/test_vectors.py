@@ -29,8 +29,8 @@ def test_project_out_as_written_formula(spark, vecs):
 
 
 def test_project_out_dimension_mismatch(spark, vecs):
-    with pytest.raises(ValueError):
-        VO.project_out(vecs, "v", [1.0, 0.0])
+    with pytest.raises(Exception, match="2 values"):
+        VO.project_out(vecs, "v", [1.0, 0.0]).collect()
 
 
 def test_mean_vector(spark, vecs):
@@ -76,9 +76,33 @@ def test_fit_bias_direction_separates(spark):
     assert abs(np.linalg.norm(w) - 1) < 1e-9 and w[0] > 0.8
 
 
-def test_alignment_chunked_equals_literal(spark, vecs):
+def test_alignment_chunks_do_not_matter(spark, vecs):
     cents = VO.mean_vector(vecs, "id", "v").withColumnRenamed("id", "topic")  # 60 centroids
     for kw in (dict(), dict(p=2, weighted=True, mod_sim=True), dict(p=float("inf"))):
         a = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", **kw).collect()}
-        b = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", max_literal=7, key="id", **kw).collect()}
+        b = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", chunk=7, **kw).collect()}
         assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a), kw
+
+
+def test_alignment_without_centroids(spark, vecs):
+    cents = VO.mean_vector(vecs, "id", "v").withColumnRenamed("id", "topic").limit(0)
+    assert {r.alignment for r in VO.alignment(vecs, cents, "v").collect()} == {0.0}
+    assert {r.alignment for r in VO.alignment(vecs, cents, "v", p=float("inf")).collect()} == {None}
+
+
+def test_bias_direction_is_the_minimum_of_the_squared_hinge(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((150, 4)) + np.array([1.0, 0, 0, 0]) * (np.arange(150) % 3 == 0)[:, None]
+    y = np.where(np.arange(150) % 3 == 0, 1.0, -1.0)
+    df = spark.createDataFrame([(v.tolist(), int(t > 0)) for v, t in zip(x, y)], "v array<double>, y int")
+    got = np.array(VO.fit_bias_direction(df, "v", "y"))
+    s = np.where(y > 0, 150 / (2 * (y > 0).sum()), 150 / (2 * (y < 0).sum()))
+    a, w = np.c_[x, np.ones(150)], np.zeros(5)
+    for _ in range(20000):       # plain gradient descent on the same objective
+        w -= 5e-4 * (w - 2 * a.T @ (s * y * np.maximum(0, 1 - y * (a @ w))))
+    assert np.allclose(got, w[:4] / np.linalg.norm(w[:4]), atol=1e-5)
+
+
+def test_project_out_keeps_null_vectors(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "id int, v array<double>")
+    assert VO.project_out(df, "v", [1.0, 0.0, 0.0]).orderBy("id").collect()[1].v is None

@@ -1,16 +1,18 @@
-"""String functions (Column -> Column), all built-in expressions: they run
-inside whole-stage codegen and never leave the JVM.
+"""String functions (Column -> Column), built-in expressions except for case
+folding and transliteration, which SQL lacks and Arrow UDFs supply.
 
-The regular expressions avoid look-around so the same pattern runs in Java
-(Spark) and RE2 (the DuckDB oracle).
+The patterns are Java's; the expected values in the tests and the SQL
+oracles have rules of their own.
 """
 
 from __future__ import annotations
 
+import html.entities
 import re
 import unicodedata
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,76 +35,88 @@ def clean_headline(headline, abstract=None) -> Column:
 
 
 # ------------------------------------------------------------------ I3 / I4
-# Letters whose case-folded form is not their lower case
-# (Python str.casefold), as (letter, folded).
-CASEFOLD_EXTRA = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ς", "σ"), ("ﬁ", "fi"), ("ﬂ", "fl"))
-
-
-def casefold(c) -> Column:
-    out = F.lower(_col(c))
-    for a, b in CASEFOLD_EXTRA:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
-
-
 # Letters with no canonical decomposition and their ASCII
 # spelling, as a transliterator writes them.
 ASCII_MULTI = (("æ", "ae"), ("Æ", "AE"), ("œ", "oe"), ("Œ", "OE"), ("ø", "o"), ("Ø", "O"),
                ("ß", "ss"), ("đ", "d"), ("Đ", "D"), ("ł", "l"), ("Ł", "L"), ("þ", "th"),
-               ("Þ", "Th"), ("ð", "d"), ("Ð", "D"), ("ı", "i"))
+               ("Þ", "Th"), ("ð", "d"), ("Ð", "D"), ("ı", "i"), ("ħ", "h"), ("Ħ", "H"))
+
+# Greek and Cyrillic letters and their usual Latin spelling.
+GREEK = (("α", "a"), ("β", "b"), ("γ", "g"), ("δ", "d"), ("ε", "e"), ("ζ", "z"), ("η", "e"), ("θ", "th"),
+         ("ι", "i"), ("κ", "k"), ("λ", "l"), ("μ", "m"), ("ν", "n"), ("ξ", "x"), ("ο", "o"), ("π", "p"),
+         ("ρ", "r"), ("σ", "s"), ("ς", "s"), ("τ", "t"), ("υ", "u"), ("φ", "ph"), ("χ", "kh"), ("ψ", "ps"), ("ω", "o"))
+CYRILLIC = (("а", "a"), ("б", "b"), ("в", "v"), ("г", "g"), ("д", "d"), ("е", "e"), ("ж", "zh"), ("з", "z"),
+            ("и", "i"), ("к", "k"), ("л", "l"), ("м", "m"), ("н", "n"), ("о", "o"), ("п", "p"),
+            ("р", "r"), ("с", "s"), ("т", "t"), ("у", "u"), ("ф", "f"), ("х", "kh"), ("ц", "ts"), ("ч", "ch"),
+            ("ш", "sh"), ("щ", "shch"), ("ъ", "'"), ("ы", "y"), ("ь", "'"), ("э", "e"), ("ю", "iu"), ("я", "ia"),
+            ("ђ", "dj"), ("є", "ie"), ("і", "i"), ("ј", "j"), ("љ", "lj"), ("њ", "nj"), ("ћ", "c"), ("џ", "dz"), ("ґ", "g"))
+
+
+def _ascii_table() -> dict[int, str]:
+    """Every letter below U+FFFF whose compatibility decomposition is ASCII
+    letters with marks maps to them; Greek and Cyrillic letters with marks map
+    like their base; loose accents map to nothing."""
+    base = dict(ASCII_MULTI)
+    for ch, spelt in (*GREEK, *CYRILLIC):
+        base[ch] = spelt
+        if len(ch.upper()) == 1:
+            base.setdefault(ch.upper(), spelt.capitalize())
+    table = {cp: "" for cp in range(0x300, 0x370)}
+    for cp in range(0x80, 0x10000):
+        ch = chr(cp)
+        if not unicodedata.category(ch).startswith("L"):
+            continue
+        letters = [x for x in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(x)]
+        spelt = base.get(ch) or "".join(base.get(x, x) for x in letters)
+        if spelt and spelt != ch and spelt.isascii() and all(x.isalnum() or x == "'" for x in spelt):
+            table[cp] = spelt
+    return table
 
 
-def _decomposable_latin() -> tuple[str, str]:
-    """Rule-built table: every letter of Latin-1 Supplement and Latin
-    Extended-A whose canonical decomposition starts with an ASCII letter maps
-    to that letter (é -> e, Ň -> N, ...)."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0180):
-        ch = chr(cp)
-        base = unicodedata.normalize("NFD", ch)[0]
-        if base != ch and base.isascii() and base.isalpha():
-            src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
+_ASCII = _ascii_table()
+
+
+def _text_udf(fold: bool, ascii_: bool):
+    """Arrow UDF over whole batches: SQL has neither full case folding nor
+    transliteration, and spelling their tables out as nested expressions is
+    slower than one pass of the string methods that have them."""
+    @F.arrow_udf("string")
+    def spelt(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            if t is not None:
+                t = t.casefold() if fold else t
+                t = t if not ascii_ or t.isascii() else t.translate(_ASCII)
+            out.append(t)
+        return pa.array(out, pa.string())
 
+    return spelt
 
-_ACCENT_FROM, _ACCENT_TO = _decomposable_latin()
+
+def casefold(c) -> Column:
+    """Full Unicode case folding."""
+    return _text_udf(True, False)(_col(c))
 
 
 def to_ascii(c) -> Column:
-    """Accented Latin letters to ASCII: a ``translate`` table built from the
-    Unicode decompositions plus multi-letter replacements."""
-    out = F.translate(_col(c), _ACCENT_FROM, _ACCENT_TO)
-    for a, b in ASCII_MULTI:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Letters of the Latin, Greek and Cyrillic scripts to ASCII."""
+    return _text_udf(False, True)(_col(c))
 
 
-def _fold_tables() -> tuple[str, str, tuple]:
-    """Tables for :func:`fold_ascii`, derived from the ones above: every
-    one-to-one mapping (lower-case side) goes into one translate table,
-    only true multi-letter spellings stay replacements."""
-    src, dst = list(_ACCENT_FROM), list(_ACCENT_TO)
-    multi = []
-    for a, b in (*CASEFOLD_EXTRA, *ASCII_MULTI):
-        if a.lower() != a:
-            continue  # upper-case forms are gone after lower()
-        if len(b) == 1:
-            src.append(a)
-            dst.append(b)
-        else:
-            multi.append((a, b))
-    return "".join(src), "".join(dst), tuple(dict.fromkeys(multi))
+def fold_ascii(c) -> Column:
+    """``to_ascii(casefold(c))`` in one pass."""
+    return _text_udf(True, True)(_col(c))
 
 
-_FOLD_FROM, _FOLD_TO, _FOLD_MULTI = _fold_tables()
+# Letters that fold to ASCII letters, other than by lower case.
+FOLDS_TO_ASCII = (("ß", "ss"), ("ẞ", "ss"), ("ſ", "s"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"),
+                  ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
 
-def fold_ascii(c) -> Column:
-    """``to_ascii(casefold(c))`` in fewer passes over the text: lower, one
-    translate, then the few multi-letter spellings."""
-    out = F.translate(F.lower(_col(c)), _FOLD_FROM, _FOLD_TO)
-    for a, b in _FOLD_MULTI:
+def folded_start(c) -> Column:
+    """Case folding as far as it matters for ASCII prefixes (usable in lambdas)."""
+    out = F.lower(_col(c))
+    for a, b in FOLDS_TO_ASCII:
         out = F.replace(out, F.lit(a), F.lit(b))
     return out
 
@@ -152,6 +166,8 @@ def article_name(c, prefix: str = WIKI_PREFIX) -> Column:
     """Article title from its URL: prefix removed, percent escapes decoded,
     a literal ``+`` kept (``url_decode`` alone would turn it into a space)."""
     raw = remove_prefix(c, prefix)
+    # a percent sign that starts no escape stands for itself
+    raw = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
     return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
 
 
@@ -159,55 +175,93 @@ def str_after(c, marker: str) -> Column:
     """Text after the first ``marker``; '' when the marker is absent."""
     c = _col(c)
     pos = F.instr(c, marker)
-    return F.when(pos > 0, c.substr(pos + F.lit(len(marker)), F.lit(1 << 30))).otherwise(F.lit(""))
+    return F.when(pos > 0, F.substr(c, pos + F.lit(len(marker)))).otherwise(F.lit(""))
 
 
 # ------------------------------------------------------------------ B14
 def any_prefix(c, prefixes: Sequence[str]) -> Column:
-    """Case-folded ``c`` starts with one of ``prefixes``."""
+    """Case-folded ``c`` starts with one of ``prefixes`` (ASCII)."""
     alt = "|".join(re.escape(p) for p in prefixes)
-    return casefold(c).rlike(f"^(?:{alt})")
+    return folded_start(c).rlike(f"^(?:{alt})")
 
 
 # ------------------------------------------------------------------ I13 / I14
-# The named character references decoded in paragraph text.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"),
-            ("&mdash;", "—"), ("&hellip;", "…"), ("&amp;", "&"))
-
-NOISE = r"(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-ERROR_SPAN = r'(?s)<span[^>]*class="[^"]*error[^"]*"[^>]*>.*?</span>'
+NOISE = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
+# a span whose class list, in either kind of quotes, has the word "error"; spans inside it go with it
+_ERROR_CLASS = r"""class\s*=\s*(?:"(?:[^"]*\s)?error(?:\s[^"]*)?"|'(?:[^']*\s)?error(?:\s[^']*)?'|error(?=[\s>]))"""
+_INNER = r"(?:[^<]++|<(?!/?span\b))*+"
+ERROR_SPAN = (rf"(?is)<span\b[^>]*\b{_ERROR_CLASS}[^>]*>{_INNER}"
+              rf"(?:<span\b[^>]*>{_INNER}(?:<span\b[^>]*>{_INNER}</span>{_INNER})*+</span>{_INNER})*+</span>")
 # A paragraph runs from <p ...> to the next <p or </p (implicit close).
-PARAGRAPH = r"<p(?:\s[^>]*)?>([^<]*(?:<(?:[^p/]|/[^p]|p[^\s>]|/p[^\s>])[^<]*)*)"
+PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>([^<]*+(?:<(?!/?p[\s>])[^<]*+)*+)"
 TAG = r"<[^>]*>"
+REFERENCE = r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _named_references() -> Column:
+    """The named character references of HTML 4 and ``apos``."""
+    items = [("apos", 39), *sorted(html.entities.name2codepoint.items())]
+    return F.expr("map(" + ", ".join(f"'{n}', '\\u{cp:04x}'" for n, cp in items) + ")")
+
+
+def _character(code: Column) -> Column:
+    """Character of a code point, through JSON escapes (a surrogate pair above U+FFFF)."""
+    def unit(x):
+        return F.concat(F.lit("\\u"), F.lpad(F.hex(x), 4, "0"))
+
+    pair = F.concat(unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)))
+    text = F.when(code < 0x10000, unit(code)).otherwise(pair)
+    return F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")[0]
 
 
 def decode_entities(c) -> Column:
-    out = _col(c)
-    for a, b in ENTITIES:
-        out = F.replace(out, F.lit(a), F.lit(b))
-    return out
+    """Numeric and named character references decoded; unknown ones stay. The
+    ampersand's own come last, so that what they uncover stays as it is."""
+    c = _col(c)
+    named = _named_references()
+
+    def decoded(name):
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
+            name.startswith("#"), F.substr(name, F.lit(2))).cast("long")
+        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(name.startswith("#"), F.when(ok, _character(code))).otherwise(F.try_element_at(named, name))
+
+    def late(name):
+        return name.isin("amp", "#38", "#x26", "#X26")
+
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), 1))
+    ordered = F.concat(F.filter(found, lambda n: ~late(n)), F.filter(found, late))
+    out = F.aggregate(ordered, c, lambda acc, n: F.replace(
+        acc, F.concat(F.lit("&"), n, F.lit(";")), F.coalesce(decoded(n), F.concat(F.lit("&"), n, F.lit(";")))))
+    return F.when(c.contains("&"), out).otherwise(c)
 
 
-def paragraph_text(html) -> Column:
+def paragraph_text(html_col) -> Column:
     """Plain text of every paragraph, joined by newlines, after removing
     scripts, styles, comments and ``span.error`` elements."""
-    h = F.regexp_replace(F.regexp_replace(_col(html), NOISE, ""), ERROR_SPAN, "")
+    h = F.regexp_replace(F.regexp_replace(_col(html_col), NOISE, ""), ERROR_SPAN, "")
     paras = F.regexp_extract_all(h, F.lit(PARAGRAPH), 1)
-    return F.array_join(F.transform(paras, lambda p: decode_entities(F.regexp_replace(p, TAG, ""))), "\n")
+    return decode_entities(F.array_join(F.transform(paras, lambda p: F.regexp_replace(p, TAG, "")), "\n"))
 
 
-def synopsis(html, prefixes: Sequence[str]) -> Column:
-    """Text of the first ``<h2>`` section whose heading passes
-    :func:`any_prefix`; without such a section, the intro (before the first
-    ``<h2>``); null when the chosen part has no paragraph text. An empty
+def synopsis(html_col, prefixes: Sequence[str]) -> Column:
+    """Text of the first section (headings of level 2 to 6; level 1 is the
+    page's title) whose heading passes
+    :func:`any_prefix`, with its subsections (deeper headings up to the next of
+    its own level); without such a section, the intro (before the first
+    heading); null when the chosen part has no paragraph text. An empty
     synopsis section gives null, never the intro."""
-    parts = F.split(_col(html), "<h2")
+    parts = F.split(_col(html_col), r"(?i)<h(?=[2-6][\s>])")
     intro = F.get(parts, 0)
-    sections = F.transform(F.slice(parts, 2, 1 << 20), lambda s: F.struct(
-        decode_entities(F.regexp_replace(F.regexp_extract(s, r"(?s)^[^>]*>(.*?)</h2>", 1), TAG, ""))
-        .alias("heading"),
-        F.regexp_replace(s, r"(?s)^[^>]*>.*?</h2>", "").alias("body")))
-    chosen = F.get(F.filter(sections, lambda s: any_prefix(s["heading"], prefixes)), 0)
-    text = F.when(chosen.isNotNull(), paragraph_text(chosen["body"])).otherwise(paragraph_text(intro))
+    sections = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda s: F.struct(
+        F.substr(s, F.lit(1), F.lit(1)).cast("int").alias("level"),
+        F.trim(decode_entities(F.regexp_replace(F.regexp_extract(s, r"(?is)^[^>]*>(.*?)</h[1-6]>", 1), TAG, ""))).alias("heading"),
+        F.regexp_replace(s, r"(?is)^[^>]*>.*?</h[1-6]>", "").alias("body")))
+    at = F.array_position(F.transform(sections, lambda s: any_prefix(s["heading"], prefixes)), True).cast("int")
+    chosen = F.get(sections, at - 1)
+    after = F.slice(sections, at + 1, F.size(sections))
+    stop = F.array_position(F.transform(after, lambda s: s["level"] <= chosen["level"]), True).cast("int")
+    inner = F.when(stop > 0, F.slice(after, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(after)
+    body = F.concat(chosen["body"], F.array_join(F.transform(inner, lambda s: s["body"]), ""))
+    text = F.when(at > 0, paragraph_text(body)).otherwise(paragraph_text(intro))
     return F.nullif(text, F.lit(""))

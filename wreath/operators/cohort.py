@@ -18,19 +18,22 @@ def _names(cols) -> list[str]:
 
 
 # --------------------------------------------------------------------------- E5
-def cohort_softmax(df: DataFrame, cohort, score: str, out: str = "p_win") -> DataFrame:
+def cohort_softmax(df: DataFrame, cohort, score: str, out: str = "p_win", log_out: str | None = None) -> DataFrame:
     """exp(s - max_c s) / Σ_c exp(s - max_c s): shifted for stability, sums to
     1 in every cohort.
 
     Two small per-cohort aggregates (max, then Σexp) joined back by key: no
     window, so a hot cohort is reduced map-side instead of sorted in one task.
+    ``log_out`` adds ln p = s - max - ln Σ, which stays finite where p is 0.
     """
     cohort = _names(cohort)
     mx = df.groupBy(*cohort).agg(F.max(score).alias("__m"))
     x = df.join(mx, cohort, "left").withColumn("__e", F.exp(F.col(score) - F.col("__m")))
     z = x.groupBy(*cohort).agg(F.sum("__e").alias("__z"))
-    return (x.join(z, cohort, "left").withColumn(out, F.col("__e") / F.col("__z"))
-            .drop("__m", "__e", "__z"))
+    x = x.join(z, cohort, "left").withColumn(out, F.col("__e") / F.col("__z"))
+    if log_out:
+        x = x.withColumn(log_out, F.col(score) - F.col("__m") - F.log("__z"))
+    return x.drop("__m", "__e", "__z")
 
 
 # --------------------------------------------------------------------------- E6
@@ -123,12 +126,15 @@ def _stable(v) -> int:
 
 # --------------------------------------------------------------------------- J20
 def multinomial_ce_loss(df: DataFrame, cohort, n: str, p: str, normalize: bool = True,
-                        weight: str | None = None) -> DataFrame:
+                        weight: str | None = None, log_p: str | None = None) -> DataFrame:
     """Per-cohort loss -Σ_i N_i ln p_i / N_win (no 1/N_win when not
     normalised). One aggregate per cohort; rows with N_i = 0 add nothing.
+    ``log_p`` names a column of ln p (see :func:`cohort_softmax`), exact where
+    p underflows; without it a winner with p = 0 makes the loss infinite.
     ``weight`` (constant per cohort) is carried for :func:`total_loss`."""
     cohort = _names(cohort)
-    nll = F.sum(F.when(F.col(n) > 0, -F.col(n) * F.log(F.col(p))).otherwise(F.lit(0.0)))
+    ln_p = F.col(log_p) if log_p else F.when(F.col(p) > 0, F.log(p)).when(F.col(p) == 0, F.lit(float("-inf")))
+    nll = F.sum(F.when(F.col(n) > 0, -F.col(n) * ln_p).otherwise(F.lit(0.0)))
     loss = F.try_divide(nll, F.sum(n).cast("double")) if normalize else nll
     aggs = [loss.alias("loss")]
     if weight:

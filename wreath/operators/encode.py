@@ -68,12 +68,10 @@ class CountEncoderModel:
 
 
 class CountEncoder:
-    def __init__(self, columns: Sequence[str], key: str, min_frequency: float = 0.01,
-                 max_values: int = 10_000):
+    def __init__(self, columns: Sequence[str], key: str, min_frequency: float = 0.01):
         self.columns = list(columns)
         self.key = key
         self.min_frequency = min_frequency
-        self.max_values = max_values
 
     def fit(self, df: DataFrame) -> CountEncoderModel:
         ex = _exploded(df, self.key, self.columns)
@@ -84,10 +82,21 @@ class CountEncoder:
             freq = ex.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
             stats = freq.agg(F.count(F.lit(1)).alias("k"),
                              F.count_if(F.col("n") < floor).alias("rare")).first()
-            rows = freq.filter(F.col("n") >= floor).limit(self.max_values + 1).collect()
-            if len(rows) > self.max_values:
-                raise ValueError(f"{c}: more than {self.max_values} frequent values")
+            # at most 1 / min_frequency values reach a relative floor
+            rows = freq.filter(F.col("n") >= floor).collect()
             vals = [r[c] for r in rows]
             kept[c] = sorted([v for v in vals if v is not None]) + ([None] if None in vals else [])
             infrequent[c] = bool(stats["rare"])
         return CountEncoderModel(self.key, self.columns, kept, infrequent)
+
+
+def count_values_long(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
+    """(key, column, value, n): counts per key for any number of values, the
+    form to use where one column per value would be too wide."""
+    out = None
+    for c in columns:
+        part = (df.select(key, F.explode(F.col(c)).alias("value")).groupBy(key, "value")
+                .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+                .select(key, F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -30,20 +30,13 @@ _WORKER_CACHE: dict = {}
 
 
 class HashedProjectionEncoder:
-    """Deterministic bag-of-words encoder: token hash -> N(0,1)^dim row from
-    a seeded generator; a text is the normalised sum of its token rows."""
+    """Deterministic bag-of-words encoder: token hash -> one of ``buckets`` rows
+    of a seeded N(0,1) matrix; a text is the normalised sum of its token rows."""
 
-    def __init__(self, dim: int = 384, seed: int = 0, lowercase: bool = True):
-        self.dim, self.seed, self.lowercase = dim, seed, lowercase
-        self._rows: dict[int, np.ndarray] = {}
-
-    def _row(self, h: int) -> np.ndarray:
-        r = self._rows.get(h)
-        if r is None:
-            r = np.random.default_rng([self.seed, h]).standard_normal(self.dim).astype(np.float32)
-            if len(self._rows) < 1_000_000:
-                self._rows[h] = r
-        return r
+    def __init__(self, dim: int = 384, seed: int = 0, lowercase: bool = True, buckets: int = 1 << 14):
+        self.dim, self.seed, self.lowercase, self.buckets = dim, seed, lowercase, buckets
+        # buckets x dim numbers, drawn at once: 25 MB at the defaults, and never more
+        self._rows = np.random.default_rng(seed).standard_normal((buckets, dim), dtype=np.float32)
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim), dtype=np.float32)
@@ -51,8 +44,9 @@ class HashedProjectionEncoder:
             if not t:
                 continue
             toks = _TOKEN.findall(t.lower() if self.lowercase else t)
-            for tok in toks:
-                out[i] += self._row(zlib.crc32(tok.encode("utf-8")))
+            hashes = [zlib.crc32(tok.encode("utf-8")) % self.buckets for tok in toks]
+            which, n = np.unique(np.array(hashes, np.int64), return_counts=True)
+            out[i] = n.astype(np.float32) @ self._rows[which]
             n = np.linalg.norm(out[i])
             if n > 0:
                 out[i] /= n

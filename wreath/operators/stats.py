@@ -36,28 +36,14 @@ def histogram(df: DataFrame, col: str, width: float, by: Sequence[str] = ()) ->
             .groupBy(*by, b).agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-def balanced_weights(df: DataFrame, label: str, out: str = "weight",
-                     max_literal: int = 10_000) -> DataFrame:
-    """Balanced class weight on every row: n / (n_classes * n_class).
-
-    Up to ``max_literal`` classes the per-class counts enter as a CASE
-    expression (no join, no shuffle of the rows); with more classes the
-    count table is joined back on the label instead (exact either way)."""
-    counts_df = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
-    counts = counts_df.limit(max_literal + 1).collect()
-    if len(counts) > max_literal:
-        tot = counts_df.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
-        w = counts_df.select(label, (F.lit(float(tot["n"])) / (F.lit(float(tot["k"])) * F.col("__nc"))).alias(out))
-        return df.join(w, label, "left")
-    n, k = sum(r["__nc"] for r in counts), len(counts)
-    expr = None
-    for r in counts:
-        if r[label] is None:
-            continue
-        cond = F.col(label) == F.lit(r[label])
-        val = F.lit(n / (k * r["__nc"]))
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    return df.withColumn(out, expr if expr is not None else F.lit(None).cast("double"))
+def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
+    """Balanced class weight on every row: n / (n_classes * n_class); a null
+    label has none. The counts are joined back on the label (AQE broadcasts
+    them when they are small), whatever the number of classes."""
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
+    tot = counts.agg(F.sum("__nc").alias("n"), F.count(F.lit(1)).alias("k")).first()
+    w = counts.select(label, (F.lit(float(tot["n"] or 0)) / (F.lit(float(tot["k"])) * F.col("__nc"))).alias(out))
+    return df.join(w, label, "left")
 
 
 def group_rate(df: DataFrame, by, num: str, den: str, out: str = "rate") -> DataFrame:
@@ -87,13 +73,11 @@ def dummies(df: DataFrame, col: str, values: Sequence[str], prefix: str | None =
                      *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in values])
 
 
-def fitted_values(df: DataFrame, col: str, max_values: int = 1000) -> list:
-    """Distinct values of a low-cardinality column, for column-producing
-    operators (dummies, pivots). Refuses to bring more than ``max_values``."""
-    vals = [r[0] for r in df.select(col).distinct().limit(max_values + 1).collect()]
-    if len(vals) > max_values:
-        raise ValueError(f"{col} has more than {max_values} distinct values")
-    return sorted(v for v in vals if v is not None)
+def value_indicators(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Long form of :func:`dummies` for any number of values: one row per
+    (key, value) that occurs, with its count."""
+    return df.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("value")).agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"))
 
 
 def coverage_report(works: DataFrame, key: str, sources: Sequence[DataFrame]) -> DataFrame:

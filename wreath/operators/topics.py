@@ -10,6 +10,7 @@ Arrow batches over an already aggregated table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import types as T
 from wreath.functions.aggregates import kurtosis_unbiased, ordered_list
 from wreath.operators.relational import densify
 
-MIN_MONTHLY_FREQUENCY = 10
+MONTHLY_FLOOR = 10      # fixed value
 Filter = Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
@@ -42,7 +43,7 @@ def monthly_series(freq: DataFrame, keys: Sequence[str], month: str = "month",
 
 
 # --------------------------------------------------------------------------- J6
-def min_frequency(n: int = MIN_MONTHLY_FREQUENCY) -> Filter:
+def min_frequency(n: int = MONTHLY_FLOOR) -> Filter:
     """Keep topics with at least one month of ``n`` or more documents."""
     def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
         return freq.groupBy(*keys).agg(F.max("frequency").alias("__m")).filter(F.col("__m") >= n).drop("__m")
@@ -126,67 +127,48 @@ def adf_tau(x: np.ndarray, maxlag: int | None = None, autolag: bool = True) -> t
     return float(tau), int(best)
 
 
-_NULL_CACHE: dict[tuple, np.ndarray] = {}
+# MacKinnon's response surface for the Dickey-Fuller t statistic
+# with constant, trend and squared trend (one series). The p-value is the
+# normal distribution function of a polynomial in the statistic, one polynomial
+# below and one above the switch point.
+ADF_MIN, ADF_SWITCH, ADF_MAX = -17.17, -3.21, 0.54
+ADF_LOW = (4.0003, 1.658, 0.048288)
+ADF_HIGH = (3.0778, 0.49529, -0.41477, -0.059359)
 
 
-def adf_null_distribution(spark, n: int, sims: int = 20_000, seed: int = 7) -> np.ndarray:
-    """Sorted simulated ADF statistics ('ctt', no augmentation) of random
-    walks of length ``n``: the null distribution the p-value is read from.
-
-    The simulation is a Spark job (``mapInPandas`` over ``sims`` seeds); only
-    the ``sims`` statistics (a bounded constant) return to the driver, and
-    are kept per (n, sims, seed) for later calls in the same process.
-    """
-    key = (n, sims, seed)
-    if key in _NULL_CACHE:
-        return _NULL_CACHE[key]
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for s in b["id"].to_numpy():
-                rng = np.random.default_rng([seed, int(s)])
-                walk = np.cumsum(rng.standard_normal(n))
-                out.append(adf_tau(walk, maxlag=0, autolag=False)[0])
-            yield pd.DataFrame({"tau": out})
-
-    taus = spark.range(sims, numPartitions=max(1, min(64, sims // 500))).mapInPandas(run, "tau double")
-    _NULL_CACHE[key] = np.sort(np.array([r["tau"] for r in taus.collect()], dtype=float))
-    return _NULL_CACHE[key]
-
-
-def adf_pvalue(tau: float, null: np.ndarray) -> float:
-    """Left-tail Monte-Carlo p-value: share of null statistics <= tau."""
+def adf_pvalue(tau: float) -> float:
+    """Left-tail p-value of an ADF 'ctt' statistic from the published surface."""
     if np.isnan(tau):
         return float("nan")
-    return float((np.searchsorted(null, tau, side="right") + 1) / (len(null) + 1))
+    if tau > ADF_MAX:
+        return 1.0
+    if tau < ADF_MIN:
+        return 0.0
+    z = sum(c * tau ** i for i, c in enumerate(ADF_LOW if tau <= ADF_SWITCH else ADF_HIGH))
+    return 0.5 * math.erfc(-z / math.sqrt(2))
 
 
-def stationary(pvalue_threshold: float = 0.05, n_periods: int = 3, sims: int = 20_000,
-               seed: int = 7) -> Filter:
+def stationary(pvalue_threshold: float = 0.05, n_periods: int = 3) -> Filter:
     """Keep topics whose series, tiled ``n_periods * 12`` times, rejects a
     unit root in an ADF test with constant, trend and squared trend at
     ``pvalue_threshold`` (despite the reference's class name, rejecting
-    series are the ones kept)."""
+    series are the ones kept). A constant series has no test: its p-value is
+    null and it is not kept. A tiled series repeats exactly, so with twelve or
+    more lags the regression fits without error and any other series rejects."""
     def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
         keys = list(keys)
-        spark = freq.sparkSession
         reps = n_periods * 12
-        null = adf_null_distribution(spark, 12 * reps, sims, seed)
         s = monthly_series(freq, keys).groupBy(*keys).agg(ordered_list("frequency", "month").alias("__s"))
 
         def test(pdf: pd.DataFrame) -> pd.DataFrame:
-            ps = []
-            for series in pdf["__s"]:
-                x = np.tile(np.asarray(series, dtype=float), reps)
-                ps.append(adf_pvalue(adf_tau(x)[0], null))
             out = pdf[keys].copy()
-            out["pvalue"] = ps
+            out["pvalue"] = [float("nan") if len(set(x)) < 2 else
+                             adf_pvalue(adf_tau(np.tile(np.asarray(x, dtype=float), reps))[0]) for x in pdf["__s"]]
             return out
 
         schema = T.StructType([freq.schema[k] for k in keys] + [T.StructField("pvalue", T.DoubleType())])
         tested = s.mapInPandas(lambda it: (test(b) for b in it), schema)
-        return tested.filter(F.col("pvalue") < pvalue_threshold).select(*keys)
+        return tested.filter((F.col("pvalue") < pvalue_threshold) & ~F.isnan("pvalue")).select(*keys)
     return f
 
 
@@ -209,7 +191,7 @@ def hot_topics(freq: DataFrame, by, topic: str, flt: Filter) -> DataFrame:
 
 # --------------------------------------------------------------------------- J4
 def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int = 8,
-               seed: int = 0, steps: int = 10, broadcast_limit: int = 20_000_000):
+               seed: int = 0, steps: int = 100):
     """k-means topics per cohort (every cohort in the same job).
 
     Seeds: the k rows with the smallest hash of (key, seed) per cohort,
@@ -217,9 +199,9 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
     centroid sets (one row per cohort, a driver-held constant of cohorts x
     k x dim numbers) join the vectors on the cohort key, every vector picks
     its nearest centroid with array functions (no vector x centroid rows),
-    and the new centroids are per-(cohort, topic) mean vectors. The sets
-    table is broadcast only when its known size is under ``broadcast_limit``
-    numbers. The input is reliably checkpointed once; the plan does not grow
+    and the new centroids are per-(cohort, topic) mean vectors, until no
+    centroid moves (raises if ``steps`` do not suffice). How the sets reach the
+    vectors is left to AQE. The input is stored once; the plan does not grow
     between steps because centroids re-enter as fresh local data.
 
     Returns (assignments: key, by..., topic; centroids: by..., topic,
@@ -227,7 +209,7 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
     """
     from wreath.operators.relational import top_n
     from wreath.operators.vectors import mean_vector, vector_dim
-    from wreath.session import cut_lineage
+    from wreath.session import materialize
 
     spark = df.sparkSession
     by = list(by)
@@ -235,7 +217,7 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
     data = df.select(key, *by, F.transform(vec, lambda v: v.cast("double")).alias("__v"))
     if not by:
         data = data.withColumn("__all", F.lit(0))
-    data = cut_lineage(data)
+    data = materialize(data)
     dim = vector_dim(data, "__v")
     seeds = top_n(data.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))), cby, "__h", key, k)
     cents = [(tuple(r[c] for c in cby), i, list(r["__v"]))
@@ -251,9 +233,6 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
     def assign(cur_sets):
         rows = [(*ck, vs) for ck, vs in cur_sets.items()]
         sets = spark.createDataFrame(rows, set_schema)
-        n_numbers = sum(len(vs) for vs in cur_sets.values()) * dim
-        if n_numbers <= broadcast_limit:
-            sets = F.broadcast(sets)
         j = data.join(sets, cby, "inner")
         d = F.transform(F.col("__c"), lambda c, i: F.struct(
             F.aggregate(F.zip_with(F.col("__v"), c, lambda a, b: (a - b) * (a - b)),
@@ -271,6 +250,8 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
             cur = upd
             break
         cur = upd
+    else:
+        raise RuntimeError(f"k-means did not settle in {steps} steps")
 
     assigned = assign(cur)
     out = assigned.select(key, *by, "topic")
@@ -293,7 +274,8 @@ def topicality(docs: DataFrame, key: str, vec: str, by: Sequence[str], topics: D
     """Score documents against their cohort's hot topics.
 
     ``topics``: the dated stream (by..., topic, month, topic_vec). Hot topics
-    per cohort pass ``flt`` (default: minimum frequency and kurtosis > 2);
+    per cohort pass ``flt`` (default: minimum frequency, kurtosis > 2 and
+    stationarity at 0.1 over three periods);
     their centroids are mean vectors of their members, weighted by size
     share. A cohort without hot topics scores 0 (an empty sum).
     """
@@ -301,7 +283,7 @@ def topicality(docs: DataFrame, key: str, vec: str, by: Sequence[str], topics: D
 
     by = list(by)
     dim = vector_dim(docs, vec)
-    flt = flt or all_of(high_kurtosis(2.0))
+    flt = flt or all_of(high_kurtosis(2.0), stationary(0.1, 3))
     freq = topics_over_time(topics, by, topic, month)
     hot = hot_topics(freq, by, topic, flt)
     members = topics.join(hot, [*by, topic], "left_semi")

@@ -28,18 +28,18 @@ def triple_pattern(triples: DataFrame, pattern: Pattern) -> DataFrame:
     """Rows matching one pattern; columns are its variables (without ``?``).
     A property term may list alternatives separated by ``|``."""
     df = triples
-    cols = []
     for pos, term in zip(POSITIONS, pattern):
         if _is_var(term):
-            cols.append(F.col(pos).alias(term[1:]))
-        elif pos == "property" and "|" in term:
+            continue
+        if pos == "property" and "|" in term:
             df = df.filter(F.col(pos).isin(*term.split("|")))
         else:
             df = df.filter(F.col(pos) == term)
-    names = [c for c in (t[1:] for t in pattern if _is_var(t))]
-    if len(set(names)) != len(names):  # the same variable twice: equality filter
-        raise ValueError("repeated variable in one pattern is not supported")
-    return df.select(*cols)
+    at: dict[str, str] = {}
+    for pos, term in zip(POSITIONS, pattern):  # the same variable twice: equal values
+        if _is_var(term) and at.setdefault(term, pos) != pos:
+            df = df.filter(F.col(at[term]) == F.col(pos))
+    return df.select(*[F.col(pos).alias(term[1:]) for term, pos in at.items()])
 
 
 def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -49,17 +49,27 @@ def _join(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, shared, how)
 
 
+def _join_connected(parts: Sequence[DataFrame]) -> DataFrame:
+    """Inner join of all parts, always taking the first that shares a column."""
+    out, left = parts[0], list(parts[1:])
+    while left:
+        nxt = next((p for p in left if set(p.columns) & set(out.columns)), left[0])
+        left.remove(nxt)
+        out = _join(out, nxt, "inner")
+    return out
+
+
 def match_pattern(triples: DataFrame, patterns: Sequence[Pattern],
                   optional: Sequence[Sequence[Pattern]] = (), values: DataFrame | None = None,
                   select: Sequence[str] | None = None, distinct: bool = False) -> DataFrame:
-    """Basic graph pattern (inner joins), then OPTIONAL groups (left joins),
-    then a VALUES table (inner join on its variables)."""
+    """Basic graph pattern (inner joins), then OPTIONAL groups (left joins).
+    A VALUES table comes first, so that its few rows narrow every join after
+    it. Patterns are joined in any order in which each shares a variable with
+    those before it."""
     parts = [triple_pattern(triples, p) for p in patterns]
-    out = reduce(lambda a, b: _join(a, b, "inner"), parts)
-    if values is not None:
-        out = _join(out, values, "inner")
+    out = _join_connected([values, *parts] if values is not None else parts)
     for group in optional:
-        g = reduce(lambda a, b: _join(a, b, "inner"), [triple_pattern(triples, p) for p in group])
+        g = _join_connected([triple_pattern(triples, p) for p in group])
         out = _join(out, g, "left")
     if select:
         out = out.select(*select)

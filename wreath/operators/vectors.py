@@ -22,11 +22,13 @@ def _names(cols) -> list[str]:
 
 
 def vector_dim(df: DataFrame, vec: str) -> int:
-    """Length of the vectors (all equal): read from one row."""
-    row = df.select(F.size(vec).alias("d")).filter("d >= 0").limit(1).first()
-    if row is None:
+    """Length of the vectors; raises unless all have the same."""
+    row = df.where(F.col(vec).isNotNull()).agg(F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi")).first()
+    if row["lo"] is None:
         raise ValueError("no vectors")
-    return int(row["d"])
+    if row["lo"] != row["hi"]:
+        raise ValueError(f"vectors of {row['lo']} to {row['hi']} values in one column")
+    return int(row["lo"])
 
 
 def lit_vector(values: Sequence[float]) -> Column:
@@ -53,26 +55,65 @@ def mean_vector(df: DataFrame, by, vec: str, dim: int | None = None, out: str =
 
 
 # --------------------------------------------------------------------------- J2
-def fit_bias_direction(df: DataFrame, vec: str, label: str, reg: float = 0.01,
-                       max_iter: int = 100) -> list[float]:
-    """Unit normal of a class-balanced linear SVM separating ``label``.
-
-    Spark ML ``LinearSVC`` (hinge loss, OWL-QN) with balanced weights
-    n / (2 n_c) as ``weightCol``; only the coefficient vector returns to the
-    driver. A squared-hinge solver would give a close but not equal direction.
-    """
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.functions import array_to_vector
-
+def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, steps: int = 60,
+                       tolerance: float = 1e-8) -> list[float]:
+    """Unit normal of the class-balanced linear SVM separating ``label``:
+    minimises |w|²/2 + b²/2 + C Σ s_i max(0, 1 - y_i (w·x_i + b))², s_i the
+    balanced weight n / (2 n_c) (squared hinge on raw features).
+
+    Newton steps: with the active rows (margin below 1) fixed, the minimum
+    solves a linear system whose matrix Σ s x xᵀ and right side Σ s y x are one
+    aggregate over the rows, (dim + 1)² numbers. Raises if the gradient has not
+    vanished after ``steps``."""
     from wreath.operators.stats import balanced_weights
+    from wreath.session import materialize
 
-    data = balanced_weights(df.select(vec, label), label, out="__w").select(
-        array_to_vector(F.transform(vec, lambda v: v.cast("double"))).alias("features"),
-        F.col(label).cast("double").alias("label"), "__w")
-    model = LinearSVC(weightCol="__w", regParam=reg, maxIter=max_iter, standardization=True).fit(data)
-    w = np.asarray(model.coefficients.toArray(), dtype=float)
-    n = np.linalg.norm(w)
-    return (w / n).tolist() if n > 0 else w.tolist()
+    d = vector_dim(df, vec)
+    data = materialize(balanced_weights(df.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(vec, label), label, out="__s").select(
+        V.as_double(vec).alias("x"), F.when(F.col(label).cast("double") > 0, 1.0).otherwise(-1.0).alias("y"), F.col("__s").alias("s")))
+
+    def totals(w):
+        import pyarrow as pa
+
+        def part(batches):
+            gram, right, grad, loss = np.zeros((d + 1, d + 1)), np.zeros(d + 1), np.zeros(d + 1), 0.0
+            for b in batches:
+                x = np.c_[b["x"].flatten().to_numpy().reshape(b.num_rows, d), np.ones(b.num_rows)]
+                y, s = b["y"].to_numpy(), b["s"].to_numpy()
+                slack = 1 - y * (x @ w)
+                on = slack > 0
+                xs = x[on] * s[on, None]
+                gram += xs.T @ x[on]
+                right += xs.T @ y[on]
+                grad -= 2 * xs.T @ (y[on] * slack[on])
+                loss += float((s[on] * slack[on] ** 2).sum())
+            found = np.concatenate([gram.ravel(), right, grad, [loss]])
+            yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], ["t"])
+
+        summed = data.mapInArrow(part, "t array<double>").select(F.posexplode("t").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        t = np.zeros((d + 1) * (d + 3) + 1)
+        t[summed["i"].to_numpy()] = summed["v"].to_numpy()
+        k = (d + 1) ** 2
+        return t[:k].reshape(d + 1, d + 1), t[k: k + d + 1], t[k + d + 1: -1], t[-1]
+
+    w = np.zeros(d + 1)
+    gram, right, grad, loss = totals(w)
+    for _ in range(steps):
+        full = w + c * grad
+        if np.abs(full).max() <= tolerance * max(1.0, c * np.abs(right).max()):
+            break
+        move = np.linalg.solve(np.eye(d + 1) + 2 * c * gram, 2 * c * right) - w
+        value, step = 0.5 * w @ w + c * loss, 1.0
+        while True:                    # halve the step until the objective falls
+            gram, right, grad, loss = totals(w + step * move)
+            if 0.5 * (w + step * move) @ (w + step * move) + c * loss <= value + 1e-12 * abs(value) or step < 1e-6:
+                break
+            step /= 2
+        w = w + step * move
+    else:
+        raise RuntimeError(f"the SVM did not settle in {steps} steps")
+    n = np.linalg.norm(w[:d])
+    return (w[:d] / n).tolist() if n > 0 else w[:d].tolist()
 
 
 # --------------------------------------------------------------------------- J3
@@ -85,12 +126,10 @@ def project_out(df: DataFrame, vec: str, w: Sequence[float], mode: str = "orthog
     component j becomes Σx - (x·w) w_j (quirk Q2).
     A dimension mismatch raises, as the reference does.
     """
-    d = vector_dim(df, vec)
-    if d != len(w):
-        raise ValueError(f"Feature dimension mismatch: normal vector has {len(w)} features, "
-                         f"but data has {d} features")
     wl = lit_vector(w)
-    xd = V.as_double(vec)
+    # checked row by row while it runs: no extra pass over the vectors
+    xd = F.when(F.size(vec) == len(w), V.as_double(vec)).when(F.col(vec).isNotNull(), F.raise_error(F.concat(
+        F.lit(f"the direction has {len(w)} values, a vector has "), F.size(vec).cast("string"))).cast("array<double>"))
     proj = V.dot(xd, wl)
     if mode == "orthogonal":
         res = F.zip_with(xd, wl, lambda x, wi: x - proj * wi)
@@ -103,108 +142,88 @@ def project_out(df: DataFrame, vec: str, w: Sequence[float], mode: str = "orthog
 
 
 # --------------------------------------------------------------------------- C16 / J14
-def _similarity(metric: str, x: Column, c: Column, gamma: float | None) -> Column:
-    return V.kernel(metric, x, c, gamma)
+CHUNK_CENTROIDS = 256
 
 
-def alignment_expr(x: Column, cents: Column, metric: str = "cosine", p: float = 1,
-                   weighted: bool = False, mod_sim: bool = False,
-                   gamma: float | None = None) -> Column:
-    """Alignment of vector ``x`` with an array of struct(centroid, weight):
-    (Σ_k s_k^p [w_k])^(1/p), s = similarity (abs'ed when ``mod_sim``);
-    p = inf gives max_k s_k. A negative base under a fractional root is NaN
-    in numpy; it is returned as null."""
+def _terms(cents: Column, x: Column, x_norm: Column, metric: str, gamma: float | None, mod_sim: bool):
+    """Similarity of ``x`` with a struct(centroid, weight, norm); cosine divides
+    by norms computed once per vector and once per centroid."""
     def sim(c):
-        s = _similarity(metric, x, c["centroid"], gamma)
+        s = V.dot(x, c["centroid"]) / (x_norm * c["norm"]) if metric == "cosine" else V.kernel(metric, x, c["centroid"], gamma)
         return F.abs(s) if mod_sim else s
+    return sim
+
 
+def _partial(cents: Column, x: Column, x_norm: Column, metric: str, p: float, weighted: bool, mod_sim: bool,
+             gamma: float | None) -> Column:
+    """Largest similarity (p = inf) or sum of powers over an array of centroids."""
+    sim = _terms(cents, x, x_norm, metric, gamma, mod_sim)
     if p == float("inf"):
         return F.array_max(F.transform(cents, sim))
-    terms = F.transform(cents, lambda c: F.pow(sim(c), F.lit(float(p))) *
-                        (c["weight"] if weighted else F.lit(1.0)))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+    terms = F.transform(cents, lambda c: F.pow(sim(c), F.lit(float(p))) * (c["weight"] if weighted else F.lit(1.0)))
+    return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
+
+
+def _rooted(total: Column, p: float) -> Column:
+    """p-norm of a sum of powers; a negative base under a fractional root is NaN
+    in numpy and null here. Without centroids the sum is 0 and the maximum null."""
+    if p == float("inf"):
+        return total
+    total = F.coalesce(total, F.lit(0.0))
     res = total if p == 1 else F.pow(total, F.lit(1.0 / float(p)))
     return F.when(~F.isnan(res), res)
 
 
 def centroid_sets(centroids: DataFrame, by: Sequence[str], centroid: str = "centroid",
-                  size: str | None = "size", order: str = "topic") -> DataFrame:
-    """One row per ``by`` key: the ordered array of struct(centroid, weight),
-    weight = topic size / total size of the key (topic share)."""
-    w = F.col(size) / F.sum(size).over(Window.partitionBy(*by)) if size else F.lit(1.0)
-    c = centroids.withColumn("__wt", w.cast("double"))
+                  size: str | None = "size", order: str = "topic", weight: Column | None = None) -> DataFrame:
+    """One row per ``by`` key: the ordered array of struct(centroid, weight,
+    norm), weight = topic size / total size of the key (topic share)."""
+    if weight is None:
+        weight = F.col(size) / F.sum(size).over(Window.partitionBy(*by)) if size else F.lit(1.0)
+    c = centroids.withColumn("__wt", weight.cast("double"))
     return c.groupBy(*by).agg(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"),
-                                             F.col(centroid).alias("centroid"),
-                                             F.col("__wt").alias("weight")))),
-        lambda s: F.struct(s["centroid"].alias("centroid"), s["weight"].alias("weight"))).alias("__cents"))
+                                             V.as_double(centroid).alias("centroid"),
+                                             F.col("__wt").alias("weight"),
+                                             V.l2_norm(centroid).alias("norm")))),
+        lambda s: F.struct(s["centroid"].alias("centroid"), s["weight"].alias("weight"),
+                           s["norm"].alias("norm"))).alias("__cents"))
 
 
 def alignment(vectors: DataFrame, centroids: DataFrame, vec: str, by: Sequence[str] = (),
               metric: str = "cosine", p: float = 1, weighted: bool = False,
               mod_sim: bool = False, gamma: float | None = None, out: str = "alignment",
               centroid: str = "centroid", size: str | None = "size", order: str = "topic",
-              max_literal: int = 1_000, key: str | None = None) -> DataFrame:
+              chunk: int = CHUNK_CENTROIDS) -> DataFrame:
     """Score every vector against the centroids of its ``by`` key (or all
-    centroids when ``by`` is empty).
+    centroids when ``by`` is empty): (Σ_k s_k^p [w_k])^(1/p) with similarity s
+    (abs'ed when ``mod_sim``) and topic share w; p = inf gives max_k s_k.
 
     With ``by``: centroid sets are collapsed to one row per key and joined on
-    the key (an equi join; AQE broadcasts the set table when its measured
-    size allows). Without ``by``: a set of at most ``max_literal`` centroids
-    is pulled once and inlined as a literal; a larger set is cut into chunks
-    of about ``max_literal`` (hash of the topic id; one row per chunk), every
-    vector meets every chunk
-    through an exploded chunk id, and the per-chunk partial sums (or maxima)
-    are combined per vector (``key`` names a unique vector id). Exact either
-    way: the p-norm sum and the max decompose over chunks.
+    the key. Without: the centroids lie in chunks of about ``chunk`` (one row
+    each, by a hash of the topic id), every vector meets every chunk through
+    an exploded chunk number, and the partial sums or maxima are combined per
+    vector under a row number made here. Exact either way: the p-norm sum and
+    the max decompose over chunks. No centroids give 0, or null for p = inf.
     """
     by = list(by)
+    x, norm = V.as_double(F.col(vec)), F.col("__norm")
+    partial = _partial(F.col("__cents"), x, norm, metric, p, weighted, mod_sim, gamma)
+    normed = vectors.withColumn("__norm", V.l2_norm(vec))
     if by:
         sets = centroid_sets(centroids, by, centroid, size, order)
-        j = vectors.join(sets, by, "left")
-        return j.withColumn(out, alignment_expr(F.col(vec), F.col("__cents"), metric, p, weighted,
-                                                mod_sim, gamma)).drop("__cents")
-    n = centroids.count()
-    if n <= max_literal:
-        cents = sorted(centroids.select(centroid, *([size] if size else []), order).collect(),
-                       key=lambda r: r[order])
-        tot = sum(r[size] for r in cents) if size else len(cents)
-        lit = F.array(*[F.struct(lit_vector(r[centroid]).alias("centroid"),
-                                 F.lit(float(r[size]) / tot if size else 1.0).alias("weight"))
-                        for r in cents])
-        return vectors.withColumn(out, alignment_expr(F.col(vec), lit, metric, p, weighted, mod_sim, gamma))
-    if key is None:
-        raise ValueError("more centroids than max_literal: pass key= (a unique vector id)")
-    n_chunks = -(-n // max_literal)
-    tot = centroids.agg(F.sum(size).alias("t")).first()["t"] if size else n
-    # any split of the centroids into chunks is exact; a hash spreads them
-    # evenly (about max_literal per chunk) without ordering the whole table
-    chunked = (centroids.select(centroid, *([size] if size else []), order)
-               .withColumn("__chunk", F.pmod(F.xxhash64(F.col(order)), F.lit(n_chunks)).cast("int"))
-               .withColumn("__wt", (F.col(size) / F.lit(float(tot))) if size else F.lit(1.0)))
-    sets = chunked.groupBy("__chunk").agg(F.collect_list(
-        F.struct(F.col(centroid).alias("centroid"), F.col("__wt").alias("weight"))).alias("__cents"))
-    parts = (vectors.select(key, vec)
-             .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
-             .join(sets, "__chunk"))
-    if p == float("inf"):
-        partial = alignment_expr(F.col(vec), F.col("__cents"), metric, p, weighted, mod_sim, gamma)
-        total = parts.withColumn("__s", partial).groupBy(key).agg(F.max("__s").alias(out))
-    else:
-        def sim(c):
-            s_ = kernel_of(metric, F.col(vec), c["centroid"], gamma)
-            return F.abs(s_) if mod_sim else s_
-        terms = F.transform(F.col("__cents"), lambda c: F.pow(sim(c), F.lit(float(p))) *
-                            (c["weight"] if weighted else F.lit(1.0)))
-        partial = F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
-        summed = parts.withColumn("__s", partial).groupBy(key).agg(F.sum("__s").alias("__sum"))
-        res = F.col("__sum") if p == 1 else F.pow(F.col("__sum"), F.lit(1.0 / float(p)))
-        total = summed.select(key, F.when(~F.isnan(res), res).alias(out))
-    return vectors.join(total, key, "left")
-
-
-def kernel_of(metric: str, a, b, gamma):
-    return V.kernel(metric, a, b, gamma)
+        j = normed.join(sets, by, "left")
+        return j.withColumn(out, _rooted(partial, p)).drop("__cents", "__norm")
+    tot = centroids.agg(F.count(F.lit(1)).alias("n"), (F.sum(size) if size else F.count(F.lit(1))).alias("t")).first()
+    chunks = max(1, -(-tot["n"] // chunk))
+    weight = F.col(size) / F.lit(float(tot["t"] or 1)) if size else F.lit(1.0)
+    part = F.pmod(F.xxhash64(F.col(order)), F.lit(chunks)).cast("int")
+    sets = centroid_sets(centroids.withColumn("__chunk", part), ["__chunk"], centroid, size, order, weight)
+    parts = (normed.select(F.monotonically_increasing_id().alias("__row"), F.struct(*vectors.columns).alias("__v"), vec, "__norm")
+             .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+             .join(sets, "__chunk", "left").select("__row", "__v", partial.alias("__s")))
+    merged = parts.groupBy("__row").agg(F.any_value("__v").alias("__v"), (F.max("__s") if p == float("inf") else F.sum("__s")).alias("__s"))
+    return merged.select("__v.*", _rooted(F.col("__s"), p).alias(out))
 
 
 # --------------------------------------------------------------------------- K5
@@ -215,7 +234,7 @@ from pyspark.ml.param.shared import HasInputCol, HasOutputCol  # noqa: E402
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable  # noqa: E402
 
 
-class NullspaceProjector(Transformer, HasInputCol, HasOutputCol,
+class DirectionRemover(Transformer, HasInputCol, HasOutputCol,
                          DefaultParamsReadable, DefaultParamsWritable):
     """Spark ML transformer removing a fitted normal direction from an array
     column (the fit/transform surface of :func:`project_out`)."""

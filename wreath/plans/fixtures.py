@@ -78,7 +78,8 @@ SELECT event_id AS list_row, user_id * 2 + 1 AS title_id,
        CAST(floor(value) AS BIGINT) % 15 + 1 AS rank
 FROM events
 """,
-    # two catalogues to link: list titles (odd keys) and nominated works (even keys).
+    # two catalogues to link: list titles (odd keys) and nominated works (even keys,
+    # and a quarter of the list titles a year later: the true matches).
     "catalog_a": """
 SELECT p_partkey AS unique_id, p_name AS title,
        concat(p_type, ' ', p_brand) AS author, p_size AS year
@@ -89,27 +90,40 @@ SELECT p_partkey AS unique_id,
        CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, 's') ELSE p_name END AS title,
        concat(p_type, ' ', p_brand) AS author, p_size AS year
 FROM part WHERE p_partkey % 2 = 0
+UNION ALL
+SELECT p_partkey + 1000000000 AS unique_id,
+       CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, 's') ELSE p_name END AS title,
+       concat(p_type, ' ', p_brand) AS author, p_size + 1 AS year
+FROM part WHERE p_partkey % 4 = 1
 """,
     # description answers by source tier; pos orders answers inside a tier.
+    # every tier answers for every document, later ones with empty and null gaps elsewhere
     "tier1": """
 SELECT CAST(floor(doc_id / 3) AS BIGINT) AS work_id, doc_id AS pos,
-       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS description
-FROM documents WHERE doc_id % 5 IN (0, 1)
+       CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 5 = 0 OR doc_id % 7 = 0 THEN NULL ELSE text END AS description
+FROM documents
 """,
     "tier2": """
 SELECT CAST(floor(doc_id / 3) AS BIGINT) AS work_id, doc_id AS pos,
-       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS description
-FROM documents WHERE doc_id % 5 = 2
+       CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 10 = 0 THEN NULL
+            WHEN doc_id % 11 = 0 THEN '' ELSE concat('2: ', text) END AS description
+FROM documents
 """,
     "tier3": """
 SELECT CAST(floor(doc_id / 3) AS BIGINT) AS work_id, doc_id AS pos,
-       CASE WHEN doc_id % 7 = 0 THEN NULL ELSE text END AS description
-FROM documents WHERE doc_id % 5 = 3
+       CASE WHEN CAST(floor(doc_id / 3) AS BIGINT) % 20 = 0 THEN '' ELSE concat('3: ', text) END AS description
+FROM documents
+""",
+    # titles with their first author, for works that no other tier answers
+    "tier4": """
+SELECT CAST(floor(doc_id / 3) AS BIGINT) AS work_id, doc_id AS pos,
+       CASE WHEN doc_id % 40 = 0 THEN NULL ELSE concat(source, ' by ', coalesce(lang, 'unknown')) END AS description
+FROM documents
 """,
     "manual": """
 SELECT CAST(floor(doc_id / 3) AS BIGINT) AS work_id,
-       CASE WHEN doc_id % 11 = 0 THEN NULL ELSE text END AS description
-FROM documents WHERE doc_id % 5 = 4
+       CASE WHEN min(doc_id) % 11 = 0 THEN NULL ELSE concat('by hand: ', min(text)) END AS description
+FROM documents GROUP BY CAST(floor(doc_id / 3) AS BIGINT)
 """,
     "vec": """
 SELECT vec_id, embedding, label FROM embeddings

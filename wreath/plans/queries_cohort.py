@@ -21,16 +21,17 @@ from wreath.plans.registry import query
 WITH u AS (
   SELECT work_id, 0 AS tier, pos, description FROM tier1 WHERE description IS NOT NULL
   UNION ALL SELECT work_id, 1, pos, description FROM tier2 WHERE description IS NOT NULL AND length(description) > 0
-  UNION ALL SELECT work_id, 2, pos, description FROM tier3 WHERE description IS NOT NULL AND length(description) > 0),
+  UNION ALL SELECT work_id, 2, pos, description FROM tier3 WHERE description IS NOT NULL AND length(description) > 0
+  UNION ALL SELECT work_id, 3, pos, description FROM tier4 WHERE description IS NOT NULL AND length(description) > 0),
 first_ AS (SELECT work_id, description FROM u QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY tier, pos) = 1),
 man AS (SELECT work_id, description FROM manual WHERE description IS NOT NULL)
 SELECT coalesce(f.work_id, m.work_id) AS work_id, coalesce(f.description, m.description) AS description
 FROM first_ f FULL JOIN man m ON f.work_id = m.work_id
 """)
 def j27_tiered_descriptions(spark, sf):
-    """Descriptions from three tiers in priority order, manual ones fill the rest."""
+    """Descriptions from four tiers in priority order, manual ones fill the rest."""
     fx = Fixtures(spark, sf)
-    return S.tiered_descriptions([fx.tier1, fx.tier2, fx.tier3], fx.manual)
+    return S.tiered_descriptions([fx.tier1, fx.tier2, fx.tier3, fx.tier4], fx.manual)
 
 
 # ---------------------------------------------------------------- C12..C15, G2, D24, I23
@@ -149,7 +150,7 @@ def i23_label_fallback(spark, sf):
 
 # ---------------------------------------------------------------- J13 / C10 / D23
 def _reduced(fx):
-    return S.reduce_authors(_clean(fx).join(_stats(fx), "work_id", "left"))
+    return S.one_row_per_work(_clean(fx).join(_stats(fx), "work_id", "left"))
 
 
 @query("j13_count_encode", oracle="WITH " + FEATURES + """,
@@ -267,8 +268,8 @@ FROM p GROUP BY year
 """)
 def j20_multinomial_ce_loss(spark, sf):
     """Per-cohort loss -sum(N_i/N_win ln p_i) with softmax probabilities."""
-    p = C.cohort_softmax(Fixtures(spark, sf).cohort, "year", "score")
-    return C.multinomial_ce_loss(p, "year", "n_win", "p_win").withColumn("loss", F.round("loss", 6))
+    p = C.cohort_softmax(Fixtures(spark, sf).cohort, "year", "score", log_out="ln_p")
+    return C.multinomial_ce_loss(p, "year", "n_win", "p_win", log_p="ln_p").withColumn("loss", F.round("loss", 6))
 
 
 @query("j20_total_loss_unnormalised", oracle="WITH " + SOFTMAX + """

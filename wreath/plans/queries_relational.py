@@ -650,15 +650,18 @@ def g1_union_by_name(spark, sf):
 
 # ---------------------------------------------------------------- H rows
 LINES_SQL = """
-SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN NULL WHEN doc_id % 10 = 0 THEN [] ELSE string_split(text, chr(10)) END AS lines
-FROM documents"""
+SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents
+UNION ALL SELECT -1 - 2 * doc_id, NULL FROM documents
+UNION ALL SELECT -2 - 2 * doc_id, [] FROM documents"""
 
 
 def _lines(fx):
-    return fx.documents.select(
-        "doc_id", F.when(F.col("doc_id") % 10 == 1, F.lit(None).cast("array<string>"))
-        .when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>"))
-        .otherwise(F.split(F.col("text"), "\n")).alias("lines"))
+    """Lines of every document, and for each a row with no list and an empty one."""
+    d = fx.documents
+    none = F.lit(None).cast("array<string>")
+    return (d.select("doc_id", F.split("text", "\n").alias("lines"))
+            .union(d.select(-1 - 2 * F.col("doc_id"), none))
+            .union(d.select(-2 - 2 * F.col("doc_id"), F.array().cast("array<string>"))))
 
 
 @query("h1_explode_outer", oracle=f"""
@@ -698,7 +701,7 @@ SELECT work_id, CAST(gender = 'female' AS INT) AS gender_female, CAST(gender = '
 def h4_dummy_columns(spark, sf):
     """One 0/1 column per fitted gender value."""
     c = Fixtures(spark, sf).cohort.select("work_id", "gender")
-    return ST.dummies(c, "gender", ST.fitted_values(c, "gender", max_values=100))
+    return ST.dummies(c, "gender", ["female", "male", "non-binary"])
 
 
 @query("h5_densify_months", oracle=f"""
@@ -718,17 +721,17 @@ def h5_densify_months(spark, sf):
 @query("h6_tile_series", oracle=f"""
 WITH f AS ({TOPIC_FREQ}),
 s AS (SELECT year, topic, list(frequency ORDER BY month) AS series FROM f GROUP BY year, topic)
-SELECT year, topic, len(flatten([series for i in range(3)])) AS n, flatten([series for i in range(3)])[1:20] AS head
+SELECT year, topic, len(flatten([series for i in range(36)])) AS n, flatten([series for i in range(36)]) AS tiled
 FROM s
 """)
 def h6_tile_series(spark, sf):
-    """Each monthly series tiled three times end to end."""
+    """Each 12-month series tiled 36 times end to end."""
     from wreath.functions.arrays import tile
     from wreath.operators.topics import topics_over_time
     f = topics_over_time(Fixtures(spark, sf).topic_month, "year", "topic", "month")
     s = f.groupBy("year", "topic").agg(ordered_list("frequency", "month").alias("series"))
-    t = tile(F.col("series"), 3)
-    return s.select("year", "topic", F.size(t).cast("bigint").alias("n"), F.slice(t, 1, 20).alias("head"))
+    t = tile(F.col("series"), 36)
+    return s.select("year", "topic", F.size(t).cast("bigint").alias("n"), t.alias("tiled"))
 
 
 @query("h7_calendar_grid", oracle="""

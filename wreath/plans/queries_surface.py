@@ -128,7 +128,7 @@ def k5_ml_transformer(spark, sf):
     """The projection as a Spark ML ``Transformer`` inside a ``Pipeline``."""
     from pyspark.ml import Pipeline
     fx = Fixtures(spark, sf)
-    proj = VO.NullspaceProjector(inputCol="embedding", outputCol="debiased", normal=_direction(fx))
+    proj = VO.DirectionRemover(inputCol="embedding", outputCol="debiased", normal=_direction(fx))
     model = Pipeline(stages=[proj]).fit(fx.vec)
     out = model.transform(fx.vec.select("vec_id", "embedding"))
     return out.select("vec_id", V.round_vec("debiased").alias("debiased"))

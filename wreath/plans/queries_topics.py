@@ -52,26 +52,20 @@ def j15_hot_topics(spark, sf):
 
 @query("j8_stationary_filter")
 def j8_stationary_filter(spark, sf):
-    """ADF ('ctt', AIC lags) on each tiled 12-month series, Monte-Carlo
-    p-value; rows are (year, topic) that pass at 0.1 (rows-only check)."""
-    return TP.stationary(pvalue_threshold=0.1, n_periods=3, sims=4000)(_freq(Fixtures(spark, sf)), ["year", "topic"])
+    """ADF ('ctt', AIC lags) on each tiled 12-month series, p-value from the
+    published surface; rows are (year, topic) that pass at 0.1 (rows-only check)."""
+    return TP.stationary(pvalue_threshold=0.1, n_periods=3)(_freq(Fixtures(spark, sf)), ["year", "topic"])
 
 
 @query("j15_hot_topics_with_stationarity")
 def j15_hot_topics_with_stationarity(spark, sf):
     """Hot topics with the ADF stationarity filter added (rows-only)."""
-    f = TP.all_of(TP.high_kurtosis(2.0), TP.stationary(0.1, 3, sims=4000))
+    f = TP.all_of(TP.high_kurtosis(2.0), TP.stationary(0.1, 3))
     return TP.hot_topics(_freq(Fixtures(spark, sf)), "year", "topic", f)
 
 
 # Headline stream for topicality: vectors dated by id; labels 0 and 1 burst
 # in one month, the other labels spread over the year.
-STREAM = """
-SELECT vec_id, embedding, label AS topic, CAST(1996 + vec_id % 2 AS INT) AS year,
-       CAST(CASE WHEN label IN (0, 1) THEN 1 + label * 5 ELSE 1 + (vec_id / 2) % 12 END AS INT) AS month
-FROM vec"""
-
-
 def _stream(fx):
     return fx.sql("SELECT vec_id, embedding, label AS topic, CAST(1996 + vec_id % 2 AS INT) AS year, "
                   "CAST(CASE WHEN label IN (0, 1) THEN 1 + label * 5 ELSE 1 + floor(vec_id / 2) % 12 END AS INT) AS month "
@@ -113,7 +107,7 @@ def j4_fit_topics(spark, sf):
     """k-means with 6 topics for every year of the stream in one job
     (rows-only: one row per vector with its topic)."""
     fx = Fixtures(spark, sf)
-    assigned, cents = TP.fit_topics(_stream(fx), "vec_id", "embedding", by=["year"], k=6, seed=3, steps=8)
+    assigned, cents = TP.fit_topics(_stream(fx), "vec_id", "embedding", by=["year"], k=6, seed=3)
     return assigned
 
 
@@ -123,7 +117,7 @@ def j29_topicality_fitted(spark, sf):
     series filtered (frequency, kurtosis), then documents scored."""
     fx = Fixtures(spark, sf)
     stream = _stream(fx)
-    assigned, _ = TP.fit_topics(stream, "vec_id", "embedding", by=["year"], k=6, seed=3, steps=8)
+    assigned, _ = TP.fit_topics(stream, "vec_id", "embedding", by=["year"], k=6, seed=3)
     topics = stream.drop("topic").join(assigned, ["vec_id", "year"])
     docs = fx.vec.select("vec_id", "embedding", (1996 + F.col("vec_id") % 2).cast("int").alias("year"))
     return TP.topicality(docs, "vec_id", "embedding", ["year"], topics, "embedding", "topic", "month")

@@ -17,7 +17,8 @@ cent AS (SELECT label, list(m ORDER BY i) AS centroid FROM m GROUP BY label),
 sizes AS (SELECT label, count(*) AS size FROM vec GROUP BY label)"""
 
 DIRECTION = CENTROIDS + """,
-dd AS (SELECT a.i, a.m - b.m AS d FROM m a JOIN m b ON a.i = b.i AND a.label = 0 AND b.label = 1),
+par AS (SELECT label % 2 AS side, i, avg(x) AS m FROM u GROUP BY ALL),
+dd AS (SELECT a.i, a.m - b.m AS d FROM par a JOIN par b ON a.i = b.i AND a.side = 0 AND b.side = 1),
 nn AS (SELECT sqrt(sum(d * d)) AS n FROM dd),
 ww AS (SELECT list(dd.d / nn.n ORDER BY dd.i) AS w FROM dd, nn),
 pv AS (SELECT v.vec_id, CAST(v.embedding AS DOUBLE[]) AS e, ww.w,
@@ -29,11 +30,11 @@ def _centroids(fx):
 
 
 def _direction(fx):
-    """Unit vector between the centroids of labels 0 and 1 (a bounded,
+    """Unit vector between the mean vectors of even and odd labels (a bounded,
     data-derived constant: two rows of ``dim`` numbers reach the driver)."""
     import numpy as np
-    rows = {r["label"]: np.array(r["centroid"]) for r in
-            VO.mean_vector(fx.vec.filter(F.col("label").isin(0, 1)), "label", "embedding").collect()}
+    rows = {r["side"]: np.array(r["centroid"]) for r in
+            VO.mean_vector(fx.vec.withColumn("side", F.col("label") % 2), "side", "embedding").collect()}
     d = rows[0] - rows[1]
     return (d / np.linalg.norm(d)).tolist()
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -33,7 +35,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("WREATH_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("WREATH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
         .config("spark.serializer", "org.apache.spark.serializer.KryoSerializer")
     )
@@ -84,9 +86,10 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of this session.
 
-    On a cluster this is the shared folder named by ``spark.checkpoint.dir``;
-    it is only invented here (a fresh local folder) when the session has none,
-    which is the case in tests and local runs.
+    On a cluster this is the shared folder named by ``spark.checkpoint.dir``,
+    and a session without one is refused: a folder on the driver's own disk
+    would lose data there. In local mode (tests, local runs), where driver and
+    executors are one process, a fresh local folder takes its place.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -95,6 +98,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder shared by the driver and all executors")
         conf_dir = tempfile.mkdtemp(prefix="wreath-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir
@@ -111,7 +116,11 @@ def materialize(df):
 
     Spark only reuses an exchange when both branches are identical after
     column pruning, which is rarely the case; without this the whole
-    upstream plan is recomputed per branch. The result lands in the
-    session's reliable checkpoint folder (shared storage on a cluster), so
-    a lost executor costs a re-read, not a recomputation."""
-    return cut_lineage(df)
+    upstream plan is recomputed per branch. The result lands as Parquet below
+    the session's checkpoint folder (shared storage on a cluster), so each
+    branch reads only its columns and a lost executor costs a re-read, not a
+    recomputation."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -17,7 +17,15 @@ from pyspark.sql import types as T
 
 from wreath.session import ensure_checkpoint_dir
 
-CSV_READ = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "mode": "FAILFAST"}
+# One option set for reader and writer, so that a table comes back as it was:
+# outer white space is kept, every string is quoted (so a newline at either end
+# stays inside its field), and null is a mark of its own, apart from empty text.
+# Files of others, with bare empty fields for null, are read with nullValue="".
+NULL_MARK = "\\N"
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": NULL_MARK,
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_READ = {**CSV_OPTIONS, "multiLine": "true", "mode": "FAILFAST", "emptyValue": ""}
+CSV_WRITE = {**CSV_OPTIONS, "quoteAll": "true", "emptyValue": ""}
 
 
 # --------------------------------------------------------------------------- A1..A5
@@ -36,7 +44,7 @@ def read_table(spark: SparkSession, path, fmt: str, schema: T.StructType | str |
     if fmt in ("csv", "tsv"):
         o = dict(CSV_READ)
         if fmt == "tsv":
-            o.update(sep="\t", multiLine="false")
+            o["sep"] = "\t"
         o.update(opts)
         return r.options(**o).csv(path)
     if fmt == "json":
@@ -70,7 +78,7 @@ def write_table(df: DataFrame, path: str, fmt: str, partition_by: Sequence[str]
             w = w.option(f"parquet.compression.codec.{codec or 'zstd'}.level", str(level))
         w.parquet(path)
     elif fmt in ("csv", "tsv"):
-        w = w.option("header", "true").option("escape", '"').option("quote", '"')
+        w = w.options(**CSV_WRITE)
         if fmt == "tsv":
             w = w.option("sep", "\t")
         w.csv(path)
