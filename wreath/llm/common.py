@@ -60,6 +60,23 @@ def bounded_share(n_rows: int, n_bytes: int, max_rows: int, max_bytes: int) -> f
     return min(1.0, max_rows / max(1, n_rows), max_bytes / max(1, n_bytes))
 
 
+HOT_SHARE = 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per group, whose ``size`` counts its rows.
+
+    Groups with a thousandth of all rows or more, of which there can be at most
+    HOT_SHARE, are broadcast and their rows stay where they are; only the rows
+    of smaller groups are shuffled. Both inputs should be stored tables."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    hot = groups.where(F.col(size) * HOT_SHARE >= total)
+    rest = groups.where(F.col(size) * HOT_SHARE < total)
+    large = rows.join(F.broadcast(hot), key)
+    small = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key)
+    return large.unionByName(small)
+
+
 FILTER_BITS_MAX = 1 << 27    # 16 MB
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wreath.llm import textbytes as TB
-from wreath.llm.common import maybe_in, prepare, read, stored
+from wreath.llm.common import join_groups, maybe_in, prepare, read, stored
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (1_103_515_245, 1_664_525_291 % 2_147_483_629)
@@ -142,9 +142,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "split", F.when(F.col("clash"), F.col("text_sha256")).otherwise(""))
     keyed = stored(keyed.drop("clash"), "keyed")
     key = ["fingerprint", "bytes", "split"]
-    keep = keyed.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"),
-                                   F.count("*").alias("group_size"))
-    return keyed.join(keep, key).select(
+    keep = stored(keyed.groupBy(*key).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"),
+                                          F.count("*").alias("group_size")), "groups")
+    return join_groups(keyed, keep, key, "group_size").select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("uid") == F.col("first.uid")).alias("kept"),
         "text_sha256", "fingerprint", "bytes")
 

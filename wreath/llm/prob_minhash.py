@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wreath.llm import textbytes as TB
-from wreath.llm.common import maybe_in, prepare, read, stored
+from wreath.llm.common import join_groups, maybe_in, prepare, read, stored
 from wreath.llm.components import connected_components
 
 SHINGLE = 5
@@ -266,7 +266,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         "row", signature_udf(bands, rows, k)(F.col(f"row.{text_col}")).alias("s")).select(
         F.monotonically_increasing_id().alias("uid"), "row", "s.*"), "signatures")
     worded = base.where("n_words > 0")
-    classes = stored(worded.groupBy("k1", "k2", "n_words").agg(F.min("uid").alias("cls")), "classes")
+    classes = stored(worded.groupBy("k1", "k2", "n_words").agg(
+        F.min("uid").alias("cls"), F.count("*").alias("copies")), "classes")
     reps = classes.select(F.col("cls").alias("uid"))
     band = base.select("uid", "bands").join(reps, "uid", "left_semi").select("uid", F.posexplode("bands").alias("band", "h"))
     busy = band.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
@@ -284,15 +285,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     comp = connected_components(links)
     links = stored(links.union(cross_links(members, comp, profiles, bands, rows, threshold)), "links")
     comp = connected_components(links)
-    of_class = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
-        "k1", "k2", "n_words", F.coalesce("component", "cls").alias("component"))
+    of_class = stored(classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "k1", "k2", "n_words", "copies", F.coalesce("component", "cls").alias("component")), "classes")
     known = base.select("uid", F.col(f"row.{id_col}").alias("id"), "n_words", "k1", "k2")
-    grouped = stored(known.where("n_words > 0").join(of_class, ["k1", "k2", "n_words"]).select(
+    grouped = stored(join_groups(known.where("n_words > 0"), of_class, ["k1", "k2", "n_words"], "copies").select(
         "uid", "id", "n_words", "component").union(
         known.where("n_words = 0").select("uid", "id", "n_words", F.col("uid").alias("component"))), "groups")
-    keep = grouped.groupBy("component").agg(
-        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size"))
-    result = grouped.join(keep, "component").select(
+    keep = stored(grouped.groupBy("component").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "uid")).alias("first"), F.count("*").alias("group_size")), "sizes")
+    result = join_groups(grouped, keep, ["component"], "group_size").select(
         "uid", "n_words", "component", "group_size", F.col("first.id").alias("keep_id"),
         (F.col("uid") == F.col("first.uid")).alias("kept"))
     return base.select("uid", "row").join(result, "uid")
