@@ -153,10 +153,10 @@ def _works_with_true_matches(fx):
 
 @query("j26_bestseller_match_trained")
 def j26_bestseller_match_trained(spark, sf):
-    """End to end with a trained model: u by random pairs, m by EM on the
-    blocked pairs, then the rank statistics (rows-only)."""
+    """End to end with a trained model: u by random pairs, m and the share of
+    matches by EM on the blocked pairs, then the rank statistics (rows-only)."""
     fx = Fixtures(spark, sf)
-    return S.bestseller_match(fx.catalog_a, _works_with_true_matches(fx), fx.ranks, seed=1)
+    return S.bestseller_match(fx.catalog_a, _works_with_true_matches(fx), fx.ranks, seed=1, prior=None)
 
 
 @query("j26_nominated_works", oracle=f"""
