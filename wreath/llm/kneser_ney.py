@@ -35,6 +35,7 @@ from wreath.llm.common import bounded_share, fold, labelled_sample, prepare, rea
 
 ORDER = 7            # longest n-gram, in bytes (7 at most: a key is 64 bits)
 FEATURES = 5
+WORD_BATCH = 16_384  # distinct words judged at a time
 EDGE = 32            # byte before and after a word
 
 
@@ -47,7 +48,10 @@ def _windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     first = np.cumsum(lens + order - 1) - (lens + order - 1)
     which = np.repeat(np.arange(len(words)), lens)
     at = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + np.repeat(first, lens)
-    return buf[at[:, None] + np.arange(order)], which
+    win = np.empty((len(at), order), np.uint8)
+    for j in range(order):
+        win[:, j] = buf[at + j]
+    return win, which
 
 
 def _keys(win: np.ndarray, k: int) -> np.ndarray:
@@ -142,7 +146,8 @@ class KneserNeyPair:
                 continue
             _, first, inverse = np.unique(TB.span_hashes(mapped, s, e), return_index=True, return_inverse=True)
             distinct = [mapped[a:b].tobytes() for a, b in zip(s[first], e[first])]
-            t, o, n = self.word_logs(distinct)
+            parts = [self.word_logs(distinct[k: k + WORD_BATCH]) for k in range(0, len(distinct), WORD_BATCH)]
+            t, o, n = (np.concatenate(x) for x in zip(*parts))
             gain, length = (t - o)[inverse], n[inverse]
             m = j - i
             total, size = np.bincount(rows, gain, m), np.bincount(rows, length, m)
@@ -208,7 +213,7 @@ def _word_counter():
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        max_rows: int = 8_000, max_bytes: int = 8_000_000, seed: int = 9, order: int = ORDER) -> KneserNeyPair:
+        max_rows: int = 8_000, max_bytes: int = 6_000_000, seed: int = 9, order: int = ORDER) -> KneserNeyPair:
     """Learn the pair of models and the link from labelled documents.
 
     ``labels`` must already be restricted to the rows to learn from. Three
