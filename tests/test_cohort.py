@@ -20,8 +20,8 @@ def test_softmax_sums_to_one(spark):
 
 def test_naive_winners_sum_to_cohort_wins(spark):
     df = cohort_total(cohort_df(spark), "year", "n_win", "tot_cohort_awards")
-    for rpg in (1_000_000, 7):  # one bucket per cohort, and many small buckets
-        d = C.naive_winners(df, "id", n_nom="n_nom", seed=2, rows_per_group=rpg)
+    for buckets in (1, 7):  # one bucket per cohort, and several
+        d = C.naive_winners(df, "id", n_nom="n_nom", seed=2, buckets=buckets)
         got = d.groupBy("year").agg(F.sum("naive_wins").alias("w"), F.max("tot_cohort_awards").alias("t")).collect()
         assert all(r.w == r.t for r in got)
     a = C.naive_winners(df, "id", n_nom="n_nom", seed=2).orderBy("id").collect()

@@ -68,11 +68,12 @@ def naive_expected(df: DataFrame, cohort: str = "year", n_nom: str = "n_nom_all"
 
 def naive_winners(df: DataFrame, key: str, cohort: str = "year", n_nom: str = "n_nom_all",
                   n_awards: str = "tot_cohort_awards", seed: int = 0,
-                  out: str = "naive_wins", rows_per_group: int = 200_000) -> DataFrame:
+                  out: str = "naive_wins", buckets: int = 64) -> DataFrame:
     """Draw ``n_awards`` wins per cohort from a multinomial with p ∝ n_nom.
 
-    Exact and skew safe: a cohort is cut into hash buckets of about
-    ``rows_per_group`` rows. Bucket totals of a multinomial are themselves
+    Exact and skew safe: every cohort is cut into ``buckets`` hash buckets, a
+    fixed number (part of the seed: raise it for cohorts of many millions), so
+    the draw of a cohort does not change with its size or its partitions. Bucket totals of a multinomial are themselves
     multinomial over bucket weights, and inside a bucket the counts are
     multinomial given the bucket total. So the wins are first split among
     buckets (a tiny table: one row per cohort and bucket), then drawn inside
@@ -83,10 +84,7 @@ def naive_winners(df: DataFrame, key: str, cohort: str = "year", n_nom: str = "n
     slim = df.select(F.col(cohort).alias("__c"), F.col(key).alias("__k"),
                      F.coalesce(F.col(n_nom).cast("double"), F.lit(0.0)).alias("__n"),
                      F.coalesce(F.col(n_awards).cast("long"), F.lit(0)).alias("__tot"))
-    sizes = slim.groupBy("__c").agg(F.count(F.lit(1)).alias("__rows"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("__rows") / F.lit(rows_per_group))).cast("long")
-    slim = (slim.join(sizes.select("__c", nb.alias("__B")), "__c")
-            .withColumn("__b", F.pmod(F.xxhash64(F.col("__k")), F.col("__B"))))
+    slim = slim.withColumn("__b", F.pmod(F.xxhash64(F.col("__k")), F.lit(buckets).cast("long")))
     blocks = slim.groupBy("__c", "__b").agg(F.sum("__n").alias("__w"), F.max("__tot").alias("__tot"))
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:

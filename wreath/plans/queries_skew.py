@@ -87,5 +87,5 @@ def j16_naive_winners_hot_cohort(spark, sf):
     """The hot cohort is split over several buckets (small bucket size), and
     still receives exactly its number of wins."""
     c = R.cohort_total(_hot_cohort(Fixtures(spark, sf)), "year", "n_win", "tot_cohort_awards")
-    d = C.naive_winners(c, "work_id", seed=5, rows_per_group=50)
+    d = C.naive_winners(c, "work_id", seed=5, buckets=40)
     return d.groupBy("year").agg(F.sum("naive_wins").cast("bigint").alias("drawn_wins"))
