@@ -448,6 +448,19 @@ def test_mixing_meets_its_targets(spark):
     assert abs(m.kept.mean() - m.probability.mean()) < 0.05
 
 
+@pytest.mark.parametrize("thinned", [1, 12])
+def test_mixing_meets_the_targets_of_rare_values(spark, thinned):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where((F.col("lang") != "es") | (F.col("doc_id") % thinned == 0))
+    m = RK.mixing_probabilities(docs).select("__mix.*").toPandas()
+    weight = m.tokens * m.probability
+    assert m.probability.max() == 1
+    for axis in ("source", "lang", "topic"):
+        own = m.groupby(axis).tokens.sum()
+        target = (own / own.sum()) ** RK.TEMPER
+        target /= target.sum()
+        assert (weight.groupby(m[axis]).sum() / weight.sum() / target - 1).abs().max() < 1e-3
+
+
 def test_mixing_odd_shapes(spark, odd, empty):
     got = RK.mixing_probabilities(odd).select("doc_id", "__mix.*").collect()
     assert len(got) == 11 and all(0 < r["probability"] <= 1 for r in got)

@@ -3,9 +3,10 @@
 Token counts are summed per cell (source, language, topic). Raking scales the
 cells until the tokens of every source, language and topic have their target
 shares; the ratio of a cell's raked weight to its tokens is its sampling rate.
-Rates are scaled so that the cells above a token-weighted quantile of the rates
-are taken whole, and each document is kept with its cell's probability, by a hash
-of id and text (the same document is always kept or always left).
+Rates are divided by the largest one, so that its cell is taken whole, no cell is
+asked for more than it has and every raked share holds in the sample. Each document
+is kept with its cell's probability, by a hash of id and text (the same document is
+always kept or always left).
 
 Targets are shares per value; without them an axis gets its own shares raised to
 ``temper`` (below 1 flattens). A null value is a value of its own. Documents
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from wreath.llm.common import prepare, read, stored, unit_hash
 
 TEMPER = 0.85
-WHOLE_ABOVE = 0.99       # token-weighted quantile of the rates from which cells are taken whole
+WHOLE_ABOVE = 1.0        # token-weighted quantile of the rates from which cells are taken whole; below 1 rare values miss their targets
 TOLERANCE = 1e-4
 MAX_ROUNDS = 40
 
@@ -84,23 +85,24 @@ def mixing_probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str
     targets = targets or {a: stored(tempered(cells, a, temper), "target") for a in names}
     raked, _, _ = rake(cells.where("tokens > 0"), names, targets)
     rates = raked.select(*names, "tokens", (F.col("weight") / F.col("tokens")).alias("rate"))
-    # token-weighted quantile of the rates, from a histogram of at most a few thousand steps of one percent
-    steps = sorted((r["step"], r["n"]) for r in rates.where("rate > 0").groupBy(
+    # the largest rate; or a token-weighted quantile, from a histogram of at most a few thousand steps of one percent
+    most = rates.agg(F.max("rate")).first()[0] or 1.0
+    steps = [] if whole_above >= 1 else sorted((r["step"], r["n"]) for r in rates.where("rate > 0").groupBy(
         F.greatest(F.lit(-2000), F.least(F.lit(2000), F.round(F.log("rate") * 100))).cast("int").alias("step")).agg(
         F.sum("tokens").alias("n")).collect())
-    left, scale = whole_above * sum(n for _, n in steps), 1.0
+    left = whole_above * sum(n for _, n in steps)
     for step, n in steps:
         left -= n
         if left <= 0:
-            scale = 2.718281828459045 ** (-step / 100)
+            most = 2.718281828459045 ** (step / 100)
             break
     chances = stored(rates.select(*[F.col(a).alias(f"__{a}") for a in names],
-                                  F.least(F.lit(1.0), F.col("rate") * scale).alias("__p")), "chances")
+                                  F.least(F.lit(1.0), F.col("rate") / most).alias("__p")), "chances")
     on = None
     for a in names:
         same = F.col(f"__mix.{a}") == F.col(f"__{a}")
         on = same if on is None else on & same
-    p = F.coalesce("__p", F.lit(1.0))
+    p = F.when(F.col("__mix.tokens") > 0, F.coalesce("__p", F.lit(1.0))).otherwise(1.0)
     value = {a: F.when(F.col(f"__mix.{a}") != "", F.substring(f"__mix.{a}", 2, 1 << 20)) for a in names}
     return keyed.join(chances, on, "left").withColumn("__mix", F.struct(
         F.col("__mix.tokens").alias("tokens"), *[v.alias(a) for a, v in value.items()], p.alias("probability"),
