@@ -206,6 +206,22 @@ def test_one_conversation_over_many_ranges(spark):
     assert shown[7]["segment"] == "<|user|>\nturn 7\n<|end|>\n"
 
 
+@pytest.mark.parametrize("head", ["", "same " * 60])
+def test_tied_turns_over_many_ranges(spark, monkeypatch, head):
+    texts = sorted(f"{head}{hashlib.md5(str(i).encode()).hexdigest()}" for i in range(400))
+    rows = [(None, 0, "user", t) for t in texts] + [(1, 0, "user", t) for t in texts[:250]] + [(2, 0, "user", t) for t in texts[1:]]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    monkeypatch.setattr(CS, "SAMPLE_CHARS", 0)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered, found = CS.collapse(df)
+        assert {r["conv"]: (r["n_turns"], r["kept"]) for r in found.collect()} == {None: (400, True), 1: (250, False), 2: (399, True)}
+        assert [r["text"] for r in numbered.where("conv is null").orderBy("n").collect()] == texts
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_snapshots_of_an_empty_table(spark):
     rows, found = CS.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert found.count() == 0 and rows.count() == 0

@@ -6,7 +6,9 @@ that equals a prefix of a longer one (or the whole of an equally long one with a
 smaller id) is a snapshot, and only maximal conversations are rendered.
 
 Rolling hashes are polynomials over turn hashes modulo two primes. Rows are sorted
-by (conversation, turn, role, text) in ranges; every range hashes its own rows, and
+by (conversation, turn, role, text) in ranges, also between ranges (cut at the first
+characters of a text, so that what is sampled for the cuts stays bounded; tied texts
+that agree in them stand in one range). Every range hashes its own rows, and
 the last run of a range is carried into the next by length-shifted arithmetic, so
 one conversation may spread over many tasks. What comes to the driver is one
 summary per range.
@@ -31,6 +33,10 @@ from wreath.llm.common import prepare, read, stored
 from wreath.llm.poly_fingerprint import BASES, PRIMES, _power_table
 
 
+SAMPLE_CHARS = 64_000_000    # characters of text sampled for the cuts between ranges
+LEAST_HEAD = 128
+
+
 def _flags(*cols) -> list:
     return [x for c in cols for x in (F.col(c).isNull(), F.col(c))]
 
@@ -88,8 +94,10 @@ def numbered_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str =
             .withColumn("h", F.xxhash64(*_flags("role", "text")))
             .withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit(""))))
     rows = stored(rows.groupBy("key", "turn", "h").agg(F.first("conv").alias("conv"), F.first("role").alias("role"), F.first("text").alias("text")), "turns")
-    order = ["key", "turn", "role", "h"]
-    spread = rows.select("conv", "key", "turn", "role", "text", "h").repartitionByRange(*order).sortWithinPartitions("key", "turn", "role", "text")
+    # Spark samples up to 300 rows a range to cut the ranges; the order is that of the sort below
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = F.substring("text", 1, max(LEAST_HEAD, SAMPLE_CHARS // (300 * parts)))
+    spread = rows.select("conv", "key", "turn", "role", "text", "h").repartitionByRange("key", "turn", "role", head).sortWithinPartitions("key", "turn", "role", "text")
     schema = T.StructType([f for f in spread.schema.fields if f.name != "h"] + [
         T.StructField("part", T.LongType()), T.StructField("opens", T.BooleanType()),
         *[T.StructField(c, T.LongType()) for c in ("at", "p1", "p2")]])
