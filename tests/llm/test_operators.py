@@ -477,6 +477,15 @@ def test_mixing_meets_the_targets_of_rare_values(spark, thinned):
         assert (weight.groupby(m[axis]).sum() / weight.sum() / target - 1).abs().max() < 1e-3
 
 
+def test_contradicting_targets_are_told(spark):
+    rows = [(i, "word " * (10 + i % 7), lang, lang, 1) for i, lang in enumerate("aabbbbcccccccc")]
+    axes = {"source": F.col("source"), "lang": F.col("lang")}
+    frames = {a: spark.createDataFrame([("=a", s), ("=b", .3), ("=c", .7 - s)], f"{a} string, share double") for a, s in (("source", .1), ("lang", .3))}
+    docs = spark.createDataFrame(rows, DOCS)
+    with pytest.warns(UserWarning, match=r"targets not reached in 2 rounds: lang '.' .*, source 'a' \+200.00%"):
+        assert RK.mixing_probabilities(docs, axes=axes, targets=frames, max_rounds=2).count() == 14
+
+
 def test_mixing_odd_shapes(spark, odd, empty):
     got = RK.mixing_probabilities(odd).select("doc_id", "__mix.*").collect()
     assert len(got) == 11 and all(0 < r["probability"] <= 1 for r in got)

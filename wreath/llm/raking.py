@@ -8,6 +8,10 @@ asked for more than it has and every raked share holds in the sample. Each docum
 is kept with its cell's probability, by a hash of id and text (the same document is
 always kept or always left).
 
+Targets that contradict each other (a value of one axis only inside a value of
+another) cannot all be met: after ``max_rounds`` the last raked cells are used and a
+warning names the largest deviation of each axis; :func:`deviations` has them all.
+
 Targets are shares per value; without them an axis gets its own shares raised to
 ``temper`` (below 1 flattens). A null value is a value of its own. Documents
 without a token have no weight and are kept; repeated rows share one fate; an
@@ -16,6 +20,9 @@ empty table gives no rows. Other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +72,16 @@ def rake(cells: DataFrame, axes: list[str], targets: dict[str, DataFrame], toler
     return now, max_rounds, False
 
 
+def deviations(raked: DataFrame, axes: list[str], targets: dict[str, DataFrame]) -> DataFrame:
+    """(axis, value, share, target, deviation): what raking reached for every
+    value, and by which part of its target it misses."""
+    total = raked.agg(F.sum("weight")).first()[0] or 1.0
+    each = [raked.groupBy(F.col(a).alias("value")).agg((F.sum("weight") / total).alias("share"))
+            .join(targets[a].select(F.col(a).alias("value"), F.col("share").alias("target")), "value")
+            .select(F.lit(a).alias("axis"), "value", "share", "target", (F.col("share") / F.col("target") - 1).alias("deviation")) for a in axes]
+    return reduce(DataFrame.unionByName, each)
+
+
 def tempered(cells: DataFrame, axis: str, temper: float) -> DataFrame:
     """Target shares: the axis' own shares to the power ``temper``."""
     own = cells.groupBy(axis).agg(F.sum("tokens").alias("n")).where("n > 0").select(
@@ -74,8 +91,9 @@ def tempered(cells: DataFrame, axis: str, temper: float) -> DataFrame:
 
 def mixing_probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", axes: dict[str, Column] | None = None,
                          targets: dict[str, DataFrame] | None = None, temper: float = TEMPER,
-                         whole_above: float = WHOLE_ABOVE) -> DataFrame:
-    """``docs`` with ``__mix``: struct of tokens, axis values, probability, kept."""
+                         whole_above: float = WHOLE_ABOVE, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """``docs`` with ``__mix``: struct of tokens, axis values, probability, kept.
+    Warns when the targets are not reached."""
     tokens = token_count(text_col)
     axes = axes or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text_col, tokens)}
     names = list(axes)
@@ -83,7 +101,12 @@ def mixing_probabilities(docs: DataFrame, id_col: str = "doc_id", text_col: str
     cells = stored(keyed.groupBy(*[F.col(f"__mix.{a}").alias(a) for a in names]).agg(
         F.sum("__mix.tokens").alias("tokens")), "counts")
     targets = targets or {a: stored(tempered(cells, a, temper), "target") for a in names}
-    raked, _, _ = rake(cells.where("tokens > 0"), names, targets)
+    raked, rounds, reached = rake(cells.where("tokens > 0"), names, targets, max_rounds=max_rounds)
+    if not reached:
+        most = deviations(raked, names, targets).groupBy("axis").agg(
+            F.max_by(F.struct("value", "deviation"), F.abs("deviation")).alias("m")).orderBy("axis").collect()
+        warnings.warn(f"targets not reached in {rounds} rounds: " + ", ".join(
+            f"{r['axis']} {r['m']['value'][1:] or None!r} {r['m']['deviation']:+.2%}" for r in most), stacklevel=2)
     rates = raked.select(*names, "tokens", (F.col("weight") / F.col("tokens")).alias("rate"))
     # the largest rate; or a token-weighted quantile, from a histogram of at most a few thousand steps of one percent
     most = rates.agg(F.max("rate")).first()[0] or 1.0
