@@ -13,10 +13,10 @@ from wreath.plans.registry import query
 
 @query("j1_embed_texts")
 def j1_embed_texts(spark, sf):
-    """Every document's whole text to a 64-value float32 vector with the
+    """Every document's whole text to a 384-value float32 vector with the
     default encoder (rows-only: a model output)."""
     d = Fixtures(spark, sf).documents.select("doc_id", "text")
-    e = M.embed(d, "text", dim=64, seed=5)
+    e = M.embed(d, "text", seed=5)
     return e.select("doc_id", V.round_vec("embedding").alias("embedding"))
 
 
