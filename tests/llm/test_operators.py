@@ -23,7 +23,7 @@ from wreath.llm import poly_fingerprint as PF
 from wreath.llm import prob_minhash as PM
 from wreath.llm import raking as RK
 from wreath.llm import winnowing as WN
-from wreath.llm.common import fold, prepare
+from wreath.llm.common import fold, prepare, unit_hash
 from wreath.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -528,6 +528,20 @@ def test_toxicity_odd_shapes(spark, odd, empty):
     assert KN.fit(empty, labels.limit(0)).bias < 0
 
 
+def test_toxicity_from_few_labels(spark):
+    texts = ["you idiot scum", "idiot and scum", "what a scum idiot", "the green house", "a house of green", "green is the house"]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts, 1)], DOCS)
+    labels = spark.createDataFrame([(i, int(i < 4)) for i in range(1, 7)], "doc_id long, toxic int")
+    last = docs.agg(*[F.max(unit_hash("doc_id", F.lit(s + 1))) for s in range(60)]).first()
+    seed = next(s for s in range(60) if last[s] < 3 / 4)        # no document in the last quarter
+    model = KN.fit(docs, labels, seed=seed)
+    assert model.link.any()
+    scores = KN.score_toxicity(docs, model).orderBy("doc_id").toPandas().toxicity
+    assert scores[:3].min() > 0.5 > scores[3:].max()
+    alone = KN.fit(docs, labels.where("doc_id = 1 or toxic = 0"), seed=seed)
+    assert KN.score_toxicity(docs, alone).toPandas().toxicity.max() < 0.5
+
+
 # 10 language-model scores --------------------------------------------------
 
 def brute_base(rows, held):

@@ -14,7 +14,9 @@ differences into a score from 0 to 1.
 Defined results: null or empty text, or text without a word, gives the score of
 a document with no evidence (all differences 0); repeated rows and ids are
 scored row by row; other columns pass through; with no usable labels (none, or
-one class only) every score is near 1 or 0, as the only label says (0 with none).
+one class only) every score is near 1 or 0, as the only label says (0 with none);
+when a class has fewer than two drawn documents, one for the counts and one for the
+link, every score is near 0 and nothing is called toxic.
 
 Bounds: ``max_rows`` labelled documents and ``max_bytes`` of their text per class
 (drawn by a hash of the id, on average); everything is scored whole.
@@ -217,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     """Learn the pair of models and the link from labelled documents.
 
     ``labels`` must already be restricted to the rows to learn from. Three
-    quarters of the drawn documents give the counts, one the link. What comes to
+    quarters of the drawn documents give the counts, one the link, and at least one
+    document of each class either. What comes to
     the driver is bounded by the sample: its distinct words with counts and four
     numbers a document."""
     sample, count, _ = labelled_sample(docs.where(F.col(text_col).isNotNull()), labels, id_col, text_col, label_col, max_rows, seed)
@@ -228,12 +231,18 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     sample = stored(sample, "sample")
     size = {r["__y"]: r["b"] for r in sample.groupBy("__y").agg(F.sum(F.octet_length("__text")).alias("b")).collect()}
     less = {y: bounded_share(0, b, 1, max_bytes) for y, b in size.items()}
-    part = unit_hash("__id", F.lit(seed + 1))
     sample = sample.where(unit_hash("__id", F.lit(seed + 2)) < F.when(F.col("__y") == 1, less.get(1, 0.0)).otherwise(less.get(0, 0.0)))
-    counted = (sample.where(part < 3 / 4).select("__y", F.explode(_word_counter()("__text")).alias("c"))
+    part = unit_hash("__id", F.lit(seed + 1))
+    ends = {r["__y"]: (r["a"], r["b"]) for r in sample.groupBy("__y").agg(F.min(part).alias("a"), F.max(part).alias("b")).collect()}
+    if any(y not in ends or ends[y][0] == ends[y][1] for y in (0, 1)):
+        model.bias = -30.0
+        return model
+    cut = {y: 3 / 4 if a < 3 / 4 <= b else b for y, (a, b) in ends.items()}
+    linked = part >= F.when(F.col("__y") == 1, cut[1]).otherwise(cut[0])
+    counted = (sample.where(~linked).select("__y", F.explode(_word_counter()("__text")).alias("c"))
                .groupBy(F.col("c.w").alias("w")).pivot("__y", [0, 1]).agg(F.sum("c.n")).toArrow())
     model.fit(counted["w"].to_pylist(), *(np.nan_to_num(counted[k].to_numpy().astype(float)) for k in ("1", "0")))
-    rest = sample.where(part >= 3 / 4).select("__y", difference_udf(docs.sparkSession, model)("__text").alias("d")).toArrow()
+    rest = sample.where(linked).select("__y", difference_udf(docs.sparkSession, model)("__text").alias("d")).toArrow()
     if rest.num_rows:
         x = np.array(rest["d"].to_pylist(), float).reshape(rest.num_rows, FEATURES)
         model.link, model.bias = fit_link(x, rest["__y"].to_numpy())
