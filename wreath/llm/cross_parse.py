@@ -15,9 +15,9 @@ Null text or text without a letter gives ``und`` and score 0; with no labelled
 text every row is ``und``. Rows are judged one by one, repeated ones alike, and
 ties go to the first language by name. Other columns pass through.
 
-Bounds: ``max_bytes`` of labelled text per language, drawn in pieces of
-``SAMPLE_PIECE`` characters by a hash of id and piece number, and the
-``max_languages`` most frequent ones.
+Every language value is learned. Bounds: ``max_bytes`` of labelled text per language,
+drawn in pieces of ``SAMPLE_PIECE`` characters by a hash of id and piece number, and
+``total_bytes`` of all languages together: with many of them each has an equal part.
 """
 
 from __future__ import annotations
@@ -160,20 +160,20 @@ class CrossParser:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-        max_bytes: int = 60_000, max_languages: int = 200, seed: int = 7) -> CrossParser:
+        max_bytes: int = 60_000, total_bytes: int = 480_000, seed: int = 7) -> CrossParser:
     """Build the automata from labelled rows (``docs`` is already restricted to
     them). At most ``max_bytes`` per language come to the driver: pieces of a
     hash-drawn sample; a tenth of them is held back to normalise the counts."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__l"), F.lower(text_col).alias("__t"))
-    sizes = labelled.groupBy("__l").agg(F.sum(F.length("__t")).alias("n")).where("n > 0").orderBy(
-        F.desc("n"), "__l").limit(max_languages).collect()
+    sizes = labelled.groupBy("__l").agg(F.sum(F.length("__t")).alias("n")).where("n > 0").collect()
     if not sizes:
         return CrossParser({})
-    # draw about twice the bound, then cut each language at the bound
-    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["__l"]), F.lit(min(1.0, 2 * max_bytes / r["n"])))]), F.col("__l"))
-    # element_at on a missing key gives null, which keeps no row
-    drawn = (labelled.select("__id", "__l", "__t", share.alias("__share")).where("__share is not null").select(
+    max_bytes = min(max_bytes, max(1, total_bytes // len(sizes)))
+    # draw about twice the bound, twenty pieces at least, then cut each language at the bound
+    shares = docs.sparkSession.createDataFrame(
+        [(r["__l"], min(1.0, max(2 * max_bytes, 20 * SAMPLE_PIECE) / r["n"])) for r in sizes], "__l string, __share double")
+    drawn = (labelled.join(F.broadcast(shares), "__l").select(
         "__id", "__l", "__share", "__t", F.explode(F.expr("filter(sequence(0, cast(ceil(length(__t) / %d) as int)), i -> "
         "cast(shiftrightunsigned(xxhash64(__id, i, %d), 11) as double) / %d < __share and i * %d < length(__t))" % (
             SAMPLE_PIECE, seed, 1 << 53, SAMPLE_PIECE))).alias("__i"))
