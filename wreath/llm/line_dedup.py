@@ -275,9 +275,10 @@ def op11_line_dedup(spark, sf_dir: str) -> DataFrame:
     prepare(spark)
     texts = numbered_texts(read(spark, sf_dir, "documents"))
     bitmaps = stored(keep_bitmaps(texts, dropped_lines(texts)).where("n_dropped > 0").select("uid", "n_dropped", "keep"), "bitmaps")
-    # texts without a dropped line stay where they are; a few more of them than need be are joined
+    # texts without a dropped line stay where they are; a few more of them than need be are joined.
+    # The bitmaps grow with the texts, so they are never broadcast: one plan at every size
     changed = maybe_in(bitmaps, "uid")
-    some = texts.where(changed).join(bitmaps, "uid", "left").select(
+    some = texts.where(changed).join(bitmaps.hint("merge"), "uid", "left").select(
         F.col("id").alias("doc_id"), "n_lines", F.coalesce("n_dropped", F.lit(0).cast("long")).alias("n_dropped"),
         F.arrow_udf(_kept_sha256, "string")("text", "keep", "n_lines").alias("kept_sha256"))
     return texts.where(~changed).select(F.col("id").alias("doc_id"), "n_lines", F.lit(0).cast("long").alias("n_dropped"),
