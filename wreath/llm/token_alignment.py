@@ -20,8 +20,9 @@ meet the chunk again. So no table of pairs is broadcast, and a pair that is link
 everywhere is one row for each chunk; only the highest count of each B id, bounded by the
 vocabulary, is.
 
-Long texts are encoded in pieces cut at a single space between two ASCII letters or
-digits, where neither vocabulary has a token that reaches across. Null and empty texts, and
+Texts are encoded in units cut at a single space between two characters that are no
+space, where neither tokenizer has a token that reaches across; the ids of units seen
+before are looked up in a table of bounded size. Null and empty texts, and
 texts whose bytes a tokenizer changes, have no tokens. Repeated rows count each. An
 empty table gives no rows. Other columns are ignored. The vocabulary files are
 parameters; the driver reads them and their bytes are broadcast (about 2 MB).
@@ -34,6 +35,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +47,13 @@ from wreath.llm.common import prepare, read, stored
 
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-PIECE_CHARS = 1 << 16
 SLICE_BYTES = 1 << 20
+BLOCK_CHARS = 1 << 20      # characters of a text that are cut into units at a time
+UNIT_CHARS = 1 << 24       # characters of units whose ids are remembered
 LANE = 128                 # tokens of A from the start of one lane to that of the next
 FIRST_WINDOW, LAST_WINDOW = 4, 1 << 12
 CHUNK_LINKS = 1 << 21
-SEAM = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
+SEAM = re.compile(r"(?<=\S) (?=\S)")
 
 
 def byte_letters() -> dict[str, int]:
@@ -61,6 +64,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+class _Rows:
+    """Lists of ids laid end to end, growing by doubling."""
+
+    def __init__(self):
+        self.flat, self.ends, self.n = np.zeros(1 << 12, np.int32), np.zeros(1, np.int64), 0
+
+    def add(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        new = np.fromiter(chain.from_iterable(lists), np.int32, int(sizes.sum()))
+        if self.n + len(new) > len(self.flat):
+            self.flat = np.r_[self.flat[: self.n], np.zeros(max(len(self.flat), 2 * len(new)), np.int32)]
+        self.flat[self.n: self.n + len(new)] = new
+        self.n += len(new)
+        self.ends = np.r_[self.ends, self.ends[-1] + np.cumsum(sizes)]
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        start = self.ends[rows]
+        n = self.ends[rows + 1] - start
+        return self.flat[np.repeat(start, n) + _ragged(n)]
+
+
 class Pair:
     """The two tokenizers with the bytes of their tokens."""
 
@@ -80,62 +104,87 @@ class Pair:
         self.seams = not any("▁" in p.lstrip("▁") for p in pieces)
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
-        self.names = {s: np.array([f"{i}{s}" for i in range(max(len(self.a_len), len(self.b_len)))], object) for s in ",|;"}
+        self.n_names = max(len(self.a_len), len(self.b_len))
+        self.names = np.array([f"{i}{s}" for s in ",|;" for i in range(self.n_names)], object)
+        self.forget()
+
+    def forget(self) -> None:
+        self.units: dict[str, int] = {}
+        self.unit_chars = 0
+        self.a_ids, self.b_ids = _Rows(), _Rows()
+        self.good = np.zeros(0, bool)
 
     def pieces(self, text: str) -> Iterator[str]:
-        """The text in pieces, each without the space before it."""
+        """The text in units, each without the space before it."""
+        if not self.seams:
+            yield text
+            return
         at = 0
-        while self.seams and len(text) - at > PIECE_CHARS:
-            seam = SEAM.search(text, at + PIECE_CHARS)
+        while True:
+            seam = SEAM.search(text, at + BLOCK_CHARS) if len(text) - at > BLOCK_CHARS else None
             if seam is None:
-                break
-            yield text[at: seam.start()]
+                yield from SEAM.split(text[at:])
+                return
+            yield from SEAM.split(text[at: seam.start()])
             at = seam.end()
-        yield text[at:]
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both tokenizers for each text; none where the bytes differ."""
-        owner, parts = [], []
-        a_ids: list[list] = [[] for _ in texts]
-        b_ids: list[list] = [[] for _ in texts]
-
-        def flush() -> None:
-            for o, e in zip(owner, self.a.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)):
-                a_ids[o].append(np.array(e.ids, np.int32))
-            for o, ids in zip(owner, self.b.encode(parts, num_threads=1)):
-                b_ids[o].append(np.array(ids, np.int32))
-            owner.clear()
-            parts.clear()
-
-        held = 0
-        for o, text in enumerate(texts):
-            for p in self.pieces(text) if text else ():
-                owner.append(o)
-                parts.append(p)
-                held += len(p)
-                if held >= SLICE_BYTES:
-                    flush()
-                    held = 0
-        flush()
-        none = np.zeros(0, np.int32)
-        found = [(np.concatenate(a), np.concatenate(b)) if a else (none, none) for a, b in zip(a_ids, b_ids)]
-        for i, (text, (a, b)) in enumerate(zip(texts, found)):
-            raw = (" " + (text or "")).encode()
-            if len(a) and not (b"".join(map(self.a_bytes.__getitem__, a.tolist())) == raw == b"".join(map(self.b_bytes.__getitem__, b.tolist()))):
-                found[i] = (none, none)
-        return [f[0] for f in found], [f[1] for f in found]
+
+    def learn(self, units: list[str]) -> None:
+        """Encode new units and check their bytes."""
+        a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
+        b = self.b.encode(units, num_threads=1)
+        good = [b"".join([self.a_bytes[i] for i in x]) == (" " + u).encode() == b"".join([self.b_bytes[i] for i in y]) for u, x, y in zip(units, a, b)]
+        self.a_ids.add(a)
+        self.b_ids.add(b)
+        self.good = np.r_[self.good, good]
+        self.units.update(zip(units, range(len(self.units), len(self.units) + len(units))))
+        self.unit_chars += sum(map(len, units))
+
+    def numbers(self, text: str) -> np.ndarray:
+        """Number of each unit of a text; unknown units are learned, some thousands at a time."""
+        out, held = [], []
+
+        def settle() -> None:
+            new = list(dict.fromkeys(u for u in held if u not in self.units))
+            if new:
+                self.learn(new)
+            out.append(np.fromiter(map(self.units.__getitem__, held), np.int64, len(held)))
+            held.clear()
+
+        for u in self.pieces(text):
+            held.append(u)
+            if len(held) >= BLOCK_CHARS // 4:
+                settle()
+        settle()
+        return np.concatenate(out)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both tokenizers for each text; none where the bytes differ.
+
+        Neither tokenizer has a token across a seam, so a text's ids are those of its units,
+        and units that come again are looked up."""
+        if self.unit_chars > UNIT_CHARS:
+            self.forget()
+        short = [t for t in texts if t and len(t) <= BLOCK_CHARS]
+        new = list(dict.fromkeys(u for t in short for u in self.pieces(t) if u not in self.units))
+        if new:
+            self.learn(new)
+        a, b, none = [], [], np.zeros(0, np.int32)
+        for t in texts:
+            units = self.numbers(t) if t else np.zeros(0, np.int64)
+            same = self.good[units].all()
+            a.append(self.a_ids.take(units) if same else none)
+            b.append(self.b_ids.take(units) if same else none)
+        return a, b
 
     def groups(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
         """``a1,a2|b1;a3|b2,b3``"""
         if not len(a):
             return ""
         a_to, b_to = np.flatnonzero(a_cut) + 1, np.flatnonzero(b_cut) + 1
-        a_at = np.arange(len(a)) + np.r_[0, b_to][np.cumsum(a_cut) - a_cut]
-        b_at = np.arange(len(b)) + a_to[np.cumsum(b_cut) - b_cut]
-        words = np.empty(len(a) + len(b), object)
-        words[a_at] = np.where(a_cut, self.names["|"][a], self.names[","][a])
-        words[b_at] = np.where(b_cut, self.names[";"][b], self.names[","][b])
-        return "".join(words.tolist())[:-1]
+        names = np.empty(len(a) + len(b), np.int64)      # in steps of n_names: followed by , or | or ;
+        names[np.arange(len(a)) + np.r_[0, b_to][np.cumsum(a_cut) - a_cut]] = a + a_cut * self.n_names
+        names[np.arange(len(b)) + a_to[np.cumsum(b_cut) - b_cut]] = b + b_cut * (2 * self.n_names)
+        return "".join(self.names[names].tolist())[:-1]
 
 
 @lru_cache(maxsize=2)
