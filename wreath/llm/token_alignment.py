@@ -49,7 +49,7 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES = 1 << 20
 BLOCK_CHARS = 1 << 20      # characters of a text that are cut into units at a time
-UNIT_CHARS = 1 << 24       # characters of units whose ids are remembered
+UNIT_CHARS = 1 << 22       # characters of units whose ids are remembered
 LANE = 128                 # tokens of A from the start of one lane to that of the next
 FIRST_WINDOW, LAST_WINDOW = 4, 1 << 12
 CHUNK_LINKS = 1 << 21
