@@ -217,8 +217,8 @@ def with_fixtures(sql: str) -> str:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n].strip()})" for n in names)
     body = sql.strip()
-    if re.match(r"(?is)^with\s", body):
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    if head := re.match(r"(?is)^with\s+(recursive\s+)?", body):
+        return f"WITH {'RECURSIVE ' if head[1] else ''}{ctes},\n{body[head.end():]}"
     return f"WITH {ctes}\n{body}"
 
 

@@ -8,6 +8,7 @@ import math
 from pyspark.sql import functions as F
 
 from wreath.operators import linkage as LK
+from wreath.operators import similarity as SM
 from wreath.plans import stages as S
 from wreath.plans.fixtures import Fixtures
 from wreath.plans.queries_text import _duck_name_key
@@ -18,6 +19,7 @@ from wreath.plans.registry import query
 M_FIXED = {"title_level": (0.01, 0.02, 0.07, 0.9), "author_level": (0.05, 0.05, 0.1, 0.8)}
 U_FIXED = {"title_level": (0.95, 0.0485, 0.001, 0.0005), "author_level": (0.7, 0.2, 0.095, 0.005)}
 PRIOR = 0.0001
+EM_ROUNDS = 3_000
 COMPS = [LK.Comparison("title_level", "title_key_l", "title_key_r"),
          LK.Comparison("author_level", "author_key_l", "author_key_r")]
 FIXED_MODEL = LK.LinkageModel(COMPS, M_FIXED, U_FIXED, PRIOR)
@@ -95,10 +97,14 @@ def c8_probabilistic_linkage_join(spark, sf):
 SELECT CAST(count(*) AS BIGINT) AS n_pairs, CAST(count(*) FILTER (WHERE match_probability >= 0.9) AS BIGINT) AS n_matches FROM pr
 """)
 def b16_score_threshold(spark, sf):
-    """Count of candidate pairs and of those with probability >= 0.9."""
-    s = LK.match_probability(_leveled(Fixtures(spark, sf)), FIXED_MODEL)
-    return s.agg(F.count(F.lit(1)).cast("bigint").alias("n_pairs"),
-                 F.count_if(F.col("match_probability") >= 0.9).cast("bigint").alias("n_matches"))
+    """Count of candidate pairs and of those with probability >= 0.9: the former
+    from record counts by year, the latter from the similarity join; no pair is formed to count it."""
+    fx = Fixtures(spark, sf)
+    a = fx.catalog_a.groupBy("year").agg(F.count(F.lit(1)).alias("n_a"))
+    b = fx.catalog_b.groupBy((F.col("year") - 1).alias("year")).agg(F.count(F.lit(1)).alias("n_b"))
+    n = a.join(b, "year").agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0)).cast("bigint").alias("n_pairs"))
+    hits = S.linked_pairs(fx.catalog_a, fx.catalog_b, FIXED_MODEL, 0.9).agg(F.count(F.lit(1)).cast("bigint").alias("n_matches"))
+    return n.join(hits)
 
 
 J26_SQL = "WITH " + PAIRS + """,
@@ -126,29 +132,91 @@ def j10_estimate_u(spark, sf):
                                  "comparison STRING, level INT, u DOUBLE")
 
 
-@query("j11_estimate_m")
+def _em_factor(levels: str, level: str) -> str:
+    return f"CASE WHEN {level} < 0 THEN 1 ELSE {levels}[{level} + 1] END"
+
+
+# EM from the same start, written out as a recursion over one row: match share, m of both comparisons
+J11_SQL = "WITH RECURSIVE " + PAIRS.lstrip() + f""",
+hist AS (SELECT list({{t: title_level, a: author_level, n: CAST(n AS DOUBLE)}}) AS h, sum(n) AS total
+         FROM (SELECT title_level, author_level, count(*) AS n FROM lv GROUP BY ALL)),
+em AS (
+  SELECT 0 AS k, CAST(0.001 AS DOUBLE) AS share, [0.01, 0.08, 0.27, 0.64]::DOUBLE[] AS mt, [0.01, 0.08, 0.27, 0.64]::DOUBLE[] AS ma
+  UNION ALL
+  SELECT k + 1, list_sum(list_transform(w, lambda x: x.w)) / total,
+         list_transform([0, 1, 2, 3], lambda l: list_sum(list_transform(w, lambda x: CASE WHEN x.t = l THEN x.w ELSE 0 END)) / list_sum(list_transform(w, lambda x: CASE WHEN x.t >= 0 THEN x.w ELSE 0 END))),
+         list_transform([0, 1, 2, 3], lambda l: list_sum(list_transform(w, lambda x: CASE WHEN x.a = l THEN x.w ELSE 0 END)) / list_sum(list_transform(w, lambda x: CASE WHEN x.a >= 0 THEN x.w ELSE 0 END)))
+  FROM (SELECT k, total, list_transform(h, lambda x: {{t: x.t, a: x.a, w: x.n * share * ({_em_factor('mt', 'x.t')}) * ({_em_factor('ma', 'x.a')})
+                 / (share * ({_em_factor('mt', 'x.t')}) * ({_em_factor('ma', 'x.a')})
+                    + (1 - share) * ({_em_factor(repr(list(U_FIXED['title_level'])), 'x.t')}) * ({_em_factor(repr(list(U_FIXED['author_level'])), 'x.a')}))}}) AS w
+        FROM em, hist WHERE k < {EM_ROUNDS}))
+SELECT comparison, CAST(level AS INT) AS level, round(m, 5) AS m
+FROM (SELECT 'title_level' AS comparison, unnest([0, 1, 2, 3]) AS level, unnest(mt) AS m FROM em WHERE k = {EM_ROUNDS}
+      UNION ALL SELECT 'author_level', unnest([0, 1, 2, 3]), unnest(ma) FROM em WHERE k = {EM_ROUNDS})
+"""
+
+
+@query("j11_estimate_m", oracle=J11_SQL)
 def j11_estimate_m(spark, sf):
-    """m per level by EM on the blocked pairs with u fixed (rows-only)."""
+    """m per level by EM on the blocked pairs' level histogram with u fixed; run until nothing moves."""
     fx = Fixtures(spark, sf)
-    m, lam = LK.estimate_m(S.linkage_combos(fx.catalog_a, fx.catalog_b), COMPS, U_FIXED, weight="pair_weight")
-    return spark.createDataFrame([(k, i, float(v)) for k, arr in m.items() for i, v in enumerate(arr)],
+    left, right = S.linkage_sides(fx.catalog_a, fx.catalog_b)
+    hist = SM.level_histogram(left, right, ("year_l", "block"), COMPS, "n_l", "n_r")
+    m, _ = LK.em_histogram(hist, COMPS, U_FIXED, max_iter=EM_ROUNDS, tol=1e-10)
+    return spark.createDataFrame([(k, i, round(float(v), 5)) for k, arr in m.items() for i, v in enumerate(arr)],
                                  "comparison STRING, level INT, m DOUBLE")
 
 
-def _works_with_true_matches(fx):
-    """Works = catalog_b plus a re-keyed copy of every third list title,
-    awarded the year after its list year, with every second copy's title
-    altered (plural): true matches exist, some of them inexact.
+@query("j11_level_histogram", oracle="WITH " + PAIRS + """
+SELECT title_level, author_level, CAST(count(*) AS BIGINT) AS n FROM lv GROUP BY ALL
+""")
+def j11_level_histogram(spark, sf):
+    """Level patterns of all blocked pairs, counted through similar keys instead of pairs."""
+    fx = Fixtures(spark, sf)
+    left, right = S.linkage_sides(fx.catalog_a, fx.catalog_b)
+    hist = SM.level_histogram(left, right, ("year_l", "block"), COMPS, "n_l", "n_r")
+    return spark.createDataFrame([(*p, n) for p, n in hist], "title_level INT, author_level INT, n BIGINT")
+
+
+@query("j9_similar_words", oracle="""
+WITH dw AS (SELECT DISTINCT unnest(string_split_regex(coalesce(text, ''), '[^A-Za-z]+')) AS w FROM documents),
+bw AS (SELECT DISTINCT unnest(string_split_regex(coalesce(text, ''), '[^A-Za-z]+')) AS w FROM benchmark)
+SELECT a.w AS word_l, b.w AS word_r, round(CASE WHEN a.w = b.w THEN 1.0 ELSE jaro_winkler_similarity(a.w, b.w) END, 6) AS sim
+FROM dw a JOIN bw b ON a.w = b.w OR jaro_winkler_similarity(a.w, b.w) >= 0.9
+WHERE a.w <> '' AND b.w <> ''
+""")
+def j9_similar_words(spark, sf):
+    """Similarity join: every distinct ASCII word (SQL compares bytes) of the documents with every word of the benchmark texts that is
+    equal to it or has a Jaro-Winkler similarity of 0.9, by an inverted index."""
+    fx = Fixtures(spark, sf)
+
+    def words(df):
+        return df.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[^A-Za-z]+")).alias("w")).where("w <> ''").distinct()
+
+    found = SM.similar_keys(words(fx.table("documents")), words(fx.table("benchmark")), 0.9)
+    return found.select(F.col("key_l").alias("word_l"), F.col("key_r").alias("word_r"), F.round("sim", 6).alias("sim"))
+
+
+#: digits as consonants, for surnames made of numbers
+SURNAME_LETTERS = "bcdfghklmn"
+
+
+def _named(df):
+    """Authors with a surname of their own, so that equal authors are rare by chance."""
+    number = (F.col("unique_id") * 7919 % 99991).cast("string")
+    return df.withColumn("author", F.concat(F.translate(number, "0123456789", SURNAME_LETTERS), F.lit(" "), F.col("author")))
 
-    With the reference's prior (1e-4) and a small title vocabulary, few or
-    no pairs reach 0.9; the scored pairs are exposed by
-    ``j12_match_probability_trained``."""
-    a = fx.catalog_a
-    copies = a.filter(F.col("unique_id") % 3 == 0).select(
+
+def _lists_and_works_with_matches(fx):
+    """Lists = catalog_a with surnames. Works = catalog_b with surnames plus a re-keyed
+    copy of every third list title, awarded the year after its list year, every second
+    copy's title altered (plural): true matches at every scale, some of them inexact."""
+    lists = _named(fx.catalog_a)
+    copies = lists.filter(F.col("unique_id") % 3 == 0).select(
         (F.col("unique_id") + 1_000_000_000).alias("unique_id"),
         F.when(F.col("unique_id") % 4 == 1, F.col("title")).otherwise(F.concat("title", F.lit("s"))).alias("title"),
         "author", (F.col("year") + 1).alias("year"))
-    return fx.catalog_b.unionByName(copies)
+    return lists, _named(fx.catalog_b).unionByName(copies)
 
 
 @query("j26_bestseller_match_trained")
@@ -156,7 +224,24 @@ def j26_bestseller_match_trained(spark, sf):
     """End to end with a trained model: u by random pairs, m and the share of
     matches by EM on the blocked pairs, then the rank statistics (rows-only)."""
     fx = Fixtures(spark, sf)
-    return S.bestseller_match(fx.catalog_a, _works_with_true_matches(fx), fx.ranks, seed=1, prior=None)
+    lists, works = _lists_and_works_with_matches(fx)
+    return S.bestseller_match(lists, works, fx.ranks, seed=1, prior=None)
+
+
+@query("j26_trained_links", oracle="""
+SELECT CAST(unique_id AS BIGINT) AS unique_id, CAST(unique_id + 1000000000 AS BIGINT) AS copy_id, true AS found
+FROM catalog_a WHERE unique_id % 3 = 0
+""")
+def j26_trained_links(spark, sf):
+    """Which planted copies the trained model links to their originals: all of them are."""
+    fx = Fixtures(spark, sf)
+    lists, works = _lists_and_works_with_matches(fx)
+    model = S.train_linkage(lists, works, COMPS, seed=1, prior=None)
+    links = S.linked_pairs(lists, works, model, 0.9).select(F.col("unique_id_l").cast("bigint").alias("unique_id"),
+                                                            F.col("unique_id_r").cast("bigint").alias("copy_id"), F.lit(True).alias("found"))
+    planted = lists.filter(F.col("unique_id") % 3 == 0).select(
+        F.col("unique_id").cast("bigint").alias("unique_id"), (F.col("unique_id") + 1_000_000_000).cast("bigint").alias("copy_id"))
+    return planted.join(links, ["unique_id", "copy_id"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 @query("j26_nominated_works", oracle=f"""
@@ -176,11 +261,8 @@ def j26_nominated_works(spark, sf):
 
 @query("j12_match_probability_trained")
 def j12_match_probability_trained(spark, sf):
-    """Every blocked pair scored by the trained model (rows-only)."""
+    """The pairs that the trained model links, with their probability (rows-only)."""
     fx = Fixtures(spark, sf)
-    works = _works_with_true_matches(fx)
-    model = LK.train(S.linkage_keys(fx.catalog_a), S.linkage_keys(works),
-                     S.linkage_combos(fx.catalog_a, works), COMPS, seed=1, weight="pair_weight")
-    pairs = S.linkage_pairs(fx.catalog_a, works)
-    s = LK.match_probability(LK.add_levels(pairs, COMPS), model)
-    return s.select("unique_id_l", "unique_id_r", "title_level", "author_level", "match_probability")
+    lists, works = _lists_and_works_with_matches(fx)
+    model = S.train_linkage(lists, works, COMPS, seed=1, prior=None)
+    return S.linked_pairs(lists, works, model, 0.9)
