@@ -62,69 +62,73 @@ def high_kurtosis(threshold: float = 2.0) -> Filter:
 
 
 # --------------------------------------------------------------------------- J8
-def _lagmat(x: np.ndarray, lags: int) -> np.ndarray:
-    """Rows t = lags..n-1: [x_t, x_{t-1}, ..., x_{t-lags}]."""
-    n = len(x)
-    return np.column_stack([x[lags - j:n - j] for j in range(lags + 1)])
+#: a regressor whose remainder is within this share of its square sum lies in the span of those before
+#: it, and a residual sum within this share of the total is an exact fit; both end the search for lags
+RANK_TOLERANCE = 1e-8
 
 
-def _ols(y: np.ndarray, X: np.ndarray):
-    beta, _, rank, _ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    ssr = float(resid @ resid)
-    n, k = X.shape
-    return beta, ssr, n, k
-
-
-def _trend(n: int) -> np.ndarray:
-    t = np.arange(1, n + 1, dtype=float)
-    return np.column_stack([np.ones(n), t, t * t])
+def _regressors(x: np.ndarray, lags: int) -> np.ndarray:
+    """Columns constant, trend, squared trend, level, lagged differences 1..lags, and the
+    difference itself; the trend runs over [-1, 1], which spans the same and keeps the scales alike."""
+    dx = np.diff(x)
+    n = len(dx) - lags
+    u = np.linspace(-1.0, 1.0, n)
+    return np.column_stack([np.ones(n), u, u * u, x[lags: lags + n], *[dx[lags - k: lags - k + n] for k in range(1, lags + 1)], dx[lags:]])
+
+
+def _swept(columns: np.ndarray):
+    """Least squares of the last column on the first 1, 2, ... others: after each regressor the swept
+    moment matrix (inverse moments, coefficients, residual sum). Ends before a regressor that lies in
+    the span of those before it and after an exact fit."""
+    a = columns.T @ columns
+    size = a.diagonal().copy()
+    for k in range(len(a) - 1):
+        if a[k, k] <= RANK_TOLERANCE * size[k]:
+            return
+        pivot = a[k, k]
+        row = a[k] / pivot
+        column = a[:, k].copy()
+        a = a - np.outer(column, row)
+        a[k] = row
+        a[:, k] = -column / pivot
+        a[k, k] = 1 / pivot
+        if a[-1, -1] <= RANK_TOLERANCE * size[-1]:
+            return
+        yield a
 
 
 def adf_tau(x: np.ndarray, maxlag: int | None = None, autolag: bool = True) -> tuple[float, int]:
     """Augmented Dickey-Fuller statistic with constant, trend and squared
     trend ('ctt'); lag order by AIC over 0..maxlag (default
-    ceil(12 (n/100)^(1/4))), then the t-value of the lagged level."""
+    ceil(12 (n/100)^(1/4))), then the t-value of the lagged level.
+
+    Lag orders whose regressors are linearly dependent or fit exactly (within
+    ``RANK_TOLERANCE``) have no statistic and are left out: with eleven lags a series of
+    period 12 is fitted exactly, and its t-value would be rounding noise. NaN when no
+    order is left (a constant series)."""
     x = np.asarray(x, dtype=float)
-    nobs = len(x)
-    ntrend = 3
     if maxlag is None:
-        maxlag = int(np.ceil(12.0 * np.power(nobs / 100.0, 1 / 4.0)))
-        maxlag = max(0, min(nobs // 2 - ntrend - 1, maxlag))
-    dx = np.diff(x)
-
-    def design(lags: int):
-        m = _lagmat(dx, lags)
-        n = m.shape[0]
-        level = x[-n - 1:-1]
-        lagged = m[:, 1:]
-        return dx[-n:], level, lagged, n
-
-    best = 0
+        maxlag = int(np.ceil(12.0 * np.power(len(x) / 100.0, 1 / 4.0)))
+        maxlag = max(0, min(len(x) // 2 - 4, maxlag))
+    if x.std() == 0:
+        return float("nan"), 0
+    x = (x - x.mean()) / x.std()
+    best = maxlag
     if autolag:
-        y, level, lagged, n = design(maxlag)
-        full = np.column_stack([_trend(n), level, lagged])
-        best_aic = np.inf
-        for lag in range(0, maxlag + 1):
-            X = full[:, :ntrend + 1 + lag]
-            _, ssr, nn, k = _ols(y, X)
-            llf = -nn / 2.0 * (np.log(2 * np.pi) + np.log(max(ssr, 1e-300) / nn) + 1)
-            aic = -2 * llf + 2 * k
-            if aic < best_aic:
-                best_aic, best = aic, lag
-    else:
-        best = maxlag
-    y, level, lagged, n = design(best)
-    X = np.column_stack([level, lagged[:, :best], _trend(n)])
-    beta, ssr, nn, k = _ols(y, X)
-    sigma2 = ssr / max(nn - k, 1)
-    try:
-        cov = sigma2 * np.linalg.inv(X.T @ X)
-        se = float(np.sqrt(max(cov[0, 0], 0.0)))
-    except np.linalg.LinAlgError:
-        se = 0.0
-    tau = beta[0] / se if se > 0 else (-np.inf if beta[0] < 0 else np.inf)
-    return float(tau), int(best)
+        columns = _regressors(x, maxlag)
+        n, aic = len(columns), {}
+        for k, a in enumerate(_swept(columns)):
+            if k >= 3:
+                aic[k - 3] = n * math.log(a[-1, -1] / n) + 2 * (k + 1)
+        if not aic:
+            return float("nan"), 0
+        best = min(aic, key=aic.get)
+    columns = _regressors(x, best)
+    steps = list(_swept(columns))
+    if len(steps) < best + 4:
+        return float("nan"), best
+    a, n = steps[-1], len(columns)
+    return float(a[3, -1] / math.sqrt(a[-1, -1] / (n - best - 4) * a[3, 3])), best
 
 
 # MacKinnon's response surface for the Dickey-Fuller t statistic
@@ -151,10 +155,9 @@ def adf_pvalue(tau: float) -> float:
 def stationary(pvalue_threshold: float = 0.05, n_periods: int = 3) -> Filter:
     """Keep topics whose series, tiled ``n_periods * 12`` times, rejects a
     unit root in an ADF test with constant, trend and squared trend at
-    ``pvalue_threshold`` (despite the reference's class name, rejecting
-    series are the ones kept). A constant series has no test: its p-value is
-    null and it is not kept. A tiled series repeats exactly, so with twelve or
-    more lags the regression fits without error and any other series rejects."""
+    ``pvalue_threshold`` (rejecting series are the ones kept). A constant series has
+    no test and is not kept. A tiled series repeats exactly, so lag orders that
+    fit it without error are left out (see :func:`adf_tau`)."""
     def f(freq: DataFrame, keys: Sequence[str]) -> DataFrame:
         keys = list(keys)
         reps = n_periods * 12
@@ -267,6 +270,19 @@ def fit_topics(df: DataFrame, key: str, vec: str, by: Sequence[str] = (), k: int
 
 
 # --------------------------------------------------------------------------- J29
+YEARS = (1959, 2025)      # fixed value: cohorts scored, half-open
+
+
+def dated_works(works: DataFrame, records: DataFrame, order: Sequence[str], key: str = "work_id", year: str = "year",
+                years: tuple[int, int] = YEARS) -> DataFrame:
+    """``works`` with the first non-null year of their ``records`` in ``order``; works without
+    a year, or with one outside ``years``, are left out. The year is one partial aggregate."""
+    from wreath.operators.relational import sort_key
+
+    first = records.where(F.col(year).isNotNull()).groupBy(key).agg(F.min_by(F.col(year), sort_key(order)).alias(year))
+    return works.join(first, key, "left").where((F.col(year) >= years[0]) & (F.col(year) < years[1]))
+
+
 def topicality(docs: DataFrame, key: str, vec: str, by: Sequence[str], topics: DataFrame,
                topic_vec: str, topic: str, month: str, flt: Filter | None = None,
                metric: str = "cosine", p: float = 1, weighted: bool = False,
