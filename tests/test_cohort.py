@@ -39,7 +39,7 @@ def test_naive_expected_sums(spark):
 
 def test_pick_winners_matches_brute_force(spark):
     df = cohort_total(cohort_df(spark), "year", "n_win", "tot")
-    got = {r.id for r in C.pick_winners(df, "year", "score", "tot", "id", buckets=3).filter("pred_win = 1").collect()}
+    got = {r.id for r in C.pick_winners(df, "year", "score", "tot", "id").filter("pred_win = 1").collect()}
     pdf = df.toPandas()
     want = set()
     for _, g in pdf.groupby("year"):

@@ -54,6 +54,6 @@ def test_graph_pattern_guards(spark):
 def test_asof_several_values(spark):
     left = spark.createDataFrame([(1, 2000)], "a int, y int")
     right = spark.createDataFrame([(1, 1990, 5, "old"), (1, 1999, 7, "new")], "a int, y int, v int, w string")
-    for method in ("join", "window"):
+    for method in ("join", "scan"):
         r = R.asof_join(left, right, "a", "y", "y", ["v", "w"], method=method).first()
         assert (r.v, r.w) == (7, "new")

@@ -33,11 +33,6 @@ def ordered_list(value, *order) -> Column:
     return F.transform(F.array_sort(F.collect_list(s)), lambda x: x["__v"])
 
 
-def sum_or_zero(c) -> Column:
-    """pandas sum: all-null (or empty) gives 0, not null."""
-    return F.coalesce(F.sum(_col(c)), F.lit(0))
-
-
 def kurtosis_unbiased(c) -> Column:
     """Sample excess kurtosis (Fisher, bias corrected). Null for n < 4 or a
     constant series. Spark's ``kurtosis`` is the population form g2; the

@@ -37,24 +37,14 @@ def cohort_softmax(df: DataFrame, cohort, score: str, out: str = "p_win", log_ou
 
 
 # --------------------------------------------------------------------------- E6
-def pick_winners(df: DataFrame, cohort, score: str, n_col: str, tie: str,
-                 out: str = "pred_win", buckets: int = 16) -> DataFrame:
+def pick_winners(df: DataFrame, cohort, score: str, n_col: str, tie: str, out: str = "pred_win") -> DataFrame:
     """Flag the top ``n_col`` rows of each cohort by score desc, ``tie`` asc.
 
-    Two-phase top-N: the top N of every (cohort, hash bucket of ``tie``) is
-    kept first, then the top N among those survivors. The global top N is
-    always among the per-bucket top N, so the result is exact, and the first
-    window sorts only 1/``buckets`` of a hot cohort per task."""
-    cohort = _names(cohort)
-    order = [F.col(score).desc(), F.col(tie).asc()]
-    c = df.select(*cohort, tie, score, n_col).withColumn(
-        "__b", F.pmod(F.xxhash64(F.col(tie)), F.lit(buckets)))
-    w1 = Window.partitionBy(*cohort, "__b").orderBy(*order)
-    c = c.withColumn("__r", F.row_number().over(w1)).filter(F.col("__r") <= F.col(n_col))
-    w2 = Window.partitionBy(*cohort).orderBy(*order)
-    top = (c.withColumn("__r", F.row_number().over(w2)).filter(F.col("__r") <= F.col(n_col))
-           .select(*cohort, tie, F.lit(1).alias(out)))
-    return df.join(top, [*cohort, tie], "left").fillna({out: 0})
+    A cohort's cut-off score is searched by counting and each row compared with it
+    (:func:`wreath.operators.ranges.top_flags`): no cohort is sorted or held in a task."""
+    from wreath.operators.ranges import top_flags
+
+    return top_flags(df, _names(cohort), score, n_col, tie, out)
 
 
 # --------------------------------------------------------------------------- J16

@@ -88,15 +88,3 @@ class CountEncoder:
             kept[c] = sorted([v for v in vals if v is not None]) + ([None] if None in vals else [])
             infrequent[c] = bool(stats["rare"])
         return CountEncoderModel(self.key, self.columns, kept, infrequent)
-
-
-def count_values_long(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    """(key, column, value, n): counts per key for any number of values, the
-    form to use where one column per value would be too wide."""
-    out = None
-    for c in columns:
-        part = (df.select(key, F.explode(F.col(c)).alias("value")).groupBy(key, "value")
-                .agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-                .select(key, F.lit(c).alias("column"), F.col("value").cast("string").alias("value"), "n"))
-        out = part if out is None else out.unionByName(part)
-    return out

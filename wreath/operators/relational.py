@@ -2,10 +2,8 @@
 
 Design rules used throughout:
 
-* "first/last row per key" is an aggregate (``min_by`` over a sort struct),
-  never a window: aggregates combine map-side, so a key holding a third of
-  all rows is reduced inside every map task before the shuffle instead of
-  being sorted in a single task.
+* "first row per key" is decided inside (key, hash bucket) first, then among the few
+  survivors, so a key holding a third of all rows is not sorted in a single task.
 * nothing is collected to the driver; every helper returns a lazy plan.
 """
 
@@ -43,30 +41,23 @@ def sort_key(order: Sequence) -> Column:
 
 
 # --------------------------------------------------------------------------- D13
-def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2",
+def dedup_first(df: DataFrame, keys, order_by: Sequence,
                 buckets: int = 16, cluster_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row per ``keys`` by ``order_by`` (ascending, nulls last).
 
     ``order_by`` should end with a unique column so the pick is deterministic.
     For a descending key pass an ascending expression (``-x`` or a ``when``).
 
-    ``window2`` (default): two-phase top-1. Rows are first ranked inside
+    Two-phase top-1. Rows are first ranked inside
     (keys, hash bucket of the order values), so a key holding a third of all
     rows is split over ``buckets`` tasks; the bucket winners (at most
     ``buckets`` per key) are ranked again per key. Exact, codegen'd sorts.
-    ``agg``: one ``min_by`` aggregate over a row struct (map-side partial
-    aggregation, but a sort-based aggregate without code generation).
 
     ``cluster_by`` (a subset of ``keys``): hash-partition the survivors of
     phase 1 on these columns only. The phase-2 window is still satisfied, and
     a following aggregate whose keys include them needs no further shuffle.
     """
     keys = _names(keys)
-    if method == "agg":
-        rest = list(df.columns)
-        row = F.struct(*[F.col(c) for c in rest])
-        return (df.groupBy(*keys).agg(F.min_by(row, sort_key(order_by)).alias("__r"))
-                .select(*[F.col("__r")[c].alias(c) for c in rest]))
     order = [_col(o).asc_nulls_last() for o in order_by]
     salt = F.pmod(F.xxhash64(*[_col(o) for o in order_by]), F.lit(buckets))
     w1 = Window.partitionBy(*keys, "__b").orderBy(*order)
@@ -81,16 +72,6 @@ def dedup_first(df: DataFrame, keys, order_by: Sequence, method: str = "window2"
             .drop("__b", "__r"))
 
 
-def dedup_first_window(df: DataFrame, keys, order_by: Sequence[Column]) -> DataFrame:
-    """Window form of :func:`dedup_first` for arbitrary sort directions.
-
-    ``order_by`` are sort Columns (``F.col(x).desc_nulls_last()`` ...). A hot
-    key sorts in one task, so prefer :func:`dedup_first` on skewed data.
-    """
-    w = Window.partitionBy(*_names(keys)).orderBy(*order_by)
-    return df.withColumn("__rn", F.row_number().over(w)).filter("__rn = 1").drop("__rn")
-
-
 # --------------------------------------------------------------------------- B3/D4
 def group_all_but(df: DataFrame, excluded: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Group by every column except ``excluded`` (null keys kept, like
@@ -155,10 +136,9 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
     right rows with a residual time predicate and reduced with ``max_by``
     (partial aggregation), then joined back; best when each key has a bounded
     number of right rows (e.g. one per year).
-    ``method='window'``: left keys and right rows are unioned and sorted per
-    key; lookups are ordered before value rows of the same time so the result
-    stays strict; ``last(ignorenulls)`` carries values forward. Needs no
-    join fan-out, so it suits long right histories.
+    ``method='scan'``: both sides are sorted together in ranges and the last value is
+    carried on, over the borders of ranges too (:func:`wreath.operators.ranges.asof_scan`):
+    no fan-out and no task with all rows of a key, so it suits long histories and hot keys.
     """
     by = _names(by)
     values = _names(value)
@@ -174,19 +154,11 @@ def asof_join(left: DataFrame, right: DataFrame, by, left_time: str, right_time:
         found = (keys.join(r, cond, "inner")
                  .groupBy(*[keys[b] for b in by], keys["__t"]).agg(best.alias("__best"))
                  .select(*by, "__t", *[F.col("__best")[v].alias(v) for v in values]))
-    elif method == "window":
-        lk = keys.select(*by, "__t", F.lit(0 if strict else 1).alias("__side"),
-                         *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
-        rv = right.select(*by, F.col(right_time).alias("__t"),
-                          F.lit(1 if strict else 0).alias("__side"), *values)
-        w = (Window.partitionBy(*by).orderBy("__t", "__side")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        both = lk.unionByName(rv)
-        found = both.select(
-            *by, "__t", "__side",
-            *[F.last(F.when(F.col("__side") == (1 if strict else 0), F.col(v)), ignorenulls=True)
-              .over(w).alias(v) for v in values])
-        found = found.filter(F.col("__side") == (0 if strict else 1)).drop("__side")
+    elif method == "scan":
+        from wreath.operators.ranges import asof_scan
+
+        out = asof_scan(left, right, by, left_time, right_time, values, strict)
+        return out if default is None else out.fillna({v: default for v in values})
     else:
         raise ValueError(method)
     out = left.join(found.withColumnRenamed("__t", left_time), [*by, left_time], "left")
@@ -271,12 +243,6 @@ def calendar_grid(years: DataFrame, year_col: str = "year", months=(1, 12)) -> D
             .withColumn("month", F.explode(F.sequence(F.lit(months[0]), F.lit(months[1])))))
 
 
-def year_grid(spark, first: int, last: int, months=(1, 12)) -> DataFrame:
-    """Every (year, month) of a fixed calendar range (72 years x 12 = tiny)."""
-    return (spark.range(first, last + 1).select(F.col("id").cast("int").alias("year"))
-            .withColumn("month", F.explode(F.sequence(F.lit(months[0]), F.lit(months[1])))))
-
-
 # --------------------------------------------------------------------------- G4
 def temporal_split(df: DataFrame, col: str, train: tuple, test: tuple) -> tuple[DataFrame, DataFrame]:
     """Two half-open range filters over one plan: [lo, hi)."""

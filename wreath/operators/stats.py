@@ -23,10 +23,21 @@ def mean_interval(df: DataFrame, by, col: str, z: float = 1.96) -> DataFrame:
 
 
 def five_number(df: DataFrame, by, col: str) -> DataFrame:
-    """Min, quartiles (linear interpolation) and max per group."""
-    q = F.percentile(F.col(col), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = df.groupBy(*_names(by)).agg(q.alias("__q"))
-    return out.select(*_names(by), *[F.col("__q")[i].alias(f"q{i}") for i in range(5)])
+    """Min, quartiles (linear interpolation) and max per group, by counting
+    (:func:`wreath.operators.ranges.exact_quantiles`): no task holds a group."""
+    from wreath.operators.ranges import exact_quantiles
+
+    return exact_quantiles(df, _names(by), col, (0.0, 0.25, 0.5, 0.75, 1.0))
+
+
+def counted_median(df: DataFrame, by, col: str) -> DataFrame:
+    """(by..., max, count, median) of a column with few distinct values, such as ranks: values are
+    counted first, so a group is as large as its number of distinct values."""
+    by = _names(by)
+    n = df.groupBy(*by, col).agg(F.count(F.lit(1)).alias("__n"))
+    return n.groupBy(*by).agg(
+        F.max(col).alias("max"), F.coalesce(F.sum(F.when(F.col(col).isNotNull(), F.col("__n"))), F.lit(0)).cast("bigint").alias("count"),
+        F.percentile(F.col(col), 0.5, F.when(F.col(col).isNull(), F.lit(0)).otherwise(F.col("__n"))).alias("median"))
 
 
 def histogram(df: DataFrame, col: str, width: float, by: Sequence[str] = ()) -> DataFrame:
@@ -73,13 +84,6 @@ def dummies(df: DataFrame, col: str, values: Sequence[str], prefix: str | None =
                      *[(F.col(col) == F.lit(v)).cast("int").alias(f"{prefix}_{v}") for v in values])
 
 
-def value_indicators(df: DataFrame, key: str, col: str) -> DataFrame:
-    """Long form of :func:`dummies` for any number of values: one row per
-    (key, value) that occurs, with its count."""
-    return df.where(F.col(col).isNotNull()).groupBy(key, F.col(col).alias("value")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n"))
-
-
 def coverage_report(works: DataFrame, key: str, sources: Sequence[DataFrame]) -> DataFrame:
     """Works, works present in any source, and works missing from all."""
     covered = sources[0].select(key)

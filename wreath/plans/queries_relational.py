@@ -294,9 +294,7 @@ FROM ranks GROUP BY title_id, year
 """)
 def d6_max_count_median(spark, sf):
     """Max, count and median rank per (title, year)."""
-    return Fixtures(spark, sf).ranks.groupBy("title_id", "year").agg(
-        F.max("rank").alias("max"), F.count("rank").cast("bigint").alias("count"),
-        F.median("rank").alias("median"))
+    return ST.counted_median(Fixtures(spark, sf).ranks, ["title_id", "year"], "rank")
 
 
 @query("d7_mean_sum_list", oracle="""

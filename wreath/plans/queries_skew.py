@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wreath.operators import cohort as C
 from wreath.operators import relational as R
+from wreath.operators import stats as ST
 from wreath.plans import stages as S
 from wreath.plans.fixtures import Fixtures
 from wreath.plans.registry import query
@@ -89,3 +90,29 @@ def j16_naive_winners_hot_cohort(spark, sf):
     c = R.cohort_total(_hot_cohort(Fixtures(spark, sf)), "year", "n_win", "tot_cohort_awards")
     d = C.naive_winners(c, "work_id", seed=5, buckets=40)
     return d.groupBy("year").agg(F.sum("naive_wins").cast("bigint").alias("drawn_wins"))
+
+
+@query("c6_asof_join_hot_author", oracle="""
+WITH r AS (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_suppkey END AS author_id, l_orderkey, l_linenumber, l_shipdate, l_extendedprice FROM lineitem),
+o AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE o_custkey END AS author_id, o_orderkey, o_orderdate FROM orders),
+p AS (SELECT author_id, l_shipdate, max(l_extendedprice) AS price FROM r GROUP BY ALL)
+SELECT o.o_orderkey, o.author_id, p.price FROM o ASOF LEFT JOIN p ON o.author_id = p.author_id AND o.o_orderdate > p.l_shipdate
+""")
+def c6_asof_join_hot_author(spark, sf):
+    """As-of lookup when one key holds half of the rows of both sides: the highest price of the last day before."""
+    fx = Fixtures(spark, sf)
+    half = lambda c: F.when(F.col(c) % 2 == 0, F.lit(0)).otherwise(F.col(c)).alias("author_id")
+    right = fx.table("lineitem").select(half("l_suppkey"), "l_shipdate", F.col("l_extendedprice").alias("price"))
+    left = fx.table("orders").select("o_orderkey", half("o_custkey"), "o_orderdate")
+    return R.asof_join(left, right, "author_id", "o_orderdate", "l_shipdate", "price", method="scan").drop("o_orderdate")
+
+
+@query("d18_five_number_hot_group", oracle="""
+SELECT supp, q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3, q[5] AS q4 FROM (
+  SELECT supp, quantile_cont(CAST(l_extendedprice AS DOUBLE), [0, 0.25, 0.5, 0.75, 1]) AS q
+  FROM (SELECT CASE WHEN l_suppkey % 2 = 0 THEN 0 ELSE l_suppkey END AS supp, l_extendedprice FROM lineitem) GROUP BY supp)
+""")
+def d18_five_number_hot_group(spark, sf):
+    """Five-number summary of line prices when one supplier holds half of the lines."""
+    half = F.when(F.col("l_suppkey") % 2 == 0, F.lit(0)).otherwise(F.col("l_suppkey")).alias("supp")
+    return ST.five_number(Fixtures(spark, sf).table("lineitem").select(half, F.col("l_extendedprice").cast("double").alias("x")), "supp", "x")
