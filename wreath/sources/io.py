@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wreath.session import ensure_checkpoint_dir
+from wreath.sources.csv_splits import read_delimited
 
 # One option set for reader and writer, so that a table comes back as it was:
 # outer white space is kept, every string is quoted (so a newline at either end
@@ -24,7 +25,7 @@ from wreath.session import ensure_checkpoint_dir
 NULL_MARK = "\\N"
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "nullValue": NULL_MARK,
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-CSV_READ = {**CSV_OPTIONS, "multiLine": "true", "mode": "FAILFAST", "emptyValue": ""}
+CSV_READ = {**CSV_OPTIONS, "multiLine": "true", "mode": "FAILFAST", "emptyValue": ""}     # multiLine: line ends in fields stay as they are
 CSV_WRITE = {**CSV_OPTIONS, "quoteAll": "true", "emptyValue": ""}
 
 
@@ -33,8 +34,9 @@ def read_table(spark: SparkSession, path, fmt: str, schema: T.StructType | str |
                **opts) -> DataFrame:
     """Read one path, a glob, or a list of paths (all files one batch).
 
-    ``fmt``: parquet | json (one object per line) | csv | tsv. CSV/TSV use a
-    header and allow quoted multi-line fields.
+    ``fmt``: parquet | json (one object per line) | csv | tsv. CSV/TSV have a
+    header and quoted fields over several lines; large files are read in splits
+    (:mod:`wreath.sources.csv_splits`).
     """
     r = spark.read
     if schema is not None:
@@ -46,7 +48,7 @@ def read_table(spark: SparkSession, path, fmt: str, schema: T.StructType | str |
         if fmt == "tsv":
             o["sep"] = "\t"
         o.update(opts)
-        return r.options(**o).csv(path)
+        return read_delimited(spark, path, schema, o)
     if fmt == "json":
         return r.options(**opts).json(path)
     if fmt == "parquet":
