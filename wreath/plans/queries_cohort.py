@@ -150,7 +150,7 @@ def i23_label_fallback(spark, sf):
 
 # ---------------------------------------------------------------- J13 / C10 / D23
 def _reduced(fx):
-    return S.one_row_per_work(_clean(fx).join(_stats(fx), "work_id", "left"))
+    return S.work_profiles(_clean(fx).join(_stats(fx), "work_id", "left"))
 
 
 @query("j13_count_encode", oracle="WITH " + FEATURES + """,

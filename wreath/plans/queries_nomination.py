@@ -262,7 +262,7 @@ FROM first_rows f LEFT JOIN author_data a USING (work_id)
 def j18_reduce_authors(spark, sf):
     """One row per work: mean age, gender and country lists, summed prior awards."""
     fx = Fixtures(spark, sf)
-    return S.one_row_per_work(_clean(fx).join(_stats(fx), "work_id", "left"))
+    return S.work_profiles(_clean(fx).join(_stats(fx), "work_id", "left"))
 
 
 @query("j19_fix_nom_counts", oracle="WITH " + CLEAN + """
@@ -270,7 +270,7 @@ SELECT * EXCLUDE (n_nom), n_nom + n_win AS n_nom_all FROM clean
 """)
 def j19_fix_nom_counts(spark, sf):
     """n_nom_all = n_nom + n_win, n_nom dropped."""
-    return S.total_nominations(_clean(Fixtures(spark, sf)))
+    return _clean(Fixtures(spark, sf)).withColumn("n_nom_all", S.all_nominations()).drop("n_nom")
 
 
 @query("j17_cohort_features", oracle="WITH " + FEATURES + """

@@ -178,7 +178,7 @@ SELECT DISTINCT work_id, CAST(month(try_strptime(pub_date, {ISO})) AS INT) AS mo
 def i12_month_of_date_string(spark, sf):
     """Month of an ISO date string (null when missing)."""
     n = Fixtures(spark, sf).nom.select("work_id", "pub_date").distinct()
-    return S.month_of_publication(n).distinct()
+    return n.withColumn("month", S.publication_month()).drop("pub_date").distinct()
 
 
 # ---------------------------------------------------------------- I13 / I14
