@@ -454,7 +454,7 @@ def test_raking_matches_brute_force(spark):
 
 
 def test_mixing_meets_its_targets(spark):
-    m = RK.mixing_probabilities(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), whole_above=1.0).select("__mix.*").toPandas()
+    m = RK.mixing_probabilities(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).select("__mix.*").toPandas()
     weight = m.tokens * m.probability
     for axis in ("source", "lang", "topic"):
         own = m.groupby(axis).tokens.sum()
@@ -480,7 +480,7 @@ def test_mixing_meets_the_targets_of_rare_values(spark, thinned):
 def test_contradicting_targets_are_told(spark):
     rows = [(i, "word " * (10 + i % 7), lang, lang, 1) for i, lang in enumerate("aabbbbcccccccc")]
     axes = {"source": F.col("source"), "lang": F.col("lang")}
-    frames = {a: spark.createDataFrame([("=a", s), ("=b", .3), ("=c", .7 - s)], f"{a} string, share double") for a, s in (("source", .1), ("lang", .3))}
+    frames = {a: spark.createDataFrame([("a", s), ("b", .3), ("c", .7 - s)], f"{a} string, share double") for a, s in (("source", .1), ("lang", .3))}
     docs = spark.createDataFrame(rows, DOCS)
     with pytest.warns(UserWarning, match=r"targets not reached in 2 rounds: lang '.' .*, source 'a' \+200.00%"):
         assert RK.mixing_probabilities(docs, axes=axes, targets=frames, max_rounds=2).count() == 14

@@ -366,3 +366,52 @@ def test_align_tokens_counts(spark, pair):
 def test_alignment_empty(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert TA.counted_links(TA.linked_documents(empty)).collect() == []
+
+
+# --- operator 8: given targets and clashing columns; labels with both values -----
+
+MIX = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_given_targets(spark):
+    from wreath.llm import raking as RK
+
+    words = lambda n: " ".join(["w"] * n)          # noqa: E731
+    rows = [(i, words(10 + i % 5), "en", "a" if i % 4 else "b", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, MIX)
+    axes = {"source": F.col("source")}
+    to = lambda *rs: {"source": spark.createDataFrame(list(rs), "source string, share double")}
+    got = {(r["m"]["source"], r["m"]["probability"]) for r in RK.mixing_probabilities(docs, axes=axes, targets=to(("a", 0.5), ("b", 0.5)), out_col="m").select("m").collect()}
+    tokens = Counter()
+    for _, t, _, s, _ in rows:
+        tokens[s] += len(t.split())
+    assert {s for s, _ in got} == {"a", "b"} and dict(got)["b"] == 1.0
+    assert abs(dict(got)["a"] - tokens["b"] / tokens["a"]) < 1e-3
+    only = RK.mixing_probabilities(docs, axes=axes, targets=to(("a", 1.0), ("b", 0.0)), out_col="m").groupBy("source").agg(F.max("m.kept").alias("k")).collect()
+    assert {r["source"]: r["k"] for r in only} == {"a": True, "b": False}
+    for bad in (to(("a", 1.0)), to(("a", 0.5), ("b", 0.4)), to(("a", 0.5), ("b", 0.25), ("c", 0.25)), to(("a", 0.5), ("a", 0.5)), to(("a", 1.5), ("b", -0.5))):
+        with pytest.raises(ValueError):
+            RK.mixing_probabilities(docs, axes=axes, targets=bad)
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    from wreath.llm import raking as RK
+
+    names = ["__source", "__mix", "__p", "__toxicity", "row", "mix", "cell", "chance", "p", "of", "a.b"]
+    docs = spark.createDataFrame([(i, "some words here", "en", "a", 1) for i in range(20)], MIX).select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    kept = RK.mix_sources(docs)
+    assert kept.columns == docs.columns and [r["__mix"] for r in kept.limit(1).collect()] == [1]
+    with pytest.raises(ValueError):
+        RK.mixing_probabilities(docs)
+
+
+def test_conflicting_labels_do_not_depend_on_partitions(spark):
+    from wreath.llm.common import labelled_sample
+
+    docs = spark.createDataFrame([(i, "text") for i in range(200)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i in range(200) for y in ((0, 1) if i % 2 else (1,))], "doc_id long, toxic int")
+    found = set()
+    for parts in (1, 3, 7):
+        sample, count, _ = labelled_sample(docs, labels.repartition(parts), "doc_id", "text", "toxic", 10_000, 0)
+        found.add((tuple(sorted(count.items())), tuple(sorted((r["__id"], r["__y"]) for r in sample.collect()))))
+    assert len(found) == 1 and next(iter(found))[0] == ((0, 100), (1, 100))

@@ -106,10 +106,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """(id, y, text) of about ``max_rows`` labelled documents per label 0 and 1,
     the numbers of labels, and the shares drawn.
 
-    The draw is made on the labels, by a hash of the id, so what is broadcast to
+    An id with both labels counts as 0. The draw is made on the labels, by a hash of the id, so what is broadcast to
     the scan of the documents is bounded by the sample and no text is shuffled."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(
-        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null").dropDuplicates(["__id"])
+        F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).where("__id is not null").groupBy("__id").agg(
+        F.min("__y").alias("__y"))
     count = {r["__y"]: r["count"] for r in known.groupBy("__y").count().collect()}
     share = {y: bounded_share(n, 0, max_rows, 1) for y, n in count.items()}
     drawn = known.where(unit_hash("__id", F.lit(seed)) < F.when(F.col("__y") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
