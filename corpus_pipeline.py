@@ -3,11 +3,15 @@
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 last return the columns of ``documents``. :func:`run` writes each result as
 Parquet to the shared folder and reads it back as the next stage's input.
+
+Null and empty texts pass every stage (a null text has no words, tokens or evidence); repeated rows
+are one group of near duplicates; other columns pass through, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wreath.llm import feistel_shards, kneser_ney, prob_minhash, raking, winnowing
 from wreath.llm.common import fold, prepare, read, stored
@@ -20,7 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity stays below one half."""
     prepare(spark)
     model = kneser_ney.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
-    return kneser_ney.score_toxicity(docs, model, out_col="__toxicity").where("__toxicity < 0.5").drop("__toxicity")
+    score = "toxicity"
+    while score in docs.columns:       # documents may have a column of that name
+        score += "_"
+    return kneser_ney.score_toxicity(docs, model, out_col=score).where(F.col(score) < 0.5).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,5 +66,5 @@ def test_ranker_learns_signal(spark):
         win = int(np.argmax(xs + rng.normal(0, 0.3, 6)))
         rows += [(c, float(x), int(i == win)) for i, x in enumerate(xs)]
     df = spark.createDataFrame(rows, "c int, x double, n int")
-    beta = C.fit_cohort_ranker(df, "c", ["x"], "n", steps=15, lr=1.0)
+    beta = C.fit_cohort_ranker(df, "c", ["x"], "n")
     assert beta[0] > 0.5

@@ -80,7 +80,7 @@ def test_alignment_chunks_do_not_matter(spark, vecs):
     cents = VO.mean_vector(vecs, "id", "v").withColumnRenamed("id", "topic")  # 60 centroids
     for kw in (dict(), dict(p=2, weighted=True, mod_sim=True), dict(p=float("inf"))):
         a = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", **kw).collect()}
-        b = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", chunk=7, **kw).collect()}
+        b = {r.id: r.alignment for r in VO.alignment(vecs, cents, "v", block_bytes=64, pass_bytes=200, **kw).collect()}
         assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a), kw
 
 
@@ -106,3 +106,11 @@ def test_bias_direction_is_the_minimum_of_the_squared_hinge(spark):
 def test_project_out_keeps_null_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, None)], "id int, v array<double>")
     assert VO.project_out(df, "v", [1.0, 0.0, 0.0]).orderBy("id").collect()[1].v is None
+
+
+def test_alignment_moves_no_vectors(spark, vecs):
+    cents = spark.createDataFrame([(i, [float(i), 1.0, 2.0, 0.5], 3) for i in range(4)], "topic int, centroid array<double>, size long")
+    df = spark.createDataFrame([(i, [1.0, float(i), 0.0, 1.0]) for i in range(50)], "id int, v array<double>").repartition(3)
+    out = VO.alignment(df.select("id", "v"), cents, "v")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1          # the repartition above

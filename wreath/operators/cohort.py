@@ -151,49 +151,59 @@ def classification_kpis(df: DataFrame, y: str, yhat: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- J22
-def fit_cohort_ranker(df: DataFrame, cohort, features: Sequence[str], n: str,
-                      steps: int = 50, lr: float = 0.5, l2: float = 0.0) -> list[float]:
+def fit_cohort_ranker(df: DataFrame, cohort, features: Sequence[str], n: str, steps: int = 50,
+                      tolerance: float = 1e-9, l2: float = 0.0) -> list[float]:
     """Linear conditional logit: score = x·β, p = softmax of score within the
-    cohort; minimise the mean over cohorts of Σ_i N_i/N_c (-ln p_i) by
-    gradient descent.
-
-    Gradient = mean_c [Σ_i p_i x_i - Σ_i (N_i/N_c) x_i]. The second term is
-    fixed and computed once. Per step: a per-cohort max (stability shift),
-    then per-cohort Σ e_i and Σ e_i x_i, then one global sum of the ratios:
-    aggregates only, so hot cohorts combine map-side. The working set is
-    reliably checkpointed once; β (len(features) numbers) is the only thing
-    that reaches the driver, entering each step as literals, so the plan does
-    not grow.
-    """
-    from wreath.session import cut_lineage
-
-    cohort = _names(cohort)
-    base = df.select(*cohort, *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
-                                for f in features],
-                     F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("__n"))
+    cohort; minimises the mean over cohorts of Σ_i N_i/N_c (-ln p_i) (+ l2 |β|²/2 on
+    standardised features) by Newton steps until the gradient vanishes; raises when
+    ``steps`` do not suffice (separable data have no finite optimum without ``l2``).
+
+    With E and C the mean and covariance of x under p, a cohort's gradient is E - Σ (N_i/N_c) x_i and
+    its Hessian C. Each step is one pair of aggregates over the stored rows: a per-cohort maximum, then
+    sums of e, e x and e x xᵀ by cohort, reduced to d + d² + 1 numbers. A step that does not lower the loss
+    is halved. β enters each step as literals, so plans do not grow."""
+    from wreath.session import materialize
+
+    cohort, d = _names(cohort), len(features)
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    base = df.select(*cohort, *[value(f).alias(f"x{i}") for i, f in enumerate(features)], value(n).alias("__n"))
     nc = base.groupBy(*cohort).agg(F.sum("__n").alias("__nc"))
     base = base.join(nc.filter(F.col("__nc") > 0), cohort, "inner")
-    st = base.agg(*[F.avg(f).alias(f"m_{f}") for f in features],
-                  *[F.stddev_pop(f).alias(f"s_{f}") for f in features]).first()
-    mu = [st[f"m_{f}"] or 0.0 for f in features]
-    sd = [(st[f"s_{f}"] or 0.0) or 1.0 for f in features]
-    z = cut_lineage(base.select(*cohort, (F.col("__n") / F.col("__nc")).alias("__y"),
-                                *[((F.col(f) - m) / s).alias(f)
-                                  for f, m, s in zip(features, mu, sd)]))
-    fixed = z.agg(F.count_distinct(*[F.col(c) for c in cohort]).alias("__C"),
-                  *[F.sum(F.col("__y") * F.col(f)).alias(f) for f in features]).first()
-    n_cohorts = max(int(fixed["__C"]), 1)
-    target = np.array([fixed[f] or 0.0 for f in features])
-    beta = np.zeros(len(features))
+    xs = [f"x{i}" for i in range(d)]
+    st = base.agg(*[F.avg(x).alias(f"m_{x}") for x in xs], *[F.stddev_pop(x).alias(f"s_{x}") for x in xs]).first()
+    mu, sd = [st[f"m_{x}"] or 0.0 for x in xs], [st[f"s_{x}"] or 1.0 for x in xs]
+    z = materialize(base.select(*cohort, (F.col("__n") / F.col("__nc")).alias("__y"), *[((F.col(x) - m) / s).alias(x) for x, m, s in zip(xs, mu, sd)]))
+    fixed = z.agg(F.count_distinct(*[F.col(c) for c in cohort]).alias("__C"), *[F.sum(F.col("__y") * F.col(x)).alias(x) for x in xs]).first()
+    if not fixed["__C"]:
+        raise ValueError("no cohort has a win")
+    target = np.array([fixed[x] for x in xs]) / fixed["__C"]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+
+    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, gradient and Hessian."""
+        scored = z.withColumn("__s", sum((F.col(x) * float(b) for x, b in zip(xs, beta)), F.lit(0.0)))
+        e = scored.join(scored.groupBy(*cohort).agg(F.max("__s").alias("__m")), cohort).withColumn("__e", F.exp(F.col("__s") - F.col("__m")))
+        per = e.groupBy(*cohort).agg(F.max("__m").alias("__m"), F.sum("__e").alias("__z"), *[F.sum(F.col("__e") * F.col(x)).alias(x) for x in xs],
+                                     *[F.sum(F.col("__e") * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}_{j}") for i, j in pairs])
+        mean = lambda x: F.col(x) / F.col("__z")
+        r = per.agg(F.avg(F.col("__m") + F.log("__z")).alias("l"), *[F.avg(mean(x)).alias(x) for x in xs],
+                    *[F.avg(mean(f"c{i}_{j}") - mean(f"x{i}") * mean(f"x{j}")).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        hessian = np.zeros((d, d))
+        for i, j in pairs:
+            hessian[i, j] = hessian[j, i] = r[f"c{i}_{j}"]
+        return (r["l"] - float(target @ beta) + l2 * float(beta @ beta) / 2, np.array([r[x] for x in xs]) - target + l2 * beta,
+                hessian + l2 * np.eye(d))
+
+    beta = np.zeros(d)
+    loss, grad, hessian = at(beta)
     for _ in range(steps):
-        score = sum((F.col(f) * float(b) for f, b in zip(features, beta)), F.lit(0.0))
-        zs = z.withColumn("__s", score)
-        mx = zs.groupBy(*cohort).agg(F.max("__s").alias("__m"))
-        e = zs.join(mx, cohort).withColumn("__e", F.exp(F.col("__s") - F.col("__m")))
-        per = e.groupBy(*cohort).agg(F.sum("__e").alias("__z"),
-                                     *[F.sum(F.col("__e") * F.col(f)).alias(f) for f in features])
-        g = per.agg(*[F.sum(F.col(f) / F.col("__z")).alias(f) for f in features]).first()
-        grad = (np.array([g[f] or 0.0 for f in features]) - target) / n_cohorts + l2 * beta
-        beta = beta - lr * grad
-    # back to the raw feature scale
-    return [float(b / s) for b, s in zip(beta, sd)]
+        if np.abs(grad).max() <= tolerance:
+            return [float(b / s) for b, s in zip(beta, sd)]       # back to the raw feature scale
+        move = np.linalg.lstsq(hessian, grad, rcond=1e-12)[0]
+        for _ in range(30):
+            tried = at(beta - move)
+            if tried[0] <= loss + 1e-12 * abs(loss):
+                break
+            move = move / 2
+        beta, (loss, grad, hessian) = beta - move, tried
+    raise RuntimeError(f"the gradient has not vanished after {steps} steps: {np.abs(grad).max():.3g}")

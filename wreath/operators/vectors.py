@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,8 +74,6 @@ def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, step
         V.as_double(vec).alias("x"), F.when(F.col(label).cast("double") > 0, 1.0).otherwise(-1.0).alias("y"), F.col("__s").alias("s")))
 
     def totals(w):
-        import pyarrow as pa
-
         def part(batches):
             gram, right, grad, loss = np.zeros((d + 1, d + 1)), np.zeros(d + 1), np.zeros(d + 1), 0.0
             for b in batches:
@@ -142,7 +141,51 @@ def project_out(df: DataFrame, vec: str, w: Sequence[float], mode: str = "orthog
 
 
 # --------------------------------------------------------------------------- C16 / J14
-CHUNK_CENTROIDS = 256
+BLOCK_BYTES = 64 << 20       # a block of centroids that is sent to the tasks as one matrix
+PASS_BYTES = 256 << 20       # blocks that one pass over the vectors meets
+
+
+def _centroid_blocks(centroids: DataFrame, centroid: str, weight: Column, order: str, dim: int, block_bytes: int):
+    """Matrices of centroids with their weights, each of about ``block_bytes``, fetched one by one."""
+    n = centroids.count()
+    blocks = max(1, -(-n * dim * 8 // block_bytes))
+    kept = centroids.select(F.col(order).alias("o"), V.as_double(centroid).alias("c"), weight.cast("double").alias("w"),
+                            F.pmod(F.xxhash64(F.col(order)), F.lit(blocks)).alias("b"))
+    if blocks > 1:
+        from wreath.session import materialize
+        kept = materialize(kept)
+    for b in range(blocks):
+        t = kept.where(F.col("b") == b).orderBy("o").select("c", "w").toArrow().combine_chunks()
+        if t.num_rows:
+            flat = t["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            yield flat.reshape(t.num_rows, -1), t["w"].to_numpy()
+
+
+def _block_udf(spark, matrix: np.ndarray, weights: np.ndarray, metric: str, p: float, weighted: bool, mod_sim: bool, gamma: float | None):
+    """Sum of powers (or maximum) of a vector's similarities with one block."""
+    shared = spark.sparkContext.broadcast((matrix, weights))
+
+    def block(vectors: pa.Array) -> pa.Array:
+        c, w = shared.value
+        known = vectors.is_valid().to_numpy(zero_copy_only=False)
+        x = np.asarray(vectors.drop_null().flatten().to_numpy(zero_copy_only=False), float).reshape(-1, c.shape[1])
+        out = np.full(len(vectors), np.nan)
+        step = max(1, (8 << 20) // (8 * len(c)))               # similarities of some rows at a time
+        parts = []
+        for a in range(0, len(x), step):
+            v = x[a: a + step]
+            s = v @ c.T
+            if metric == "cosine":
+                s /= np.sqrt((v * v).sum(1))[:, None] * np.sqrt((c * c).sum(1))[None, :]
+            elif metric == "rbf":
+                s = np.exp(-(1.0 if gamma is None else gamma) * np.maximum(0.0, (v * v).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2 * s))
+            s = np.abs(s) if mod_sim else s
+            parts.append(s.max(1) if p == float("inf") else (s if p == 1 else s ** p) @ (w if weighted else np.ones(len(w))))
+        if parts:
+            out[known] = np.concatenate(parts)
+        return pa.array(out, mask=~known)
+
+    return F.arrow_udf(block, "double")
 
 
 def _terms(cents: Column, x: Column, x_norm: Column, metric: str, gamma: float | None, mod_sim: bool):
@@ -194,36 +237,40 @@ def alignment(vectors: DataFrame, centroids: DataFrame, vec: str, by: Sequence[s
               metric: str = "cosine", p: float = 1, weighted: bool = False,
               mod_sim: bool = False, gamma: float | None = None, out: str = "alignment",
               centroid: str = "centroid", size: str | None = "size", order: str = "topic",
-              chunk: int = CHUNK_CENTROIDS) -> DataFrame:
+              block_bytes: int = BLOCK_BYTES, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """Score every vector against the centroids of its ``by`` key (or all
     centroids when ``by`` is empty): (Σ_k s_k^p [w_k])^(1/p) with similarity s
     (abs'ed when ``mod_sim``) and topic share w; p = inf gives max_k s_k.
 
     With ``by``: centroid sets are collapsed to one row per key and joined on
-    the key. Without: the centroids lie in chunks of about ``chunk`` (one row
-    each, by a hash of the topic id), every vector meets every chunk through
-    an exploded chunk number, and the partial sums or maxima are combined per
-    vector under a row number made here. Exact either way: the p-norm sum and
-    the max decompose over chunks. No centroids give 0, or null for p = inf.
+    the key. Without: the vectors stay where they are and blocks of centroids come to
+    them as matrices of at most ``block_bytes``; partial sums or maxima are combined in the
+    row. Blocks of ``pass_bytes`` in all are met in one pass; if there are more, the
+    rows are stored with what they have so far and passed again, so what tasks hold is bounded.
+    No centroids (and a null vector) give 0, or null for p = inf.
     """
     by = list(by)
-    x, norm = V.as_double(F.col(vec)), F.col("__norm")
-    partial = _partial(F.col("__cents"), x, norm, metric, p, weighted, mod_sim, gamma)
-    normed = vectors.withColumn("__norm", V.l2_norm(vec))
+    if metric not in ("cosine", "linear", "rbf"):
+        raise ValueError(f"unknown metric {metric}")
     if by:
-        sets = centroid_sets(centroids, by, centroid, size, order)
-        j = normed.join(sets, by, "left")
+        x, norm = V.as_double(F.col(vec)), F.col("__norm")
+        partial = _partial(F.col("__cents"), x, norm, metric, p, weighted, mod_sim, gamma)
+        j = vectors.withColumn("__norm", V.l2_norm(vec)).join(centroid_sets(centroids, by, centroid, size, order), by, "left")
         return j.withColumn(out, _rooted(partial, p)).drop("__cents", "__norm")
-    tot = centroids.agg(F.count(F.lit(1)).alias("n"), (F.sum(size) if size else F.count(F.lit(1))).alias("t")).first()
-    chunks = max(1, -(-tot["n"] // chunk))
-    weight = F.col(size) / F.lit(float(tot["t"] or 1)) if size else F.lit(1.0)
-    part = F.pmod(F.xxhash64(F.col(order)), F.lit(chunks)).cast("int")
-    sets = centroid_sets(centroids.withColumn("__chunk", part), ["__chunk"], centroid, size, order, weight)
-    parts = (normed.select(F.monotonically_increasing_id().alias("__row"), F.struct(*vectors.columns).alias("__v"), vec, "__norm")
-             .withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-             .join(sets, "__chunk", "left").select("__row", "__v", partial.alias("__s")))
-    merged = parts.groupBy("__row").agg(F.any_value("__v").alias("__v"), (F.max("__s") if p == float("inf") else F.sum("__s")).alias("__s"))
-    return merged.select("__v.*", _rooted(F.col("__s"), p).alias(out))
+    from wreath.session import materialize
+
+    total = centroids.agg((F.sum(size) if size else F.count(F.lit(1))).alias("t"), F.max(F.size(centroid)).alias("d")).first()
+    weight = F.col(size) / F.lit(float(total["t"] or 1)) if size else F.lit(1.0)
+    infinite, passed = p == float("inf"), 0
+    result = vectors.select(F.struct(*[F.col(f"`{c}`") for c in vectors.columns]).alias("r"), F.lit(None).cast("double").alias("s"))
+    for matrix, weights in _centroid_blocks(centroids, centroid, weight, order, total["d"] or 0, block_bytes) if total["d"] else ():
+        if passed and passed + matrix.nbytes > pass_bytes:
+            result, passed = materialize(result), 0
+        passed += matrix.nbytes
+        part = _block_udf(vectors.sparkSession, matrix, weights, metric, p, weighted, mod_sim, gamma)(F.transform(F.col("r")[vec], lambda x: x.cast("double")))
+        both = F.greatest(F.col("s"), F.col("part")) if infinite else F.coalesce(F.col("s"), F.lit(0.0)) + F.col("part")
+        result = result.select("r", "s", part.alias("part")).select("r", both.alias("s"))
+    return result.select("r.*", _rooted(F.col("s"), p).alias(out))
 
 
 # --------------------------------------------------------------------------- K5

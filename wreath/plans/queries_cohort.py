@@ -300,13 +300,29 @@ def j21_classification_kpis(spark, sf):
                     F.round("f1", 6).alias("f1"))
 
 
-@query("j22_fit_cohort_ranker")
+@query("j22_fit_cohort_ranker", oracle="""
+WITH RECURSIVE base AS (SELECT year, CAST(n_win AS DOUBLE) / sum(n_win) OVER (PARTITION BY year) AS y, coalesce(score, 0) AS a, coalesce(age, 0) AS b,
+       sum(n_win) OVER (PARTITION BY year) AS nc FROM cohort QUALIFY nc > 0),
+sc AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM base),
+z AS (SELECT year, y, (a - ma) / sa AS a, (b - mb) / sb AS b FROM base, sc),
+t AS (SELECT avg(t1) AS t1, avg(t2) AS t2 FROM (SELECT year, sum(y * a) AS t1, sum(y * b) AS t2 FROM z GROUP BY year)),
+newton AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS b1, CAST(0 AS DOUBLE) AS b2
+  UNION ALL
+  SELECT k + 1, b1 - (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12), b2 - (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12)
+  FROM (SELECT k, b1, b2, avg(e1) - max(t1) AS g1, avg(e2) - max(t2) AS g2, avg(e11 - e1 * e1) AS h11, avg(e12 - e1 * e2) AS h12, avg(e22 - e2 * e2) AS h22
+        FROM (SELECT k, b1, b2, year, sum(e * a) / sum(e) AS e1, sum(e * b) / sum(e) AS e2, sum(e * a * a) / sum(e) AS e11,
+                     sum(e * a * b) / sum(e) AS e12, sum(e * b * b) / sum(e) AS e22
+              FROM (SELECT k, b1, b2, year, a, b, exp(b1 * a + b2 * b) AS e FROM newton, z WHERE k < 25) GROUP BY k, b1, b2, year), t
+        GROUP BY k, b1, b2))
+SELECT 'score' AS feature, round(b1 / sa, 6) AS coefficient FROM newton, sc WHERE k = 25
+UNION ALL SELECT 'age', round(b2 / sb, 6) FROM newton, sc WHERE k = 25
+""")
 def j22_fit_cohort_ranker(spark, sf):
-    """Conditional-logit coefficients for (score, age) fitted by gradient
-    steps (rows-only: one row per feature)."""
+    """Conditional-logit coefficients for (score, age) at the optimum."""
     c = Fixtures(spark, sf).cohort
-    beta = C.fit_cohort_ranker(c, "year", ["score", "age"], "n_win", steps=20, lr=0.5)
-    return spark.createDataFrame([(f, float(b)) for f, b in zip(["score", "age"], beta)],
+    beta = C.fit_cohort_ranker(c, "year", ["score", "age"], "n_win")
+    return spark.createDataFrame([(f, round(float(b), 6)) for f, b in zip(["score", "age"], beta)],
                                  "feature STRING, coefficient DOUBLE")
 
 

@@ -105,12 +105,12 @@ SELECT v.vec_id, list(round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[])
 FROM vec v CROSS JOIN cent c GROUP BY v.vec_id
 """)
 def c16_all_pairs_similarity(spark, sf):
-    """Every vector against every centroid: the (bounded) centroid set is
-    inlined as a literal, so each row computes its similarities in place."""
+    """Every vector with its similarities to all centroids in order: the set is one row, an array that
+    AQE broadcasts when its measured size allows; nothing of it reaches the driver."""
     fx = Fixtures(spark, sf)
-    cents = sorted(_centroids(fx).collect(), key=lambda r: r["topic"])
-    lit = F.array(*[VO.lit_vector(r["centroid"]) for r in cents])
-    return fx.vec.select("vec_id", F.transform(lit, lambda c: F.round(V.cosine("embedding", c), 6)).alias("sims"))
+    cents = VO.centroid_sets(_centroids(fx).withColumn("all", F.lit(0)), ["all"])
+    v = fx.vec.select("vec_id", "embedding", F.lit(0).alias("all"))
+    return v.join(cents, "all").select("vec_id", F.transform("__cents", lambda c: F.round(V.cosine("embedding", c["centroid"]), 6)).alias("sims"))
 
 
 @query("j3_project_out", oracle="WITH " + DIRECTION + """
