@@ -72,3 +72,22 @@ def test_fold_ascii_equals_casefold_then_ascii(spark):
     rows = df.select(TX.fold_ascii(F.col("x")).alias("a"),
                      TX.to_ascii(TX.casefold(F.col("x"))).alias("b")).collect()
     assert all(r.a == r.b for r in rows)
+
+
+def test_markup_shapes():
+    from wreath.functions.markup import page_text, section_text
+
+    for page, want in [
+        ('<p><span class="error">E<span>1<span>2<span>3</span></span></span> tail</span>x</p>', "x"),
+        ('<p title="a>b">txt</p>', "txt"),
+        ("<p>a &amp b &colon; &nosuch; &#x1F600;</p>", "a & b : &nosuch; \U0001F600"),
+        ("<p>one<p>two", "one\ntwo"),
+        ("<div><p>in</div>out<p>next</p>", "in\nnext"),
+        ("<p>1 < 2 <b>and</b> 3 > 2<br>x<img alt='<p>'>y</p></p>z", "1 < 2 and 3 > 2xy"),
+        ("<p>a<!-- <p>no</p> -->b<script>if (a<b) '<p>'</script>c<style>p{}</style></p>", "abc"),
+        ("<p><span class='x error y'>no</span><span class=errors>yes</span></p>", "yes"),
+        ('<p><span class="error">never closed</p><p>after</p>', "\nafter"),
+        ("<p>unclosed <b", "unclosed <b"), ("", ""), ("<p></p>", ""), ("plain", "")]:
+        assert page_text(page) == want, page
+    assert page_text("<p>" + "<b>x</b>" * 20_000 + '<a title="' + "y" * 100_000) == "x" * 20_000 + '<a title="' + "y" * 100_000
+    assert section_text("<p>i</p><h3>PLOT &amp; more</h3><p>a</p><h4>Part</h4><p>b</p><h2>Next</h2><p>c</p>", ["plot"]) == "a\nb"

@@ -7,7 +7,6 @@ oracles have rules of their own.
 
 from __future__ import annotations
 
-import html.entities
 import re
 import unicodedata
 from collections.abc import Sequence
@@ -16,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wreath.functions import markup
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -186,82 +187,16 @@ def any_prefix(c, prefixes: Sequence[str]) -> Column:
 
 
 # ------------------------------------------------------------------ I13 / I14
-NOISE = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-# a span whose class list, in either kind of quotes, has the word "error"; spans inside it go with it
-_ERROR_CLASS = r"""class\s*=\s*(?:"(?:[^"]*\s)?error(?:\s[^"]*)?"|'(?:[^']*\s)?error(?:\s[^']*)?'|error(?=[\s>]))"""
-_INNER = r"(?:[^<]++|<(?!/?span\b))*+"
-ERROR_SPAN = (rf"(?is)<span\b[^>]*\b{_ERROR_CLASS}[^>]*>{_INNER}"
-              rf"(?:<span\b[^>]*>{_INNER}(?:<span\b[^>]*>{_INNER}</span>{_INNER})*+</span>{_INNER})*+</span>")
-# A paragraph runs from <p ...> to the next <p or </p (implicit close).
-PARAGRAPH = r"(?i)<p(?:\s[^>]*)?>([^<]*+(?:<(?!/?p[\s>])[^<]*+)*+)"
-TAG = r"<[^>]*>"
-REFERENCE = r"&(#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z][A-Za-z0-9]*);"
-
-
-def _named_references() -> Column:
-    """The named character references of HTML 4 and ``apos``."""
-    items = [("apos", 39), *sorted(html.entities.name2codepoint.items())]
-    return F.expr("map(" + ", ".join(f"'{n}', '\\u{cp:04x}'" for n, cp in items) + ")")
-
-
-def _character(code: Column) -> Column:
-    """Character of a code point, through JSON escapes (a surrogate pair above U+FFFF)."""
-    def unit(x):
-        return F.concat(F.lit("\\u"), F.lpad(F.hex(x), 4, "0"))
-
-    pair = F.concat(unit(F.lit(0xD800) + F.shiftright(code - 0x10000, 10)), unit(F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)))
-    text = F.when(code < 0x10000, unit(code)).otherwise(pair)
-    return F.from_json(F.concat(F.lit('["'), text, F.lit('"]')), "array<string>")[0]
-
-
-def decode_entities(c) -> Column:
-    """Numeric and named character references decoded; unknown ones stay. The
-    ampersand's own come last, so that what they uncover stays as it is."""
-    c = _col(c)
-    named = _named_references()
-
-    def decoded(name):
-        code = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
-            name.startswith("#"), F.substr(name, F.lit(2))).cast("long")
-        ok = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(name.startswith("#"), F.when(ok, _character(code))).otherwise(F.try_element_at(named, name))
-
-    def late(name):
-        return name.isin("amp", "#38", "#x26", "#X26")
-
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(REFERENCE), 1))
-    ordered = F.concat(F.filter(found, lambda n: ~late(n)), F.filter(found, late))
-    out = F.aggregate(ordered, c, lambda acc, n: F.replace(
-        acc, F.concat(F.lit("&"), n, F.lit(";")), F.coalesce(decoded(n), F.concat(F.lit("&"), n, F.lit(";")))))
-    return F.when(c.contains("&"), out).otherwise(c)
-
-
 def paragraph_text(html_col) -> Column:
-    """Plain text of every paragraph, joined by newlines, after removing
-    scripts, styles, comments and ``span.error`` elements."""
-    h = F.regexp_replace(F.regexp_replace(_col(html_col), NOISE, ""), ERROR_SPAN, "")
-    paras = F.regexp_extract_all(h, F.lit(PARAGRAPH), 1)
-    return decode_entities(F.array_join(F.transform(paras, lambda p: F.regexp_replace(p, TAG, "")), "\n"))
+    """Plain text of every paragraph, joined by newlines, without scripts, styles, comments
+    and ``span.error`` elements (:mod:`wreath.functions.markup`)."""
+    return markup.paragraph_text(_col(html_col))
 
 
 def synopsis(html_col, prefixes: Sequence[str]) -> Column:
     """Text of the first section (headings of level 2 to 6; level 1 is the
-    page's title) whose heading passes
-    :func:`any_prefix`, with its subsections (deeper headings up to the next of
-    its own level); without such a section, the intro (before the first
-    heading); null when the chosen part has no paragraph text. An empty
+    page's title) whose case-folded heading begins with one of ``prefixes``, with its
+    subsections (deeper headings up to the next of its own level); without such a section, the
+    intro (before the first heading); null when the chosen part has no paragraph text. An empty
     synopsis section gives null, never the intro."""
-    parts = F.split(_col(html_col), r"(?i)<h(?=[2-6][\s>])")
-    intro = F.get(parts, 0)
-    sections = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda s: F.struct(
-        F.substr(s, F.lit(1), F.lit(1)).cast("int").alias("level"),
-        F.trim(decode_entities(F.regexp_replace(F.regexp_extract(s, r"(?is)^[^>]*>(.*?)</h[1-6]>", 1), TAG, ""))).alias("heading"),
-        F.regexp_replace(s, r"(?is)^[^>]*>.*?</h[1-6]>", "").alias("body")))
-    at = F.array_position(F.transform(sections, lambda s: any_prefix(s["heading"], prefixes)), True).cast("int")
-    chosen = F.get(sections, at - 1)
-    after = F.slice(sections, at + 1, F.size(sections))
-    stop = F.array_position(F.transform(after, lambda s: s["level"] <= chosen["level"]), True).cast("int")
-    inner = F.when(stop > 0, F.slice(after, F.lit(1), F.greatest(stop - 1, F.lit(0)))).otherwise(after)
-    body = F.concat(chosen["body"], F.array_join(F.transform(inner, lambda s: s["body"]), ""))
-    text = F.when(at > 0, paragraph_text(body)).otherwise(paragraph_text(intro))
-    return F.nullif(text, F.lit(""))
+    return markup.synopsis(_col(html_col), prefixes)

@@ -39,11 +39,12 @@ def _duck_entities(x: str) -> str:
 
 
 def _duck_paragraphs(x: str) -> str:
-    """Cut at every paragraph tag and keep what stands before the closing one."""
+    """Cut at every paragraph tag and keep what stands before the closing one, or before the
+    end of the article that the pages' paragraphs stand in."""
     clean = f"regexp_replace({x}, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g')"
     clean = f"regexp_replace({clean}, '(?s)<span[^>]*class=\"error\"[^>]*>[^<]*</span>', '', 'g')"
     cut = f"string_split_regex({clean}, '<p(>|\\s[^>]*>)')[2:]"
-    plain = _duck_entities("regexp_replace(regexp_extract(p, '(?s)^(.*?)(</p>|$)', 1), '<[^>]*>', '', 'g')")
+    plain = _duck_entities("regexp_replace(regexp_extract(p, '(?s)^(.*?)(</p>|</article>|$)', 1), '<[^>]*>', '', 'g')")
     return f"array_to_string(list_transform({cut}, lambda p: {plain}), chr(10))"
 
 
