@@ -49,7 +49,7 @@ TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 SLICE_BYTES = 1 << 20
 BLOCK_CHARS = 1 << 20      # characters of a text that are cut into units at a time
-UNIT_CHARS = 1 << 22       # characters of units whose ids are remembered
+UNIT_CHARS = 1 << 23       # characters of units whose ids are remembered
 LANE = 128                 # tokens of A from the start of one lane to that of the next
 FIRST_WINDOW, LAST_WINDOW = 4, 1 << 12
 CHUNK_LINKS = 1 << 21
@@ -164,16 +164,17 @@ class Pair:
         and units that come again are looked up."""
         if self.unit_chars > UNIT_CHARS:
             self.forget()
-        short = [t for t in texts if t and len(t) <= BLOCK_CHARS]
-        new = list(dict.fromkeys(u for t in short for u in self.pieces(t) if u not in self.units))
+        # texts of usual length are cut once; a longer one goes through numbers() block by block
+        cut = [SEAM.split(t) if t and self.seams and len(t) <= BLOCK_CHARS else None for t in texts]
+        new = set().union(*(units for units in cut if units)) - self.units.keys()
         if new:
-            self.learn(new)
+            self.learn(list(new))
         a, b, none = [], [], np.zeros(0, np.int32)
-        for t in texts:
-            units = self.numbers(t) if t else np.zeros(0, np.int64)
-            same = self.good[units].all()
-            a.append(self.a_ids.take(units) if same else none)
-            b.append(self.b_ids.take(units) if same else none)
+        for t, units in zip(texts, cut):
+            at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units)) if units else self.numbers(t) if t else np.zeros(0, np.int64)
+            same = self.good[at].all()
+            a.append(self.a_ids.take(at) if same else none)
+            b.append(self.b_ids.take(at) if same else none)
         return a, b
 
     def groups(self, a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray) -> str:
