@@ -54,3 +54,34 @@ def test_fit_topics_recovers_clusters(spark):
         F.count_distinct("truth").alias("n"))
     assert all(r.n == 1 for r in j.collect())
     assert cents.count() == 6
+
+
+def test_adf_does_not_hang_on_rounding():
+    """Lag orders that fit a tiled series exactly are left out, so a tiny change of scale changes next to nothing."""
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        x = np.tile(rng.integers(0, 30, 12).astype(float), 36)
+        (a, lag), (b, again) = TP.adf_tau(x), TP.adf_tau(x * (1 + 1e-12))
+        assert lag == again < 11 and abs(a - b) < 1e-4 * abs(a)
+    assert np.isnan(TP.adf_tau(np.full(432, 7.0))[0])
+
+
+def test_adf_against_least_squares():
+    """The swept regression gives the t-value of an ordinary one."""
+    rng = np.random.default_rng(7)
+    x = np.cumsum(rng.standard_normal(120)) + 0.3 * rng.standard_normal(120)
+    tau, lag = TP.adf_tau(x, maxlag=3, autolag=False)
+    dx = np.diff(x)
+    n = len(dx) - 3
+    t = np.arange(n)
+    design = np.column_stack([np.ones(n), t, t * t, x[3: 3 + n], dx[2: 2 + n], dx[1: 1 + n], dx[:n]])
+    beta, ssr = np.linalg.lstsq(design, dx[3:], rcond=None)[:2]
+    se = np.sqrt(ssr[0] / (n - 7) * np.linalg.inv(design.T @ design)[3, 3])
+    assert lag == 3 and abs(tau - beta[3] / se) < 1e-6
+
+
+def test_first_year_of_works(spark):
+    works = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "work_id int, v string")
+    records = spark.createDataFrame([(1, 2001, 2), (1, 2000, 3), (2, 1950, 1), (3, None, 1), (3, 2024, 2)], "work_id int, year int, n int")
+    got = {r["work_id"]: r["year"] for r in TP.dated_works(works, records, ["n"]).collect()}
+    assert got == {1: 2001, 3: 2024}
