@@ -269,6 +269,7 @@ def score_udf(spark, model: KneserNeyPair):
     def toxicity(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             yield pa.array(shared.value.score(column))
+            TB.give_back()
 
     return toxicity
 

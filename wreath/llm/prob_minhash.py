@@ -139,6 +139,7 @@ def signature_udf(bands: int, rows: int, k: int):
             keys[i:j] = _sequence_keys(h, r, j - i)
             out[i:j] = band_hashes(prob_min_hash(*shingles(h, r, j - i, k), j - i, bands * rows), bands, rows)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * bands, pa.int32()), pa.array(TB.signed(out.ravel())))
+        TB.give_back()
         return pa.StructArray.from_arrays(
             [pa.array(words), pa.array(TB.signed(keys[:, 0])), pa.array(TB.signed(keys[:, 1])), lists],
             ["n_words", "k1", "k2", "bands"])
@@ -195,6 +196,7 @@ def profile_udf(m: int, k: int):
             regs += [x.tobytes() for x in (TB.mix(prob_min_hash(row, gram, n, j - i, m)) >> np.uint64(48)).astype(np.uint16)]
             at = np.searchsorted(row, np.arange(j - i + 1))
             sets += [gram[a:b].tobytes() + n[a:b].astype(np.uint32).tobytes() for a, b in zip(at[:-1], at[1:])]
+        TB.give_back()
         return pa.StructArray.from_arrays([pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], ["r", "s"])
 
     return profile
