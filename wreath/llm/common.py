@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wreath.llm.textbytes import give_back
 from wreath.session import ensure_checkpoint_dir, ship_package
 
 
@@ -37,6 +38,7 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.options(**options).parquet(path)
+    give_back()
     return spark.read.schema(df.schema).parquet(path)
 
 
