@@ -349,6 +349,33 @@ def j24_mutual_information(spark, sf):
     mi = ST.binned_mutual_information(c, ["score", "age"], "won", bins=10)
     return mi.withColumn("mi", F.round("mi", 6))
 
+def _nearest_sql(feature: str) -> str:
+    """All pairs in SQL: exact distances in steps of 2**-44, equal values told apart by a hash of the id."""
+    step = lambda c: (f"CAST(floor({c} / (SELECT stddev_pop({c}) FROM b_{feature}) * 17592186044416.0) AS BIGINT) "
+                      f"+ CAST('0x' || substr(md5(concat(work_id, ':{c}')), 1, 5) AS BIGINT) - 524288")
+    psi = lambda n: (f"(ln({n} + 8.0) - 1 / (2 * ({n} + 8.0)) - 1 / (12 * pow({n} + 8.0, 2)) + 1 / (120 * pow({n} + 8.0, 4)) "
+                     f"- 1 / (252 * pow({n} + 8.0, 6)) + 1 / (240 * pow({n} + 8.0, 8))" + "".join(f" - 1 / ({n} + {j}.0)" for j in range(8)) + ")")
+    return f"""b_{feature} AS (SELECT work_id, CAST({feature} AS DOUBLE) AS {feature}, CAST(n_win AS DOUBLE) AS n_win FROM cohort
+       WHERE {feature} IS NOT NULL AND n_win IS NOT NULL),
+p_{feature} AS (SELECT work_id, {step(feature)} AS x, {step("n_win")} AS y FROM b_{feature}),
+r_{feature} AS (SELECT a.work_id, any_value(a.x) AS x, any_value(a.y) AS y,
+       list_sort(list(greatest(abs(a.x - b.x), abs(a.y - b.y))))[3] - 1 AS r
+       FROM p_{feature} a JOIN p_{feature} b ON a.work_id <> b.work_id GROUP BY a.work_id),
+n_{feature} AS (SELECT a.work_id, count(*) FILTER (WHERE abs(a.x - b.x) <= a.r) AS nx, count(*) FILTER (WHERE abs(a.y - b.y) <= a.r) AS ny
+       FROM r_{feature} a JOIN p_{feature} b ON abs(a.x - b.x) <= a.r OR abs(a.y - b.y) <= a.r GROUP BY a.work_id),
+m_{feature} AS (SELECT '{feature}' AS feature, count(*) AS n, {psi("count(*)")} + {psi("3")} - avg({psi("nx")} + {psi("ny")}) AS mi FROM n_{feature})"""
+
+
+@query("j24_nearest_mutual_information", oracle=f"""WITH {_nearest_sql("score")}, {_nearest_sql("age")}
+SELECT feature, n, round(greatest(mi, 0), 6) AS mi FROM m_score UNION ALL SELECT feature, n, round(greatest(mi, 0), 6) FROM m_age
+""")
+def j24_nearest_mutual_information(spark, sf):
+    """Nearest-neighbour mutual information (k = 3) of score and age with the number of wins."""
+    from wreath.operators.relevance import nearest_mutual_information
+
+    mi = nearest_mutual_information(Fixtures(spark, sf).cohort, ["score", "age"], "n_win", "work_id", k=3)
+    return mi.withColumn("mi", F.round("mi", 6))
+
 
 @query("j20_weighted_total_loss", oracle="WITH " + SOFTMAX + """,
 l AS (SELECT year, sum(CASE WHEN n_win > 0 THEN -n_win * ln(p_win) ELSE 0 END) / sum(n_win) AS loss,
