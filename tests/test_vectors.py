@@ -114,3 +114,14 @@ def test_alignment_moves_no_vectors(spark, vecs):
     out = VO.alignment(df.select("id", "v"), cents, "v")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1          # the repartition above
+
+
+@pytest.mark.parametrize("tasks", [1, 16, 37, 300])
+def test_tree_sum(spark, tasks):
+    rng = np.random.default_rng(tasks)
+    values = rng.standard_normal((tasks, 5))
+    blocks = spark.createDataFrame([(i, v.tobytes()) for i, v in enumerate(values)], VO.TREE_ROWS).repartition(3)
+    got = VO.tree_sum(blocks, tasks, 5)
+    assert np.allclose(got, values.sum(0), atol=1e-12)
+    assert (VO.tree_sum(blocks.repartition(7), tasks, 5) == got).all()      # not a matter of arrival
+    assert (VO.tree_sum(blocks.limit(0), tasks, 5) == 0).all()

@@ -160,7 +160,7 @@ def neighbour_distances(points: DataFrame, k: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(number[some][b]), pa.array(row[a]), pa.array(x[a]), pa.array(y[a]), _lists(near[a])],
                                                      ["part", "row", "x", "y", "near"])
 
-    def ask(key, here: pa.Table, there: pa.Table) -> pa.Table:
+    def ask(key: tuple[pa.Scalar, ...], here: pa.Table, there: pa.Table) -> pa.Table:
         here, there = _along(here), _along(there)      # a shuffle keeps no order
         row, qx, qy = (there[c].to_numpy() for c in ("row", "x", "y"))
         x, y = (here[c].to_numpy() for c in ("x", "y"))

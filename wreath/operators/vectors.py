@@ -56,6 +56,31 @@ def mean_vector(df: DataFrame, by, vec: str, dim: int | None = None, out: str =
 
 
 # --------------------------------------------------------------------------- J2
+TREE_ROWS = "part long, block binary"
+TREE_WAYS = 16           # blocks that one task of a round adds up
+
+
+def tree_rounds(blocks: DataFrame, tasks: int, ways: int = TREE_WAYS) -> DataFrame:
+    """One (part, block) from ``tasks`` of them with parts from 0: in each round a task adds up ``ways`` neighbouring blocks
+    of doubles in the order of their parts, so the sum does not depend on which arrives first. Each block is shuffled
+    once a round, as one row."""
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("part")
+        total = np.add.reduce([np.frombuffer(b.as_py(), np.float64) for b in rows["block"]])
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "block": pa.array([total.tobytes()], pa.binary())})
+
+    while tasks > 1:
+        blocks = blocks.groupBy(F.expr(f"part div {ways}").alias("into")).applyInArrow(add, TREE_ROWS)
+        tasks = -(-tasks // ways)
+    return blocks
+
+
+def tree_sum(blocks: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """Sum of the blocks, ``size`` doubles each; zeros without any."""
+    found = tree_rounds(blocks, tasks).select("block").collect()
+    return np.frombuffer(found[0]["block"], np.float64).copy() if found else np.zeros(size)
+
+
 def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, steps: int = 60,
                        tolerance: float = 1e-8) -> list[float]:
     """Unit normal of the class-balanced linear SVM separating ``label``:
@@ -64,7 +89,8 @@ def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, step
 
     Newton steps: with the active rows (margin below 1) fixed, the minimum
     solves a linear system whose matrix Σ s x xᵀ and right side Σ s y x are one
-    aggregate over the rows, (dim + 1)² numbers. Raises if the gradient has not
+    aggregate over the rows, (dim + 1)² numbers: one binary block a task, summed up
+    in a tree (:func:`tree_sum`). Raises if the gradient has not
     vanished after ``steps``."""
     from wreath.operators.stats import balanced_weights
     from wreath.session import materialize
@@ -72,9 +98,12 @@ def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, step
     d = vector_dim(df, vec)
     data = materialize(balanced_weights(df.where(F.col(vec).isNotNull() & F.col(label).isNotNull()).select(vec, label), label, out="__s").select(
         V.as_double(vec).alias("x"), F.when(F.col(label).cast("double") > 0, 1.0).otherwise(-1.0).alias("y"), F.col("__s").alias("s")))
+    tasks = data.rdd.getNumPartitions()
 
     def totals(w):
         def part(batches):
+            from pyspark import TaskContext
+
             gram, right, grad, loss = np.zeros((d + 1, d + 1)), np.zeros(d + 1), np.zeros(d + 1), 0.0
             for b in batches:
                 x = np.c_[b["x"].flatten().to_numpy().reshape(b.num_rows, d), np.ones(b.num_rows)]
@@ -87,11 +116,9 @@ def fit_bias_direction(df: DataFrame, vec: str, label: str, c: float = 1.0, step
                 grad -= 2 * xs.T @ (y[on] * slack[on])
                 loss += float((s[on] * slack[on] ** 2).sum())
             found = np.concatenate([gram.ravel(), right, grad, [loss]])
-            yield pa.RecordBatch.from_arrays([pa.array([found.tolist()], pa.list_(pa.float64()))], ["t"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([found.tobytes()])], ["part", "block"])
 
-        summed = data.mapInArrow(part, "t array<double>").select(F.posexplode("t").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toArrow()
-        t = np.zeros((d + 1) * (d + 3) + 1)
-        t[summed["i"].to_numpy()] = summed["v"].to_numpy()
+        t = tree_sum(data.mapInArrow(part, TREE_ROWS), tasks, (d + 1) * (d + 3) + 1)
         k = (d + 1) ** 2
         return t[:k].reshape(d + 1, d + 1), t[k: k + d + 1], t[k + d + 1: -1], t[-1]
 

@@ -214,6 +214,29 @@ def j2_fit_bias_direction(spark, sf):
     return spark.createDataFrame([(i, float(x)) for i, x in enumerate(w)], "i INT, w DOUBLE")
 
 
+@query("j2_bias_direction_plane", oracle="""
+WITH RECURSIVE base AS (SELECT CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CASE WHEN says_award > 0 THEN 1.0 ELSE -1.0 END AS y,
+       count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY says_award > 0)) AS s FROM train_vec WHERE embedding IS NOT NULL AND says_award IS NOT NULL),
+newton AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS w1, CAST(0 AS DOUBLE) AS w2, CAST(0 AS DOUBLE) AS w3
+  UNION ALL
+  SELECT k + 1, (r1 * (m22 * m33 - m23 * m23) - m12 * (r2 * m33 - m23 * r3) + m13 * (r2 * m23 - m22 * r3)) / det,
+         (m11 * (r2 * m33 - r3 * m23) - r1 * (m12 * m33 - m23 * m13) + m13 * (m12 * r3 - r2 * m13)) / det,
+         (m11 * (m22 * r3 - r2 * m23) - m12 * (m12 * r3 - r2 * m13) + r1 * (m12 * m23 - m22 * m13)) / det
+  FROM (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det
+        FROM (SELECT k, 1 + 2 * sum(s * a * a) AS m11, 2 * sum(s * a * b) AS m12, 2 * sum(s * a) AS m13, 1 + 2 * sum(s * b * b) AS m22,
+                     2 * sum(s * b) AS m23, 1 + 2 * sum(s) AS m33, 2 * sum(s * y * a) AS r1, 2 * sum(s * y * b) AS r2, 2 * sum(s * y) AS r3
+              FROM newton, base WHERE k < 25 AND y * (w1 * a + w2 * b + w3) < 1 GROUP BY k)))
+SELECT 0 AS i, round(w1 / sqrt(w1 * w1 + w2 * w2), 6) AS w FROM newton WHERE k = 25
+UNION ALL SELECT 1, round(w2 / sqrt(w1 * w1 + w2 * w2), 6) FROM newton WHERE k = 25
+""")
+def j2_bias_direction_plane(spark, sf):
+    """The same fit over the first two components, small enough for Newton steps in SQL."""
+    t = Fixtures(spark, sf).train_vec
+    w = VO.fit_bias_direction(t.withColumn("embedding", F.slice("embedding", 1, 2)), "embedding", "says_award")
+    return spark.createDataFrame([(i, round(float(x), 6)) for i, x in enumerate(w)], "i INT, w DOUBLE")
+
+
 @query("j3_debias_fitted")
 def j3_debias_fitted(spark, sf):
     """Fit the direction, then project every description vector."""
