@@ -24,6 +24,7 @@ Bounds: ``max_rows`` labelled documents and ``max_bytes`` of their text per clas
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -189,6 +190,8 @@ def fit_link(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50,
         w -= np.clip(move, -5, 5)
         if np.abs(move).max() < tolerance:
             break
+    else:
+        warnings.warn(f"the link still moves by {np.abs(move).max():.1g} after {steps} steps")
     coef = w[:-1] / std
     return coef, float(w[-1] - coef @ mean)
 

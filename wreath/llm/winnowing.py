@@ -138,6 +138,30 @@ def extend_udf(t: int, k: int):
     return extend
 
 
+def merge_udf():
+    """Ranges of one text, in any order -> the ranges they cover together, in order."""
+    @F.arrow_udf("array<struct<lo:int,hi:int>>")
+    def merge(ranges: pa.Array) -> pa.Array:
+        sizes = np.diff(ranges.offsets.to_numpy())
+        flat = ranges.flatten()
+        text = np.repeat(np.arange(len(ranges)), sizes)
+        lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+        order = np.lexsort((lo, text))
+        text, lo, hi = text[order], lo[order], hi[order]
+        # ends reached so far in the text: each text gets its own stretch of numbers
+        lane = text * (int(hi.max()) + 1 if len(hi) else 1)
+        reached = np.maximum.accumulate(hi + lane)
+        starts = np.ones(len(lo), bool)
+        starts[1:] = (text[1:] != text[:-1]) | (lo[1:] + lane[1:] > reached[:-1])
+        head = np.flatnonzero(starts)
+        last = np.append(head[1:], len(lo))[: len(head)] - 1
+        values = pa.StructArray.from_arrays([pa.array(lo[head].astype(np.int32)), pa.array((reached[last] - lane[last]).astype(np.int32))], ["lo", "hi"])
+        counts = np.bincount(text[head], minlength=len(ranges))
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+
+    return merge
+
+
 def test_anchors(bench: DataFrame, item_col: str, text_col: str, t: int, k: int) -> DataFrame:
     """(h, n, ctx, items): distinct anchors of the test texts with the sorted
     ids, as strings, of the items that have them."""
@@ -178,12 +202,9 @@ def contamination(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     whole = pairs.where("p.n > 0").select("uid", "items", F.col("pos").alias("lo"), (F.col("pos") + F.col("p.n")).alias("hi"))
     hits = stored(runs.union(whole), "hits")
     # the ranges of one document: each word range once, then merged in order
-    merged = F.expr("""aggregate(array_sort(r), cast(array() as array<struct<lo:int,hi:int>>), (acc, x) ->
-        if(size(acc) > 0 and element_at(acc, -1).hi >= x.lo,
-           concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).lo as lo, greatest(element_at(acc, -1).hi, x.hi) as hi))),
-           concat(acc, array(x))))""")
-    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("r")).select("uid", merged.alias("spans"))
-    items = hits.select("uid", F.explode("items").alias("item")).groupBy("uid").agg(
+    spans = hits.groupBy("uid").agg(F.collect_set(F.struct("lo", "hi")).alias("r")).select("uid", merge_udf()("r").alias("spans"))
+    # a passage that many items share is one set of items at all its anchors
+    items = hits.select("uid", "items").distinct().select("uid", F.explode("items").alias("item")).groupBy("uid").agg(
         F.array_sort(F.collect_set("item")).alias("items"))
     return (base.select("uid", "row", "n_words").join(spans, "uid", "left").join(items, "uid", "left")
             .select("row", "n_words",
