@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from wreath.functions import text as TX
@@ -91,3 +92,16 @@ def test_markup_shapes():
         assert page_text(page) == want, page
     assert page_text("<p>" + "<b>x</b>" * 20_000 + '<a title="' + "y" * 100_000) == "x" * 20_000 + '<a title="' + "y" * 100_000
     assert section_text("<p>i</p><h3>PLOT &amp; more</h3><p>a</p><h4>Part</h4><p>b</p><h2>Next</h2><p>c</p>", ["plot"]) == "a\nb"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("한강", "hangang"), ("이", "i"), ("村上春樹", "cun shang chun shu"), ("カズオ イシグロ", "kazuo ishiguro"), ("نجيب محفوظ", "njyb mhfwz"),
+    ("“It’s” – so…", "\"It's\" - so..."), ("חיים", "hyym"), ("Достоевский", "Dostoevskii"), ("٣", "3"), ("plain", "plain"), ("", ""), (None, None)])
+def test_other_scripts(spark, text, want):
+    got = one(spark, TX.to_ascii, text)
+    assert got == want or got is not None and got.strip() == want
+
+
+def test_names_of_other_scripts_have_keys(spark):
+    assert one(spark, TX.name_key, "한강") == "hangang"
+    assert one(spark, TX.name_key, "村上春樹") == "cun shang chun shu"

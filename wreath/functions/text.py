@@ -12,7 +12,8 @@ import unicodedata
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import Broadcast
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from wreath.functions import markup
@@ -75,19 +76,45 @@ def _ascii_table() -> dict[int, str]:
 
 
 _ASCII = _ascii_table()
+_WIDER: dict[str, Broadcast] = {}
+
+
+def _wider_table(spark: SparkSession) -> dict[int, str]:
+    """The other letters, marks, digits and punctuation of the basic plane as the Unicode library that comes with Spark
+    spells them, one character at a time: kana, Hangul, Han (each syllable followed by a space), Arabic, Hebrew,
+    Indic scripts, curly quotes, dashes. What it has no ASCII spelling for is left out."""
+    asked = [cp for cp in range(0x80, 0xFFF0) if cp not in _ASCII and unicodedata.category(chr(cp))[0] in "LMNP"]
+    rules = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin; Latin-ASCII")
+    spelt = rules.transliterate("\n".join(map(chr, asked))).split("\n")
+    table = {}
+    for cp, x in zip(asked, spelt, strict=True):
+        x = x if unicodedata.category(chr(cp))[0] == "P" else "".join(c for c in x if c.isalnum() or c == "'")
+        if x.isascii() and x != chr(cp):
+            table[cp] = x + " " if x and unicodedata.name(chr(cp), "").startswith("CJK ") else x
+    return table
+
+
+def _ascii_spelling(spark: SparkSession) -> Broadcast:
+    """Both tables, built once an application; some 40,000 characters, whatever the data."""
+    key = spark.sparkContext.applicationId
+    if key not in _WIDER:
+        _WIDER[key] = spark.sparkContext.broadcast({**_wider_table(spark), **_ASCII})
+    return _WIDER[key]
 
 
 def _text_udf(fold: bool, ascii_: bool):
     """Arrow UDF over whole batches: SQL has neither full case folding nor
     transliteration, and spelling their tables out as nested expressions is
     slower than one pass of the string methods that have them."""
+    table = _ascii_spelling(SparkSession.active()) if ascii_ else None
+
     @F.arrow_udf("string")
     def spelt(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
             if t is not None:
                 t = t.casefold() if fold else t
-                t = t if not ascii_ or t.isascii() else t.translate(_ASCII)
+                t = t if not ascii_ or t.isascii() else t.translate(table.value)
             out.append(t)
         return pa.array(out, pa.string())
 
@@ -100,7 +127,8 @@ def casefold(c) -> Column:
 
 
 def to_ascii(c) -> Column:
-    """Letters of the Latin, Greek and Cyrillic scripts to ASCII."""
+    """Letters and punctuation of the basic plane to ASCII, character by character: Latin, Greek and Cyrillic by the tables
+    above, the other scripts by the Unicode library's rules. Characters without a spelling stay."""
     return _text_udf(False, True)(_col(c))
 
 
