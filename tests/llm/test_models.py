@@ -145,3 +145,27 @@ def test_differences_are_those_of_the_words():
     want = [gain.sum() / n.sum(), gain.max(), (gain / n).max(), np.sort(gain)[-3:].mean(), math.log1p(6)]
     got = model.differences(pa.array([None, text, "", text]))
     assert np.allclose(got[1], want) and (got[1] == got[3]).all() and not got[[0, 2], :4].any()
+
+
+def test_every_labelled_row_is_in_the_pairs(spark, monkeypatch):
+    """All rows of both labels, the rarer copied to as many groups as the other fills."""
+    monkeypatch.setattr(PQ, "GROUP", 16)
+    draw = np.random.default_rng(1)
+    rows = [(i, int(i % 10 > 0), [float(i)] + draw.random(PQ.FEATURES - 1).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "__id long, __y int, x array<double>")
+    found = PQ.stored_preferences(table, {0: 30, 1: 270}, 2, 5).collect()
+    diff = np.concatenate([np.frombuffer(r["diff"]).reshape(-1, PQ.FEATURES) for r in found])
+    ids = {(g, b): g - b for g in range(300) for b in range(0, 300, 10) if g % 10}
+    assert len(found) > 8 and len(diff) >= 2 * 270 and set(diff[:, 0]) <= set(ids.values())
+    same = {tuple(r) for r in diff[:, 1:].round(9)}
+    x = np.array([r[2] for r in rows])[:, 1:]
+    used = {g for g in range(300) if g % 10 and any(tuple((x[g] - x[b]).round(9)) in same for b in range(0, 300, 10))}
+    assert len(used) == 270
+
+
+def test_widest_gap_as_in_memory(spark):
+    v = np.sort(np.random.default_rng(2).normal(size=500)).round(3)
+    scores = spark.createDataFrame([(float(x),) for x in v], "score double").repartition(5)
+    for lo, hi in ((0, 498), (100, 140), (7, 7)):
+        k = lo + int(np.argmax(np.diff(v)[lo: hi + 1]))
+        assert PQ.widest_gap(scores, lo, hi, 500) == (v[k] + v[k + 1]) / 2
