@@ -85,3 +85,12 @@ def test_first_year_of_works(spark):
     records = spark.createDataFrame([(1, 2001, 2), (1, 2000, 3), (2, 1950, 1), (3, None, 1), (3, 2024, 2)], "work_id int, year int, n int")
     got = {r["work_id"]: r["year"] for r in TP.dated_works(works, records, ["n"]).collect()}
     assert got == {1: 2001, 3: 2024}
+
+
+def test_fit_topics_goes_on_until_no_centroid_moves(spark, monkeypatch):
+    """More vectors need more than a hundred steps."""
+    calls = []
+    monkeypatch.setattr(TP.np, "allclose", lambda *_: calls.append(1) or len(calls) > 101)
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "id long, v array<double>")
+    assigned, _ = TP.fit_topics(df, "id", "v", k=2)
+    assert assigned.count() == 6 and len(calls) == 102
