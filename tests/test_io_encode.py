@@ -65,3 +65,18 @@ def test_balanced_weights(spark):
     df = spark.createDataFrame([(i % 3,) for i in range(30)] + [(7,)], "y int")
     a = sorted((r.y, round(r.weight, 12)) for r in balanced_weights(df, "y").collect())
     assert dict(a)[7] == round(31 / (4 * 1), 12)
+
+
+def test_count_encoder_fit_reads_its_input_once_a_column(spark):
+    from wreath.operators.encode import CountEncoder
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, ["a", None])], "k long, v array<string>").mapInArrow(seen, "k long, v array<string>")
+    model = CountEncoder(["v"], "k", 0.5).fit(df)
+    assert model.kept == {"v": ["a"]} and model.infrequent == {"v": True}
+    assert read.value == 2

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wreath.operators.relational import explode_zip
+from wreath.session import materialize
 
 INFREQUENT = "infrequent_sklearn"
 NULL_NAME = "None"
@@ -74,14 +75,14 @@ class CountEncoder:
         self.min_frequency = min_frequency
 
     def fit(self, df: DataFrame) -> CountEncoderModel:
+        # the input is read once a column, when its values are counted
         ex = _exploded(df, self.key, self.columns)
-        n = ex.count()
-        floor = math.ceil(self.min_frequency * n) if self.min_frequency < 1 else int(self.min_frequency)
         kept, infrequent = {}, {}
         for c in self.columns:
-            freq = ex.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-            stats = freq.agg(F.count(F.lit(1)).alias("k"),
-                             F.count_if(F.col("n") < floor).alias("rare")).first()
+            freq = materialize(ex.groupBy(c).agg(F.count(F.lit(1)).alias("n")))
+            n = freq.agg(F.sum("n").alias("n")).first()["n"] or 0
+            floor = math.ceil(self.min_frequency * n) if self.min_frequency < 1 else int(self.min_frequency)
+            stats = freq.agg(F.count_if(F.col("n") < floor).alias("rare")).first()
             # at most 1 / min_frequency values reach a relative floor
             rows = freq.filter(F.col("n") >= floor).collect()
             vals = [r[c] for r in rows]
