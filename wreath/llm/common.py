@@ -9,19 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wreath.llm.textbytes import give_back
-from wreath.session import ensure_checkpoint_dir, ship_package
-
-
-BATCH_BYTES = 8 << 20
+from wreath.session import bound_batches, ensure_checkpoint_dir, give_back, ship_package
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Checkpoint folder and package for the workers, and Arrow batches of at
-    most ``BATCH_BYTES``, so that a worker's memory follows the longest text
-    rather than ten thousand of them. Other settings stay as they are."""
+    """Checkpoint folder and package for the workers, and bounded Arrow batches. Other settings stay as they are."""
     ensure_checkpoint_dir(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    bound_batches(spark)
     ship_package(spark)
     return spark
 

@@ -6,13 +6,14 @@ row slices of bounded size, so memory follows the longest text, not the batch.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wreath.session import give_back  # noqa: F401
+
 BASE = np.uint64(0x9E3779B97F4A7C15)   # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SLICE_BYTES = 1 << 20
@@ -56,17 +57,6 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-
-
-def give_back() -> None:
-    """Return freed memory of this worker to the system. A worker is used again by later tasks and would
-    otherwise keep what its largest batch needed, beside what the JVM needs by then."""
-    pa.default_memory_pool().release_unused()
-    if _TRIM:
-        _TRIM(0)
-
-
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
