@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,13 +49,13 @@ def k1_arrow_scalar_udf(spark, sf):
     return M.sentiment(c, "text", classifier_factory=_long_turn).select("conv_id", "turn", "sentiment")
 
 
-@F.pandas_udf(T.LongType())
-def _mode_smallest(value: pd.Series, count: pd.Series) -> int:
+@F.arrow_udf(T.LongType())
+def _mode_smallest(value: pa.Array, count: pa.Array) -> int:
     """Most frequent value (smallest on a tie) from (value, count) pairs."""
-    if value.empty:
+    if not len(value):
         return None
-    top = count.max()
-    return int(value[count == top].min())
+    v, n = value.to_numpy(zero_copy_only=False), count.to_numpy(zero_copy_only=False)
+    return int(v[n == n.max()].min())
 
 
 @query("k2_grouped_agg_udf", oracle="""
@@ -63,7 +64,8 @@ SELECT work_id, CAST(year AS BIGINT) AS modal_year FROM yc
 QUALIFY row_number() OVER (PARTITION BY work_id ORDER BY c DESC, year ASC) = 1
 """)
 def k2_grouped_agg_udf(spark, sf):
-    """A grouped-aggregate pandas UDF (the lambda-aggregate surface). Rows
+    """A grouped-aggregate UDF (the lambda-aggregate surface), on Arrow arrays: making
+    pandas series for each of millions of groups cost more than the rest. Rows
     are first counted per (work, year) with a partial aggregate, so the
     Python step sees one row per distinct year of a work, never the work's
     raw rows; the built-in ``mode_of`` (D3) is the fast path."""
