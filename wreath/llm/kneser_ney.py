@@ -142,7 +142,7 @@ class KneserNeyPair:
         and the logarithm of the number of words (chance finds grow with it)."""
         out = np.zeros((len(column), FEATURES))
         data, offsets = TB.utf8(column)
-        for i, j in TB.row_slices(offsets, 4 << 20):      # long slices: fewer distinct words to judge
+        for i, j in TB.row_slices(offsets):
             off = offsets[i: j + 1] - offsets[i]
             mapped, s, e, rows = TB.word_spans(data[offsets[i]: offsets[j]], off, TB.ALNUM)
             if not len(s):
@@ -212,6 +212,8 @@ def _word_counter():
                 flat_n += n.tolist()
                 lists.append(len(flat_w))
         values = pa.StructArray.from_arrays([pa.array(flat_w, pa.binary()), pa.array(flat_n, pa.int64())], ["w", "n"])
+        del flat_w, flat_n
+        TB.give_back()
         return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), values)
 
     return count_words
@@ -258,6 +260,7 @@ def difference_udf(spark, model: KneserNeyPair):
     @F.arrow_udf("array<double>")
     def differences(texts: pa.Array) -> pa.Array:
         x = shared.value.differences(texts)
+        TB.give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * FEATURES, pa.int32()), pa.array(x.ravel()))
 
     return differences

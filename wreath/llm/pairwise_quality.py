@@ -170,6 +170,7 @@ def _summed(df: DataFrame, of, size: int) -> np.ndarray:
         total = np.zeros(size)
         for batch in batches:
             total += of(batch)
+        TB.give_back()
         yield pa.record_batch([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "block"])
 
     rows = df.mapInArrow(add, "part long, block binary").orderBy("part").collect()
@@ -198,7 +199,10 @@ def stored_preferences(rows: DataFrame, n: dict[int, int], rounds: int, seed: in
         if not len(good) or not len(bad):
             return pa.table({"diff": pa.array([], pa.binary())})
         diff = preferences(good, bad, 1, np.random.default_rng([seed, *[k.as_py() for k in key]]))
-        return pa.table({"diff": pa.array([diff.tobytes()], pa.binary())})
+        out = pa.table({"diff": pa.array([diff.tobytes()], pa.binary())})
+        del x, y, good, bad, diff
+        TB.give_back()
+        return out
 
     groups = common.unionByName(spread).groupBy("bucket", "part", "round")
     return stored(groups.applyInArrow(pair, "diff binary"), "preferences")
@@ -243,6 +247,7 @@ def feature_udf():
     @F.arrow_udf("array<double>")
     def features(texts: pa.Array) -> pa.Array:
         x = statistics(texts)
+        TB.give_back()
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * 31, pa.int32()), pa.array(x.ravel()))
 
     return features
@@ -296,6 +301,7 @@ def quality_udf(spark, ranker: PairwiseRanker):
     def quality(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in texts:
             yield pa.array(shared.value.score(statistics(column)))
+            TB.give_back()
 
     return quality
 
