@@ -86,7 +86,7 @@ def test_grouped_mode_takes_arrow_arrays(spark):
     assert _mode_smallest.evalType == PythonEvalType.SQL_GROUPED_AGG_ARROW_UDF
 
 
-def test_learned_models_give_memory_back_after_a_batch(monkeypatch):
+def test_learned_models_give_memory_back_after_a_batch(spark, monkeypatch):
     given = []
     monkeypatch.setattr(TB, "give_back", lambda: given.append(1))
     texts = pa.array(["one Two two", None, "", "three"])
@@ -94,12 +94,11 @@ def test_learned_models_give_memory_back_after_a_batch(monkeypatch):
     assert len(KN._word_counter().func(texts)) == 4 and len(given) == 2
 
 
-def test_differences_do_not_depend_on_slices(monkeypatch):
-    words = [b"stupid", b"nice", b"idiot", b"garden"]
-    model = KN.KneserNeyPair().fit(words, np.array([3.0, 0, 2, 0]), np.array([0.0, 4, 0, 3]))
-    texts = pa.array(["stupid idiot garden", "nice garden " * 30, None, "", "nice stupid"] * 20)
-    whole, seen = model.differences(texts), []
-    cut = TB.row_slices
-    monkeypatch.setattr(TB, "row_slices", lambda offsets, limit=TB.SLICE_BYTES: seen.append(limit) or cut(offsets, 200))
-    assert np.array_equal(model.differences(texts), whole)
-    assert max(seen) <= 1 << 20          # a slice's distinct words are held at once
+def test_powers_do_not_stay_with_an_idle_worker():
+    data = np.frombuffer(b"ab " * 100_000, np.uint8)
+    one = lambda: TB.span_hashes(data, np.array([0, 3]), np.array([2, 200_000]))
+    before = one()
+    assert len(TB._POWERS["up"]) > 100_000
+    TB.give_back()
+    assert len(TB._POWERS["up"]) == len(TB._POWERS["down"]) == 1
+    assert np.array_equal(one(), before)

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wreath.session import bound_batches, ensure_checkpoint_dir, give_back, ship_package
+from wreath.llm.textbytes import give_back
+from wreath.session import bound_batches, ensure_checkpoint_dir, ship_package
 
 
 def prepare(spark: SparkSession) -> SparkSession:

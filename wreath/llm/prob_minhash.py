@@ -174,7 +174,9 @@ def probability_jaccard(ga: np.ndarray, wa: np.ndarray, gb: np.ndarray, wb: np.n
 def similarity_udf():
     @F.arrow_udf("double")
     def similarity(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([probability_jaccard(*unpack(a.as_py()), *unpack(b.as_py())) for a, b in zip(x, y)], pa.float64())
+        out = pa.array([probability_jaccard(*unpack(a.as_py()), *unpack(b.as_py())) for a, b in zip(x, y)], pa.float64())
+        TB.give_back()
+        return out
 
     return similarity
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from wreath.session import give_back  # noqa: F401
+from wreath import session
 
 BASE = np.uint64(0x9E3779B97F4A7C15)   # odd, so it has an inverse modulo 2**64
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -49,6 +49,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system, the table of powers too, which is soon made again."""
+    _POWERS.update({k: v[:1].copy() for k, v in _POWERS.items()})
+    session.give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser."""
     with np.errstate(over="ignore"):

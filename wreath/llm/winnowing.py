@@ -114,6 +114,8 @@ def anchor_udf(spark, t: int, k: int, short: list[int] | None, field: np.ndarray
              pa.array(TB.signed(join(hashes, np.uint64).astype(np.uint64))), pa.array(ctx, pa.binary())],
             ["pos", "n", "h", "ctx"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), values)
+        pos = size = hashes = ctx = None
+        TB.give_back()
         return pa.StructArray.from_arrays([pa.array(total), lists], ["n_words", "anchors"])
 
     return find
