@@ -102,3 +102,26 @@ def test_powers_do_not_stay_with_an_idle_worker():
     TB.give_back()
     assert len(TB._POWERS["up"]) == len(TB._POWERS["down"]) == 1
     assert np.array_equal(one(), before)
+
+
+def test_merged_rows_are_not_stored(spark, monkeypatch):
+    """The merged table has a row for each list year of each linked title: it is stored nowhere before the split."""
+    from wreath.plans import queries_cohort as Q
+
+    stored = []
+    monkeypatch.setattr(Q, "materialize", lambda df, keep=Q.materialize: stored.append(set(df.columns)) or keep(df))
+    out = Q.g4_merge_and_split(spark, "/root/testdata/sf0.001")
+    assert {"split", "pub_date", "topicality", "median"} <= set(out.columns)
+    assert stored and not [c for c in stored if {"pub_date", "median"} <= c]
+
+
+def test_only_titles_with_ranks_are_linked(spark, monkeypatch):
+    from wreath.plans.queries_linkage import FIXED_MODEL
+
+    linked = []
+    monkeypatch.setattr(S, "linked_pairs", lambda lists, *a, link=S.linked_pairs: linked.append(lists.count()) or link(lists, *a))
+    lists = spark.createDataFrame([(i, "the title", "an author", 1) for i in (1, 3, 5, None)], "unique_id long, title string, author string, year int")
+    works = spark.createDataFrame([(i, "the title", "an author", 2) for i in (2, 4, 2)], "unique_id long, title string, author string, year int")
+    ranks = spark.createDataFrame([(3, 1, 7), (3, 1, 9), (3, 2, 1), (3, None, 4), (9, 1, 1), (None, 1, 1)], "title_id long, year int, rank long")
+    got = S.bestseller_match(lists, works, ranks, FIXED_MODEL)
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 9, 2, 8.0), (4, 9, 2, 8.0)] and linked == [1]
