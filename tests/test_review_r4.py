@@ -51,9 +51,33 @@ def test_small_tiles_are_compared_together():
 
     together = [x for out in SM._compare(iter(tiles), _comparisons(), found) for x in out]
     assert sizes == [1]
-    few, SM.FEW_PAIRS = SM.FEW_PAIRS, 0
-    try:
-        alone = [x for out in SM._compare(iter(tiles), _comparisons(), found) for x in out]
-    finally:
-        SM.FEW_PAIRS = few
+    alone = [x for out in SM._compare(iter(tiles), _comparisons(), found, few_pairs=0) for x in out]
     assert together == alone and sizes[1:] == [2] * len(tiles)
+
+
+def test_leveled_pairs_leave_python_in_pieces(spark):
+    """Python hands over one number a pair; ids are told once a piece of pairs. A piece has at most PIECE rows a side."""
+    keys = [(n, n % 3, ["apple", "apples", "pear", None, ""][n % 5], ["ann lee", "ann li", "bo"][n % 3]) for n in range(700)]
+    l = spark.createDataFrame(keys[:300], "id_l int, y_l int, t_l string, a_l string")
+    r = spark.createDataFrame(keys[300:], "id_r long, y_r int, t_r string, a_r string")
+    comps = _comparisons()
+    got = SM.leveled_pairs(l.withColumnRenamed("id_l", "id"), r.withColumnRenamed("id_r", "id"), ("y_l", "y_r"), comps, ("id", "id"))
+    assert "__codes" in [line for line in got._jdf.queryExecution().executedPlan().toString().splitlines() if "MapInArrow" in line][0]
+    want = LK.add_levels(l.join(r, l.y_l == r.y_r), comps).select("id_l", "id_r", "title_level", "author_level")
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert got.count() == 3 * 100 * 400 // 3
+
+
+def test_match_probability_is_looked_up(spark):
+    """Weight and probability are constants of a pattern: no power and no rounding is left for the rows."""
+    model = LK.LinkageModel(_comparisons(), {"title_level": [0.01, 0.02, 0.07, 0.9], "author_level": [0, 0.05, 0.15, 0.8]},
+                            {"title_level": [0.95, 0.0485, 0.001, 0.0005], "author_level": [0.7, 0, 0.3, 0]}, 0.001)
+    levels = [None, -1, 0, 1, 2, 3, 7]
+    df = spark.createDataFrame([(t, a) for t in levels for a in levels], "title_level int, author_level int")
+    got = LK.match_probability(df, model, digits=6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "pow" not in plan and "round" not in plan
+    weight = {(name, level): bf for name, level, bf in model.weight_rows()}
+    for row in got.collect():
+        w = np.log2(0.001 / 0.999) + weight.get(("title_level", row.title_level), 0) + weight.get(("author_level", row.author_level), 0)
+        assert abs(row.match_weight - w) < 1e-6 and abs(row.match_probability - 1 / (1 + 2 ** -w)) < 1e-6
