@@ -4,9 +4,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from wreath.operators import linkage as LK
 from wreath.operators import similarity as SM
+from wreath.operators import topics as TP
+from wreath.operators import vectors as VO
 
 
 def _comparisons():
@@ -81,3 +84,29 @@ def test_match_probability_is_looked_up(spark):
     for row in got.collect():
         w = np.log2(0.001 / 0.999) + weight.get(("title_level", row.title_level), 0) + weight.get(("author_level", row.author_level), 0)
         assert abs(row.match_weight - w) < 1e-6 and abs(row.match_probability - 1 / (1 + 2 ** -w)) < 1e-6
+
+
+def test_topic_steps_read_blocks(spark, monkeypatch):
+    """A step of k-means reads blocks of numbers and returns a sum a task: no plan with an aggregate for each dimension."""
+    def refuse(*_, **__):
+        raise AssertionError("a step planned an aggregate")
+
+    monkeypatch.setattr(VO, "mean_vector", refuse)
+    rng = np.random.default_rng(8)
+    vectors = [rng.standard_normal(3).tolist() for _ in range(5_000)]
+    rows = [(n, [2000, 2001, 2002, None][n % 4], v) for n, v in enumerate(vectors)] + [(90_000 + n, 2000, [None, 1.0, 2.0]) for n in range(3)]
+    rows.append((99_999, 2003, [1.0, 2.0, 3.0]))
+    df = spark.createDataFrame(rows, "id long, year int, v array<double>")
+    monkeypatch.setattr(TP, "SUMS_BYTES", 0)             # sums of the tasks added up by tasks
+    assigned, cents = TP.fit_topics(df, "id", "v", by=["year"], k=3, seed=1)
+    assert assigned.count() == sum(r[1] is not None for r in rows)
+    topic_of = {r.id: r.topic for r in assigned.collect()}
+    assert all(topic_of[90_000 + n] == 0 for n in range(3)) and topic_of[99_999] == 0
+    for year in (2000, 2001):
+        found = {r.topic: np.array(r.centroid) for r in cents.where(F.col("year") == year).collect()}
+        members = {t: [r[2] for r in rows if r[1] == year and topic_of[r[0]] == t] for t in found}
+        for t, c in found.items():
+            means = [np.mean([v[i] for v in members[t] if v[i] is not None]) for i in range(3)]
+            assert np.allclose(c, means, atol=1e-3)
+        near = {n: min(found, key=lambda t: (np.sum((np.array(v) - found[t]) ** 2), t)) for n, y, v in rows if y == year and None not in v}
+        assert all(topic_of[n] == t for n, t in near.items())
