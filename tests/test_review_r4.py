@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from wreath.operators import linkage as LK
+from wreath.operators import relational as R
 from wreath.operators import similarity as SM
 from wreath.operators import topics as TP
 from wreath.operators import vectors as VO
@@ -110,3 +111,22 @@ def test_topic_steps_read_blocks(spark, monkeypatch):
             assert np.allclose(c, means, atol=1e-3)
         near = {n: min(found, key=lambda t: (np.sum((np.array(v) - found[t]) ** 2), t)) for n, y, v in rows if y == year and None not in v}
         assert all(topic_of[n] == t for n, t in near.items())
+
+
+def test_blocked_pairs_by_even_slices(spark, monkeypatch):
+    """Right rows of a block meet the left ones in slices of a fixed size, whatever the block's size; keys may repeat or be null."""
+    monkeypatch.setattr(R, "SLICE_ROWS", 8)
+    left = [(n // 2, [1, 2, None][n % 3]) for n in range(40)]
+    right = [(n // 3, [1, 1, 2, None, 9][n % 5]) for n in range(95)] + [(500, 1)] * 20
+    l, r = spark.createDataFrame(left, "id long, y int"), spark.createDataFrame(right, "id long, y int")
+    pairs = R.blocked_pairs(l, r, F.col("y"), F.col("y"))
+    assert pairs.columns == ["id_l", "y_l", "id_r", "y_r"]
+    want = sorted((a, y, b, z) for a, y in left for b, z in right if y is not None and y == z)
+    assert sorted(map(tuple, pairs.collect())) == want
+    sizes = {}
+    for at, row in pairs.withColumn("at", F.spark_partition_id()).where("y_l = 1").select("at", "id_l").collect():
+        sizes[row] = sizes.get(row, 0) + 1
+    n = sum(z == 1 for _, z in right)
+    assert all(size % n == 0 for size in sizes.values())
+    cells = R.blocked_pairs(l.distinct(), r, F.col("y"), F.col("y")).where("y_l = 1").groupBy(F.spark_partition_id(), "id_l").count().collect()
+    assert len(cells) > len({c.id_l for c in cells})                # the slices of one left row come from several tasks
