@@ -130,3 +130,12 @@ def test_blocked_pairs_by_even_slices(spark, monkeypatch):
     assert all(size % n == 0 for size in sizes.values())
     cells = R.blocked_pairs(l.distinct(), r, F.col("y"), F.col("y")).where("y_l = 1").groupBy(F.spark_partition_id(), "id_l").count().collect()
     assert len(cells) > len({c.id_l for c in cells})                # the slices of one left row come from several tasks
+
+
+def test_no_matches_among_the_pairs(spark):
+    """A share of matches next to nothing, or nothing, is no error: no pattern reaches the threshold."""
+    for prior in (1e-310, 0.0):
+        model = LK.LinkageModel(_comparisons(), {c.name: [0.1, 0.2, 0.3, 0.4] for c in _comparisons()}, {c.name: [0.7, 0.2, 0.05, 0.05] for c in _comparisons()}, prior)
+        assert SM.requirements(model, 0.9) == []
+        df = spark.createDataFrame([(3, 3), (0, -1)], "title_level int, author_level int")
+        assert [r.match_probability < 1e-300 for r in LK.match_probability(df, model).collect()] == [True, True]
